@@ -22,6 +22,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setsketch import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op5_sentencepiece, op7_benchmark_decontamination, op8_sharding, op9_exact_dedup, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op4_near_dedup, op5_sentencepiece, op7_benchmark_decontamination, op8_sharding, op9_exact_dedup, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
