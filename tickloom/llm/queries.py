@@ -37,6 +37,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_ids").alias("n_tokens"), F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "aligned")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_dedup
+
+    return line_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
@@ -61,9 +67,41 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op4_near_dedup, op5_sentencepiece, op7_benchmark_decontamination, op8_sharding, op9_exact_dedup, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op4_near_dedup, op5_sentencepiece, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_exact_dedup, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+            FROM documents
+        ), f AS (
+            SELECT *, row_number() OVER d AS i, sum(w) OVER d AS c FROM (
+                SELECT *, length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) + 1 AS w
+                FROM l WHERE trim(line, ' ') <> ''
+            ) WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+        ), a AS (SELECT doc_id, list(line ORDER BY i) AS lines FROM f GROUP BY doc_id),
+        w AS (
+            SELECT s.doc_id, s.i AS b, min(e.i) AS e FROM f s JOIN f e
+            ON s.doc_id = e.doc_id AND e.i BETWEEN s.i AND s.i + 49 AND e.c - s.c + s.w >= 50 GROUP BY ALL
+            UNION
+            SELECT e.doc_id, max(s.i) AS b, e.i AS e FROM f s JOIN f e
+            ON s.doc_id = e.doc_id AND s.i BETWEEN e.i - 49 AND e.i AND e.c - s.c + s.w >= 50 GROUP BY ALL
+        ), k AS (SELECT w.*, lines[b:e] AS key FROM w JOIN a USING (doc_id)),
+        first AS (SELECT key, min(struct_pack(d := doc_id, b := b)) AS at FROM k GROUP BY key),
+        gone AS (
+            SELECT DISTINCT l.doc_id, l.pos FROM k JOIN first USING (key)
+            JOIN f x ON x.doc_id = k.doc_id AND x.i = k.b JOIN f y ON y.doc_id = k.doc_id AND y.i = k.e
+            JOIN l ON l.doc_id = k.doc_id AND l.pos BETWEEN x.pos AND y.pos
+            WHERE struct_pack(d := k.doc_id, b := k.b) > first.at
+        )
+        SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(kept, '') AS text
+        FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)
+        LEFT JOIN (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept
+            FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+        ) USING (doc_id)
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
