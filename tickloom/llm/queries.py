@@ -22,6 +22,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .setsketch import near_duplicates
 
@@ -67,9 +73,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op4_near_dedup, op5_sentencepiece, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_exact_dedup, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_warc, op4_near_dedup, op5_sentencepiece, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_exact_dedup, op10_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+        FROM (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                   min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+            FROM pages
+        )
+    """,
     "op6_line_dedup": """
         WITH l AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
