@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,34 @@ def drop_stage(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows in the actions within: wide rows then take bounded memory in a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_or_shuffled(side: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint if the counted rows stay within BROADCAST_ROWS, else the side as it is (shuffle join)."""
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+def pack(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others within one column `rest`, so that no name can clash with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, (F.struct(*others) if others else F.lit(None).cast("string")).alias("rest"))
+
+
+def unpack(docs: DataFrame, *names: str) -> list[Column]:
+    """The columns of docs in their order, of a frame made from pack(docs, *names)."""
+    return [F.col(c) if c in names else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for ids whose crc32 (as text) is a multiple of five, and for null ids, which are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))

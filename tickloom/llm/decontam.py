@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHasher, byte_view, chunks, joined, shared_dir, window_hashes, word_spans
+from .common import LOWER, WordHasher, byte_view, chunks, joined, pack, shared_dir, stage_out, unpack, window_hashes, word_spans
 
 WINDOW = 10
 #: Windows in one broadcast set: hash, item and text position, some 24 bytes each beside the items' texts.
@@ -105,10 +105,7 @@ def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple
 
 
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WINDOWS) -> DataFrame:
-    """Every row of docs (all columns) with n_words, hits (array of word spans, united) and items (sorted strings).
-
-    New columns are named _n_words, _hits and _items, so that they don't clash.
-    """
+    """Every row of docs with _n_words, _hits (word spans, united) and _items (sorted); docs has none of these (see pack)."""
     blocks = _blocks(benchmark, window, most)
     first = next(blocks, [])
     second = next(blocks, None)
@@ -120,7 +117,8 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     rows = spark.read.parquet(path)
     total = None
     while first is not None:
-        part = _scan(spark, rows.select("_row", "text"), first, window)
+        # written block by block, so that one block's set at a time is held
+        part = stage_out(spark, _scan(spark, rows.select("_row", "text"), first, window).drop("text"), "block")
         total = part if total is None else total.unionByName(part)
         first, second = second, next(blocks, None)
     united = total.groupBy("_row").agg(
@@ -133,9 +131,6 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
 
 def _scan(spark: SparkSession, docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(NgramSet(items, window))
-    fields = {f.name for f in docs.schema}
-    if "text" not in fields or fields & {"_n_words", "_hits", "_items"}:
-        raise ValueError("documents need a column text, and none named _n_words, _hits or _items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known = WordHasher(), shared.value
@@ -179,13 +174,12 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
 
 def remove_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows without a verified window, with the columns of docs."""
-    return scan(spark, docs, benchmark, window).where(F.size("_hits") == 0).drop("_n_words", "_hits", "_items")
+    return scan(spark, pack(docs, "text"), benchmark, window).where(F.size("_hits") == 0).select(*unpack(docs, "text"))
 
 
 def remove_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows, with the words of verified windows cut out of text, from the first word's start to the last one's end."""
-    found = scan(spark, docs, benchmark, window)
-    names = docs.columns
+    found = scan(spark, pack(docs, "text"), benchmark, window).select("text", "rest", "_hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,10 +194,9 @@ def remove_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
                 for s in spans:
                     keep[starts[s["start"]] : ends[s["start"] + s["words"] - 1]] = False
                 texts[i] = data[keep].tobytes().decode()
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], ["text", "rest"])
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(run, found.drop("_hits").schema).select(*unpack(docs, "text"))
 
 
 def items_digest(items: list[str]) -> str:

@@ -169,5 +169,6 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, history: DataFrame | None
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows of docs that stay: those dropped are taken out by an anti join, broadcast only if counted as few."""
     dropped = stage_out(spark, exact_dedup(spark, docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    return docs.join(small_or_shuffled(dropped, dropped.count()), docs["doc_id"] == F.col("_id"), "left_anti")
+    side = small_or_shuffled(dropped, dropped.count())
+    return docs.join(side, docs["doc_id"] == side["_id"], "left_anti")
 

@@ -188,7 +188,7 @@ def train(rows: list[tuple[bytes, str]], seed: int = 5) -> LanguageModel | None:
 
 def fit(docs: DataFrame, rows: int = ROWS, max_bytes: int = MAX_BYTES) -> LanguageModel | None:
     """On at most rows texts of at most max_bytes, in hash order of doc_id, none of them held out."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text", "lang")
     ids = known.select("doc_id", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(rows).select(F.col("doc_id").alias("_id")).distinct()
     found = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("text").cast("binary").alias("text"), "lang").orderBy("doc_id", "text").limit(rows).collect()
     return train([(bytes(r.text), r.lang) for r in found])

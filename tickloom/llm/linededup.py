@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage_out
+from .common import pack, stage_out, unpack
 
 MIN_WORDS = 50
 
@@ -86,17 +86,19 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
 
 def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs with text cleaned, and n_lines, n_removed of each row (columns so named are replaced)."""
+    docs = docs.drop("n_lines", "n_removed")
     last = (1 << 63) - 1
     doc, tie = F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), F.xxhash64("text")
-    keyed = docs.drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string")).withColumns({"_doc": doc, "_tie": tie})
-    gone = stage_out(spark, repeated_lines(spark, keyed.select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), "text"), min_words), "gone")
+    keyed = pack(docs.withColumn("text", F.col("text").cast("string")), "doc_id", "text").withColumns({"doc": doc, "tie": tie})
+    gone = stage_out(spark, repeated_lines(spark, keyed.select("doc", "tie", "text"), min_words), "gone")
     # one character a line: 1 if the line goes
     marks = F.array_join(F.transform("gone", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.col("gone")[i - 1]).otherwise(-1) - 1), F.lit("1"))), "")
-    gone = gone.select(F.col("doc").alias("_d"), F.col("tie").alias("_t"), marks.alias("_marks"), F.size("gone").cast("long").alias("_removed"))
-    out = keyed.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_tie") == F.col("_t")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.substring("_marks", i + 1, F.lit(1)) != "1"), "\n")
+    out = keyed.join(gone.select("doc", "tie", marks.alias("marks"), F.size("gone").cast("long").alias("removed")), ["doc", "tie"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.substring("marks", i + 1, F.lit(1)) != "1"), "\n")
     return out.select(
-        *[F.when(F.col("_marks").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in keyed.columns if c not in ("_doc", "_tie")],
+        "doc_id",
+        "rest",
+        F.when(F.col("marks").isNull(), F.col("text")).otherwise(kept).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce("_removed", F.lit(0)).alias("n_removed"),
-    )
+        F.coalesce("removed", F.lit(0)).alias("n_removed"),
+    ).select(*unpack(docs, "doc_id", "text"), "n_lines", "n_removed")

@@ -220,6 +220,11 @@ class Codec:
         return self.own.decode([x.tolist() for x in ids], num_threads=1) if ids else []
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) for x in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int32)))
+
+
 def encode_decode(spark: SparkSession, docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids", "begins", "ends", "decoded")) -> DataFrame:
     """All columns of docs but text, if they don't clash, and the asked ones of COLUMNS, of each whole text.
 
@@ -243,10 +248,10 @@ def encode_decode(spark: SparkSession, docs: DataFrame, model_path: str, columns
                 texts = [(x or "").encode() for x in part.column("text").to_pylist()]
                 found = codec.encode(texts)
                 make = {
-                    "ids": lambda found=found: pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())),
+                    "ids": lambda found=found: _lists([x[0] for x in found]),
                     "ids_le": lambda found=found: pa.array([x[0].astype("<u4").tobytes() for x in found], pa.binary()),
-                    "begins": lambda found=found: pa.array([x[1].astype(np.int32) for x in found], pa.list_(pa.int32())),
-                    "ends": lambda found=found: pa.array([x[2].astype(np.int32) for x in found], pa.list_(pa.int32())),
+                    "begins": lambda found=found: _lists([x[1] for x in found]),
+                    "ends": lambda found=found: _lists([x[2] for x in found]),
                     "decoded": lambda found=found: pa.array(codec.decode([x[0] for x in found]), pa.string()),
                     "aligned": lambda found=found, texts=texts: pa.array([bool((b[1:] == e[:-1]).all() and b[0] == 0 and e[-1] == len(t)) for (_, b, e), t in zip(found, texts, strict=True)]),
                     "n_ids": lambda found=found: pa.array([len(x[0]) for x in found], pa.int64()),
