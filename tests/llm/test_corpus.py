@@ -1,0 +1,311 @@
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tickloom.llm import decontam, queries, sharding, spm, warc
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+DOCS = "doc_id long, text string, _hits long, rest string, ids int, shard int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, i, "x", 1, 1) for i, t in rows], DOCS)
+
+
+def sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+# benchmark decontamination
+
+
+def words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def brute_hits(docs, items, window):
+    known = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1) if n else ():
+            known[tuple(w[k : k + n])].add("" if i is None else str(i))
+    out = []
+    for d, t in docs:
+        w = words(t)
+        hit, found = set(), set()
+        for k, names in known.items():
+            for a in range(len(w) - len(k) + 1):
+                if tuple(w[a : a + len(k)]) == k:
+                    hit |= set(range(a, a + len(k)))
+                    found |= names
+        out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    return Counter(out)
+
+
+def bench_case(seed):
+    rng = random.Random(seed)
+    pick = lambda n: " ".join(rng.choice(["a", "B", "é", "x1", "dog", "cat", "the,"]) for _ in range(n))
+    items = [(k, pick(rng.randint(1, 9))) for k in range(6)] + [(2, pick(4)), (None, pick(5)), (9, None), (10, "-- !")]
+    docs = [(k, pick(rng.randint(0, 40))) for k in range(40)] + [(100, None), (101, ""), (5, items[0][1]), (None, items[1][1])]
+    return docs, items
+
+
+@pytest.mark.parametrize("most", [10**6, 3])
+def test_decontamination_matches_brute_force(spark, most, monkeypatch):
+    docs, items = bench_case(most)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", most)
+    found = decontam.scan(spark, frame(spark, docs).select("doc_id", "text"), bench, 4, most)
+    got = found.select("doc_id", "_n_words", decontam.n_hit(), F.size("_items"), F.sha2(F.array_join("_items", ",").cast("binary"), 256), F.size("_hits") > 0)
+    assert Counter(tuple(r) for r in got.collect()) == brute_hits(docs, items, 4)
+
+
+def test_decontamination_removes(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = frame(spark, [(1, f"Clean start. {item.upper()}, end."), (2, "clean"), (3, None), (4, "one two three four five six seven eight nine")])
+    bench = spark.createDataFrame([("q", item)], "item_id string, text string")
+    kept = decontam.remove_documents(spark, docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+    cut = decontam.remove_spans(spark, docs, bench)
+    assert cut.columns == docs.columns
+    assert {r.doc_id: r.text for r in cut.collect()}[1] == "Clean start. , end."
+    assert decontam.contamination(spark, docs.limit(0), bench).count() == 0
+    assert not decontam.contamination(spark, docs, bench.limit(0)).where("contaminated").count()
+
+
+# SentencePiece
+
+
+@pytest.fixture(scope="module")
+def codec():
+    with open(MODEL, "rb") as f:
+        raw = f.read()
+    return spm.Codec(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+
+
+@settings(max_examples=150, deadline=None)
+@given(text=st.text(max_size=60) | st.text(st.sampled_from(" ▁aé漢😀\n\t\0<s>"), max_size=40))
+def test_encoding_equals_the_library(codec, text):
+    own, lib = codec
+    raw = text.encode()
+    (ids, begins, ends), *_ = own.encode([raw])
+    assert ids.tolist() == lib.encode(text, add_bos=True, add_eos=True)
+    assert own.decode([ids]) == [lib.decode(ids.tolist())]
+    assert (begins[1:] == ends[:-1]).all() and begins[0] == 0 and ends[-1] == len(raw)
+
+
+def test_spans_are_the_pieces_source(codec):
+    own, _ = codec
+    raw = "Hi  thére, wörld".encode()
+    (ids, begins, ends), *_ = own.encode([raw])
+    pieces = [own.own.id_to_piece(int(i)).replace("▁", " ") for i in ids[1:-1]]
+    spans = [raw[a:b].decode() for a, b in zip(begins[1:-1], ends[1:-1], strict=True)]
+    assert spans[0] == pieces[0].lstrip(" ") and spans[1:] == pieces[1:]
+
+
+def double_array(words):
+    """A double array of the published layout over byte strings, with values."""
+    units = [0] * 4096
+    used = {0}
+
+    def place(node, group, depth):
+        labels = sorted({w[depth] if depth < len(w) else 0 for w, _ in group})
+        base = next(b for b in range(1, 2048) if all((b ^ x) not in used for x in labels) and b not in used)
+        for x in labels:
+            used.add(b_x := base ^ x)
+            units[b_x] |= x
+        units[node] |= (node ^ base) << 10
+        for x in labels:
+            sub = [(w, v) for w, v in group if (w[depth] if depth < len(w) else 0) == x]
+            if x == 0:
+                units[node] |= 1 << 8
+                units[base] = sub[0][1] | 1 << 31
+            else:
+                place(base ^ x, sub, depth + 1)
+
+    place(0, sorted(words), 0)
+    return struct.pack(f"<{len(units)}I", *units)
+
+
+def test_longest_prefix_of_a_compiled_map():
+    strings, values = b"", []
+    for source, target in ((b"a", b"b"), (b"abc", b"X"), (b"\xef\xbc\xa1", b"A"), (b"\xe3\x80\x80", b" ")):
+        values.append((source, len(strings)))
+        strings += target + b"\0"
+    trie = double_array(values)
+    n = spm.Normalizer(b"")
+    n.map, n.plain, n.collapse = spm.CharacterMap(struct.pack("<I", len(trie)) + trie + strings), False, False
+    text = "abcab Ａz".encode()
+    norm, source = n(text)
+    assert norm.decode() == "▁Xbb▁Az"
+    assert source.tolist() == [0, 0, 0, 0, 3, 4, 5, 5, 5, 6, 9, 10]
+    n.collapse = True
+    norm, _ = n("  a   z ".encode())
+    assert norm.decode() == "▁b▁z"
+
+
+def test_op5_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "x" * 300_000 + " é"), (4, "twice"), (4, "twice"), (None, "a b")]
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    found = spm.encode_decode(spark, frame(spark, rows), MODEL, ("ids", "ids_le", "decoded", "aligned"))
+    assert found.columns == ["doc_id", "_hits", "rest", "shard", "ids", "ids_le", "decoded", "aligned"]
+    got = Counter((r.doc_id, tuple(r.ids), bytes(r.ids_le), r.decoded, r.aligned) for r in found.collect())
+    expected = []
+    for i, t in rows:
+        ids = lib.encode(t or "", add_bos=True, add_eos=True)
+        expected.append((i, tuple(ids), np.array(ids, "<u4").tobytes(), lib.decode(ids), True))
+    assert got == Counter(expected)
+    assert spm.encode_decode(spark, frame(spark, rows).limit(0), MODEL).count() == 0
+
+
+# sharding
+
+
+def test_difference_is_tighter_than_greedy():
+    rng = random.Random(4)
+    sizes = [int(rng.lognormvariate(6, 1)) for _ in range(400)]
+    entries = [e[0] for e in sharding.difference([[s, 0, 0, 0] for s in sizes])]
+    sums = [sum(s for s, e in zip(sizes, entries, strict=True) if e == k) for k in range(4)]
+    assert sum(sums) == sum(sizes) and max(sums) - min(sums) <= 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 50), min_size=3, max_size=3), min_size=1, max_size=9))
+def test_difference_permutes_entries(parts):
+    out = sharding.difference(parts)
+    assert all(sorted(e) == [0, 1, 2] for e in out)
+
+
+def test_shards(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS_A_PART", 40)
+    rng = random.Random(1)
+    rows = [(i, "é" * rng.randint(0, 90)) for i in range(600)] + [(700, None), (None, "null id"), (None, "null id"), (3, "again")]
+    found = sharding.shard_by_bytes(spark, frame(spark, rows)).collect()
+    key = lambda i, t: (i is None, i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert Counter((r.doc_id is None, r.doc_id or 0, r["size"], r.text_crc32) for r in found) == Counter(key(i, t) for i, t in rows)
+    places, sums, group = defaultdict(list), Counter(), defaultdict(set)
+    for r in found:
+        assert r.law == "bytes" and r.grown_shard is None
+        places[r.shard].append(r.slot)
+        sums[r.shard] += r["size"]
+        group[r.text_crc32].add(r.shard)
+    assert set(places) <= set(range(16)) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert all(len(s) == 1 for s in group.values())
+    largest = max(Counter({t: (len(t.encode()) + 1) * n for t, n in Counter(t or "" for _, t in rows).items()}).values())
+    assert max(sums.values()) - min(sums.values()) <= largest
+    assert sharding.shard_by_bytes(spark, frame(spark, rows).limit(0)).count() == 0
+
+
+# WARC
+
+PAGES = [
+    (5, "http://a\r\nb", "x" * 200),
+    (3, None, "x" * 200),
+    (9, "u", "y" * 20),
+    (8, "u", "y" * 20),
+    (None, "u", "x" * 200),
+    (7, "u", None),
+    (1, "u", "a WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\n tail " + "z" * 300),
+    (2, "u", "a WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\nWARC/1.1\r\n tail " + "z" * 300),
+    (11, "u", "é" * 3000 + "WARC/1." * 50 + "\r\n\r\n"),
+    (12, "u", "WARC/1.1\r\n"),
+]
+
+
+def expected_pages(rows):
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html or ""] = min(i, first.get(html or "", i))
+    out = []
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        again = len(raw) >= 100 and first.get(html) is not None and i != first[html]
+        out.append((i, len(raw), sha(raw), "revisit" if again else "response", first[html] if again else None))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("block", [None, "700"])
+def test_warc_round_trip(spark, block):
+    pages = spark.createDataFrame([(*r, r[0]) for r in PAGES], "page_id long, url string, html string, payload long").repartition(2)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        if block:
+            spark.conf.set(keys[0], block)
+            spark.conf.set(keys[1], "1")
+        found = warc.round_trip(spark, pages)
+        assert Counter(tuple(r) for r in found.collect()) == expected_pages(PAGES)
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+    assert warc.round_trip(spark, pages.limit(0)).count() == 0
+
+
+def test_warc_is_readable_by_hand(spark, tmp_path):
+    warc.write_warc(spark, spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    seen = 0
+    while raw:
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        assert head.startswith(b"WARC/1.1\r\nWARC-Type: ")
+        n = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
+        assert rest[n : n + 4] == b"\r\n\r\n"
+        raw, seen = rest[n + 4 :], seen + 1
+    assert seen == len(PAGES)
+
+
+def test_reachable_rejects_what_the_chain_passes_over():
+    offset = np.array([0, 10, 40, 55, 70, 90])
+    follows = np.array([40, 55, 70, 90, 90, 120])
+    assert warc.reachable(offset, follows).tolist() == [True, False, True, False, True, True]
+    assert not warc.reachable(np.array([5]), np.array([9])).any()
+
+
+# the registry and the pipeline
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    seen = [docs.count()]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"file://{tmp_path}/{k}")
+        before, docs = docs, spark.read.parquet(f"file://{tmp_path}/{k}")
+        seen.append(docs.count())
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        texts = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
+        if k < 4:
+            assert docs.columns == columns
+        if k == 1:
+            assert ids == set({texts[i]: i for i in sorted(texts)}.values())
+        if k == 3:
+            bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            clean = {d for (d, _, _, _, _, bad) in brute_hits(texts.items(), bench, 10) if not bad}
+            assert ids == clean
+        if k == 4:
+            lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+            assert all(list(r.ids) == lib.encode(texts[r.doc_id], add_bos=True, add_eos=True) for r in docs.collect())
+    assert seen[0] > seen[1] > seen[2] >= seen[3] >= seen[4] == seen[5] > 0
+    assert corpus_pipeline.run(spark, sf).count() == seen[5]
