@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "tinyint": T.ByteType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(text)
+    """A flat schema from names and types; needs no session, unlike Spark's own DDL parser."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (field.split() for field in text.split(","))])
 
 
 TRADE_COLUMNS = ("exchange", "instrument", "trade_id", "price", "qty", "event_ts", "trade_ts", "recv_ts")
