@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import pack, stage_out, unpack
 
 MIN_WORDS = 50
+#: Marks of lines to delete are broadcast if they measure no more than this; beyond, texts are shuffled to them.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
 
 
 def _words(line: Column) -> Column:
@@ -93,7 +95,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS)
     gone = stage_out(spark, repeated_lines(spark, keyed.select("doc", "tie", "text"), min_words), "gone")
     # one character a line: 1 if the line goes
     marks = F.array_join(F.transform("gone", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.col("gone")[i - 1]).otherwise(-1) - 1), F.lit("1"))), "")
-    out = keyed.join(gone.select("doc", "tie", marks.alias("marks"), F.size("gone").cast("long").alias("removed")), ["doc", "tie"], "left")
+    gone = gone.select("doc", "tie", marks.alias("marks"), F.size("gone").cast("long").alias("removed"))
+    n, chars = gone.agg(F.count(F.lit(1)), F.sum(F.length("marks"))).first()
+    if n * ROW_BYTES + (chars or 0) <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    out = keyed.join(gone, ["doc", "tie"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.substring("marks", i + 1, F.lit(1)) != "1"), "\n")
     return out.select(
         "doc_id",
