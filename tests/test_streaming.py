@@ -78,3 +78,23 @@ def test_callbacks(spark, tmp_path):
 def test_event_time(spark):
     df = spark.createDataFrame([(1770003054104,)], "event_ts bigint")
     assert streaming.with_event_time(df).select(F.unix_millis("event_time")).first()[0] == 1770003054104
+
+
+def test_main_consolidates_feeds(spark, tmp_path):
+    import pytest
+
+    from tickloom.__main__ import start
+
+    (tmp_path / "in").mkdir()
+    land(tmp_path / "in" / "binance", "a.txt", [*ROWS, (7, 50.0, 1200, "dogeusdt")])
+    okx = '{"arg":{"channel":"trades"},"data":[{"instId":"BTC-USDT","tradeId":"1","px":"5","sz":"3","ts":"900"}]}'
+    (tmp_path / "in" / "okx").mkdir()
+    (tmp_path / "in" / "okx" / "a.txt").write_text(okx + "\n" + okx + "\n")
+    args = [f"--input=file://{tmp_path}/in", f"--output=file://{tmp_path}/out", f"--checkpoint=file://{tmp_path}/checkpoint", "--emit=all", "--interval_ms=5000"]
+    start(spark, args).awaitTermination()
+    found = {(r.instrument, r.window_start_ms): r for r in streaming.written(spark, f"file://{tmp_path}/out").collect()}
+    assert {k[0] for k in found} == {"BTCUSDT"}
+    c = found[("BTCUSDT", 0)]
+    assert (c.exchange, c.open, c.high, c.low, c.close, c.base_volume) == ("OKX", 5.0, 12.0, 5.0, 12.0, 5.0)
+    with pytest.raises(ValueError):
+        start(spark, args[:1])
