@@ -155,8 +155,11 @@ def train(rows: list[tuple[bytes, int]], seed: int = 11) -> QualityModel:
         logit = np.float32(np.log((share + 1e-9) / (1 - share + 1e-9)))
         return QualityModel(index_vectors(), [np.zeros(DIM), np.ones(DIM), np.zeros((DIM, 1)), np.zeros(1), zero[:1, 0] * 0, logit], 1.0)
     rng = np.random.default_rng(seed)
-    rows = [*rows, *(excerpt(t, q, rng) for t, q in rows)]
     rows = [rows[i] for i in rng.permutation(len(rows))]
+    # texts set apart for the temperature, unless the others are of one class
+    aside = max(2, len(rows) // 5)
+    aside = aside if len({q for _, q in rows[aside:]}) == 2 else 0
+    rows = [*rows, *(excerpt(t, q, rng) for t, q in rows[aside:])]
     y = np.array([r[1] for r in rows], np.float64)
     hasher = WordHasher()
     data, off = joined([r[0] for r in rows])
@@ -167,9 +170,7 @@ def train(rows: list[tuple[bytes, int]], seed: int = 11) -> QualityModel:
     x = pooled(vectors, ids, ends)
     mean, spread = x.mean(0), x.std(0) + 1e-3
     x = (x - mean) / spread
-    apart = np.zeros(len(y), bool)
-    apart[: max(2, len(y) // 5)] = True  # for the temperature
-    fit = ~apart if len(set(y[~apart].tolist())) == 2 else np.ones(len(y), bool)
+    apart, fit = slice(0, aside or len(y)), slice(aside, None)
     a, b = rng.normal(0, DIM**-0.5, (DIM, HIDDEN)), np.zeros(HIDDEN)
     c, d = rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (a, b, c, d)]
