@@ -100,8 +100,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .join(F.broadcast(drawn.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
         .select("doc_id", "text", "y", order.alias("o"))
     )
-    parts = [rows.where(F.col("y") == y).orderBy("o", "doc_id", "text").limit(per_class).collect() for y in (0, 1)]
-    return [(bytes(r.text), int(r.y)) for part in parts for r in part]
+    # one scan; at most four times per_class texts arrive, of which each class's first ones in hash order are used
+    found = rows.orderBy("o", "doc_id", "text").limit(4 * per_class).collect()
+    return [(bytes(r.text), int(r.y)) for y in (0, 1) for r in [r for r in found if r.y == y][:per_class]]
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
