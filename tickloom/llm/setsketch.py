@@ -13,12 +13,15 @@ likelier the more alike two sets are.
    rule the similarity out are left; the joint likelihood of the two sketches gives an estimate,
    and pairs far below the threshold by it are left too.
 5. What remains is verified on the full sets of 64-bit shingle hashes; verified links join components.
-6. A bucket is done when its classes are one component or when all its pairs have been met; rounds
-   take ever more leaders until every bucket is done.  So no bucket is capped, and buckets of
+6. Before a pair is made, masks of which hash values occur in its sets bound the intersection from above.
+   The bound is exact, so no link is lost by it; it keeps all but a few unlinked near copies apart.
+7. A bucket is done when its classes are one component or when all its pairs have been met; the third
+   round has every class as a leader.  So no bucket is capped, and buckets of
    thousands of near copies need a few leaders each, not all pairs.
 
 At the threshold of 0.8 a pair shares no band with probability (1 - 0.8^4)^24 = 3e-6; the estimate's
-cut is MARGIN = 0.25 below the threshold, some five standard deviations.
+cut is MARGIN = 0.125 below the threshold, five standard deviations.  In later rounds a pair counts in
+the first band only that it shares, so that it is met once.
 
 Skew: sets are collapsed by pre-aggregation, buckets are counted before they are joined, and joins are
 plain sort-merge joins of narrow rows, which Spark splits.
@@ -38,14 +41,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHasher, byte_view, chunks, mix, small_or_shuffled, stage_out, window_hashes, word_spans
+from .common import LOWER, WordHasher, arrow_rows, byte_view, chunks, drop_stage, mix, small_or_shuffled, stage_out, window_hashes, word_spans
 
-REGISTERS, BAND = 96, 4
+#: Registers of a sketch; the first BANDS * BAND of them are banded, all serve the estimate.
+REGISTERS, BANDS, BAND = 256, 24, 4
 BASE, RATE = 1.02, 20.0
 LIMIT = 4094  # largest register
-MARGIN = 0.25
-#: Leaders that a bucket's classes have met after each round, as an expected number; buckets of at most
-#: SMALL classes are settled in the first.
+MARGIN = 0.125
+#: 64-bit words of the mask that bounds intersections.
+MASK_WORDS = 16
+#: Leaders that a bucket's classes meet in the first round, as an expected number, GROWTH times as many in the
+#: second, all in the third; buckets of at most SMALL classes are settled in the first.
 SMALL, LEADERS, GROWTH = 4, 2, 8
 
 INSIDE = np.ones(256, bool)
@@ -130,7 +136,7 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
 
 
 def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, k1, k2 (digest of the set), sketch, bands of each row."""
+    """doc_id, n, k1, k2 (digest of the set), sketch, bands, mask of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -144,21 +150,29 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                 k = sketches(sets)
                 bands = band_keys(k)
                 raw = pa.array([r.tobytes() for r in k], pa.binary())
-                values = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), pa.array(bands.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(k1), pa.array(k2), raw, values], ["doc_id", "n", "k1", "k2", "sketch", "bands"])
+                values, mask = (pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1))) for x in (bands, masks(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(k1), pa.array(k2), raw, values, mask], ["doc_id", "n", "k1", "k2", "sketch", "bands", "mask"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch binary, bands array<long>, mask array<long>")
 
 
 def band_keys(k: np.ndarray) -> np.ndarray:
     """[sets, bands] hashes of each band's registers and its number."""
-    wide = k.astype(np.uint64).reshape(len(k), -1, BAND)
+    wide = k[:, : BANDS * BAND].astype(np.uint64).reshape(len(k), BANDS, BAND)
     h = np.arange(1, wide.shape[1] + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
     for j in range(BAND):
         h = mix(h + wide[:, :, j])
     return np.ascontiguousarray(h).view(np.int64)
 
 
+def masks(sets: list[np.ndarray]) -> np.ndarray:
+    """[sets, MASK_WORDS]: a bit for each hash value modulo the mask's bits that a set has a shingle of."""
+    out = np.zeros((len(sets), MASK_WORDS * 64), bool)
+    for row, s in zip(out, sets, strict=True):
+        row[(s >> np.uint64(20)) % np.uint64(MASK_WORDS * 64)] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.int64)
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     """doc_id and its set as packed 64-bit integers."""
 
@@ -231,67 +245,89 @@ def _ratio(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _apart(rest: DataFrame) -> DataFrame:
+    """Rows of buckets whose classes are of more than one component."""
+    split = rest.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(F.col("band").alias("_s"))
+    return rest.join(split, F.col("band") == F.col("_s"), "left_semi")
+
+
+def _within(n: Column, mask: Column, n_other: Column, mask_other: Column, percent: int) -> Column:
+    """Whether an upper bound of the intersection allows the similarity: a bit that one set has and the other hasn't is a shingle that they don't share."""
+
+    def lost(x: Column, y: Column) -> Column:
+        return reduce(Column.__add__, [F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(MASK_WORDS)])
+
+    return (100 + percent) * F.least(n - lost(mask, mask_other), n_other - lost(mask_other, mask)) >= percent * (n + n_other)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
-    sketched = stage_out(spark, _scan(docs, shingle), "sketches")
-    named = sketched.where("doc_id is not null and n > 0")
+    with arrow_rows(spark, 1000):
+        sketched = stage_out(spark, _scan(docs, shingle), "sketches")
+    members = stage_out(spark, sketched.select("doc_id", "n", "k1", "k2"), "members")
     # equal sets are one class; sizes are in the key, so that no count is needed
-    classes = stage_out(spark, named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = named.join(classes.select(F.col("rep").alias("doc_id"), F.col("n").alias("_n"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), "doc_id").where("n = _n and k1 = _k1 and k2 = _k2")
+    classes = stage_out(spark, members.where("doc_id is not null and n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    own = classes.select(F.col("rep").alias("doc_id"), F.col("n").alias("_n"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    reps = sketched.where("doc_id is not null and n > 0").join(own, "doc_id").where("n = _n and k1 = _k1 and k2 = _k2")
     # one row a class even where rows repeat an id
-    reps = stage_out(spark, reps.groupBy("doc_id", "n").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "reps")
-    banded = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("band"))
+    reps = stage_out(spark, reps.groupBy("doc_id", "n").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("mask").alias("mask")), "reps")
+    drop_stage(spark, sketched)
+    banded = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("at", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    # a class's rank among a bucket's leaders, uniform in [0, 1), another one in each bucket
+    # a class's rank among a bucket's leaders, uniform in [0, g), another one in each bucket
     chance = F.pmod(F.xxhash64("id", "band"), F.lit(1 << 30)) / float(1 << 30)
-    buckets = stage_out(spark, banded.join(shared, "band").withColumn("u", chance * F.col("g")), "buckets")
+    narrow = stage_out(spark, banded.join(shared, "band").withColumn("u", chance * F.col("g")), "narrow")
+    buckets = stage_out(spark, narrow.join(reps.select(F.col("doc_id").alias("id"), "bands", "mask"), "id"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     links: list[DataFrame] = []
     labels: DataFrame | None = None
     least, most, largest = 0.0, float(LEADERS), buckets.agg(F.max("g")).first()[0] or 0
-    open_buckets = buckets
+    going, pool = buckets, buckets.where(F.col("g") > SMALL)
     while largest:
-        small = (F.col("g") <= SMALL) if not links else F.lit(False)
-        lead = open_buckets.where(small | ((F.col("u") >= least) & (F.col("u") < most)))
-        right = lead.select(F.col("band").alias("_band"), F.col("id").alias("lead"), F.col("n").alias("n_lead"), *([F.col("label").alias("l_lead")] if labels is not None else []))
-        met = open_buckets.join(right, F.col("band") == F.col("_band")).where((F.col("id") != F.col("lead")) & _ratio(F.col("n"), F.col("n_lead"), percent))
-        if labels is not None:
-            met = met.where("label <> l_lead")
-        pairs = met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        first = least == 0
+        lead = going.where((F.col("u") >= least) & (F.col("u") < most) | (F.col("g") <= SMALL if first else F.lit(False)))
+        right = lead.select(*[F.col(c).alias(f"{c}_lead") for c in lead.columns])
+        met = (F.col("band") == F.col("band_lead")) & (F.col("id") != F.col("id_lead")) & _ratio(F.col("n"), F.col("n_lead"), percent)
+        bound = _within(F.col("n"), F.col("mask"), F.col("n_lead"), F.col("mask_lead"), percent)
+        if first:
+            met &= bound
+        else:
+            met &= F.col("label") != F.col("label_lead")
+            met &= bound & (F.array_position(F.zip_with("bands", "bands_lead", lambda x, y: x == y), True) == F.col("at") + 1)
+        pairs = going.join(right, met).select(F.least("id", "id_lead").alias("a"), F.greatest("id", "id_lead").alias("b")).distinct()
         side = reps.select("doc_id", "n", "sketch")
         pairs = pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
-        likely = stage_out(spark, _estimated(pairs, percent / 100 - MARGIN), "likely")
-        n_likely = likely.count()
-        if n_likely:
-            ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        with arrow_rows(spark, 2000):
+            likely = stage_out(spark, _estimated(pairs, percent / 100 - MARGIN), "likely")
+        if not likely.isEmpty():
             # the sets of classes in question only, recomputed from their texts in one scan a round
-            ids = stage_out(spark, ends, "ends")
-            wanted = texts.join(small_or_shuffled(ids, ids.count()), "doc_id", "left_semi")
-            sets = stage_out(spark, _sets(wanted, shingle), "sets")
+            ends = stage_out(spark, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "ends")
+            wanted = texts.join(small_or_shuffled(ends, ends.count()), "doc_id", "left_semi")
+            with arrow_rows(spark, 1000):
+                sets = stage_out(spark, _sets(wanted, shingle), "sets")
             full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-            links.append(stage_out(spark, _verified(full, percent).distinct(), "links"))
-        if links:
+            with arrow_rows(spark, 200):
+                links.append(stage_out(spark, _verified(full, percent).distinct(), "links"))
+            drop_stage(spark, sets)
             labels = components(spark, reduce(DataFrame.unionByName, links))
         if most >= largest:
             break
         # buckets that go on: more than one component, and pairs not met yet
-        rest = buckets.where((F.col("g") > SMALL) & (F.col("g") > most))
-        if labels is not None:
-            rest = rest.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            split = rest.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(F.col("band").alias("_b"))
-            rest = rest.join(split, F.col("band") == F.col("_b"), "left_semi")
-        open_buckets = stage_out(spark, rest, "open")
-        if open_buckets.isEmpty():
+        rest = pool.where(F.col("g") > most)
+        rest = rest.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")) if labels is not None else rest.withColumn("label", F.col("id"))
+        going = stage_out(spark, _apart(rest), "rest")
+        if going.isEmpty():
             break
-        least, most = most, most * GROWTH
+        pool = going.drop("label")
+        least, most = most, most * GROWTH if first else float(largest)
 
     of_class = classes.select("n", "k1", "k2", "rep")
     if labels is not None:
         of_class = of_class.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("n", "k1", "k2", F.coalesce("label", "rep").alias("label"))
     else:
         of_class = of_class.withColumnRenamed("rep", "label")
-    out = sketched.select("doc_id", "n", "k1", "k2").join(of_class, ["n", "k1", "k2"], "left")
+    out = members.join(of_class, ["n", "k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("label")), F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -299,4 +335,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
 def keep_representatives(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs that stay, one document of each component."""
     dropped = stage_out(spark, near_duplicates(spark, docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    return docs.join(small_or_shuffled(dropped, dropped.count()), docs["doc_id"] == F.col("_id"), "left_anti")
+    side = small_or_shuffled(dropped, dropped.count())
+    return docs.join(side, docs["doc_id"] == side["_id"], "left_anti")
