@@ -32,7 +32,7 @@ def test_queries_match_duckdb(spark):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("events", "documents", "pages"):
+    for t in ("events", "documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
 
     def rows(frame):
