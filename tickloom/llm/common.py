@@ -81,10 +81,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int) -> list[tuple[bytes, int]]:
-    """At most per_class texts of each class, in hash order of doc_id, never held-out ones.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int], max_bytes: int) -> list[tuple[bytes, int]]:
+    """At most per_class[y] texts of class y, in hash order of doc_id, never held-out ones.
 
-    The bound is per_class rows a class and max_bytes a text (longer texts are passed over as training
+    The bound is per_class rows and max_bytes a text (longer texts are passed over as training
     rows, not cut), so what the driver receives is bounded whatever the input.  Candidates are drawn
     twice over, so that texts passed over are replaced.
     """
@@ -92,7 +92,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = F.xxhash64("doc_id")
     drawn = None
     for y in (0, 1):
-        part = own.where(F.col("y") == y).orderBy(order, "doc_id").limit(2 * per_class)
+        part = own.where(F.col("y") == y).orderBy(order, "doc_id").limit(2 * per_class[y])
         drawn = part if drawn is None else drawn.unionByName(part)
     rows = (
         docs.where(F.octet_length("text") <= max_bytes)
@@ -100,9 +100,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .join(F.broadcast(drawn.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
         .select("doc_id", "text", "y", order.alias("o"))
     )
-    # one scan; at most four times per_class texts arrive, of which each class's first ones in hash order are used
-    found = rows.orderBy("o", "doc_id", "text").limit(4 * per_class).collect()
-    return [(bytes(r.text), int(r.y)) for y in (0, 1) for r in [r for r in found if r.y == y][:per_class]]
+    # one scan; at most twice per_class texts arrive, of which each class's first ones in hash order are used
+    found = rows.orderBy("o", "doc_id", "text").limit(2 * sum(per_class)).collect()
+    return [(bytes(r.text), int(r.y)) for y in (0, 1) for r in [r for r in found if r.y == y][: per_class[y]]]
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

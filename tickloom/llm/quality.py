@@ -32,8 +32,8 @@ DIM = 24
 NONZERO = 6
 WINDOW = 2
 HIDDEN = 24
-#: Bound of the labelled sample: rows of each class, bytes of a text.
-PER_CLASS, MAX_BYTES = 1500, 9_000
+#: Bound of the labelled sample: rows of class 0 and of class 1, bytes of a text.
+PER_CLASS, MAX_BYTES = (1500, 1500), 9_000
 STEPS, RATE, DECAY = 300, 0.02, 1e-4
 DIGIT, UPPER, REPEAT = 1, 2, 3
 
@@ -190,7 +190,7 @@ def train(rows: list[tuple[bytes, int]], seed: int = 11) -> QualityModel:
     return QualityModel(vectors, layers, float(grid[int(np.argmin(loss))]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: tuple[int, int] = PER_CLASS, max_bytes: int = MAX_BYTES) -> QualityModel:
     return train(labelled_sample(docs, labels, label, per_class, max_bytes))
 
 

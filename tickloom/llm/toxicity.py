@@ -26,10 +26,10 @@ from .common import BYTE_VALUES, LOWER, byte_view, chunks, held_out, joined, lab
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIM = 4
-#: Bound of the labelled sample: rows of each class, bytes of a text.
-PER_CLASS, MAX_BYTES = 1700, 9_000
+#: Bound of the labelled sample: rows of class 0 and of class 1, bytes of a text.
+PER_CLASS, MAX_BYTES = (3400, 1700), 9_000
 STEPS, RATE, DECAY, SCALE = 90, 0.05, 1e-5, 30.0
-POSITIVE = 0.4
+POSITIVE = 0.3
 
 
 def _marks() -> np.ndarray:
@@ -164,7 +164,7 @@ def train(rows: list[tuple[bytes, int]], seed: int = 7) -> ToxicityModel:
     return ToxicityModel(weight, float(b[1] - b[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS, max_bytes: int = MAX_BYTES) -> ToxicityModel:
     return train(labelled_sample(docs, labels, label, per_class, max_bytes))
 
 
