@@ -189,8 +189,11 @@ def test_difference_permutes_entries(parts):
     assert all(sorted(e) == [0, 1, 2] for e in out)
 
 
-def test_shards(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "GROUPS_A_PART", 40)
+@pytest.mark.parametrize("most", [4096, 3])
+def test_shards(spark, monkeypatch, most):
+    monkeypatch.setattr(sharding, "GROUPS_A_PART", 10)
+    monkeypatch.setattr(sharding, "MAX_PARTS", most)
+    monkeypatch.setattr(sharding, "PARTS_A_TASK", 4)
     rng = random.Random(1)
     rows = [(i, "é" * rng.randint(0, 90)) for i in range(600)] + [(700, None), (None, "null id"), (None, "null id"), (3, "again")]
     found = sharding.shard_by_bytes(spark, frame(spark, rows)).collect()

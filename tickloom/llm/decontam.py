@@ -6,7 +6,7 @@ are scanned once: hashes of their word windows are looked up in the sorted set,
 word for word before it counts.  A document word inside any verified window is hit; documents or the
 hit spans can then be removed.
 
-The set is broadcast only while it holds at most BLOCK_WINDOWS windows.  A larger benchmark is taken in
+The set is broadcast only while its items can have no more than BLOCK_WINDOWS windows.  A larger benchmark is taken in
 blocks of items, one scan each, and the verified spans of all blocks are united by row.
 
 Null and empty texts have no words and no hits; items without words have no window.  Repeated items
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, WordHasher, byte_view, chunks, joined, pack, shared_dir, stage_out, unpack, window_hashes, word_spans
 
 WINDOW = 10
-#: Windows in one broadcast set: hash, item and text position, some 24 bytes each beside the items' texts.
-BLOCK_WINDOWS = 1_000_000
+#: Words in the items of one broadcast set at most; a window takes some 500 bytes in a worker.
+BLOCK_WINDOWS = 200_000
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True

@@ -3,8 +3,8 @@
 Each group is a partial partition that has its bytes in one shard and none in the others.  The two
 partial partitions of largest spread are combined again and again, the fullest shards of one with the
 emptiest of the other, until one is left; going back over the combinations gives each group its shard.
-Tasks difference their own groups first, GROUPS_A_PART at a time; the driver goes on with one vector of
-sums per part, so what it gets is a row for GROUPS_A_PART groups.
+Tasks difference their own groups first, GROUPS_A_PART at a time, which leaves one vector of sums a part;
+parts are differenced in tasks again until at most MAX_PARTS are left, and the driver ends it.
 
 A group of a third of all rows stays whole (that is the contract of a group), but no task handles it
 whole: its bytes come from a pre-aggregated sum, and rows find their shard by a join that Spark can split.
@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_shuffled, stage_out
+from .common import stage_out
 
 GROUPS_A_PART = 20_000
+#: Parts that the driver differences at most, and parts of a task in the steps before.
+MAX_PARTS, PARTS_A_TASK = 4096, 1000
 ROWS_A_BUCKET, MIN_BUCKETS, MAX_BUCKETS = 20_000, 64, 4096
 
 
@@ -74,6 +76,23 @@ def difference(parts: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def _combined(sums: DataFrame, groups: int, shards: int) -> DataFrame:
+    """part, entry, bytes with up, up_entry: parts are dealt into groups, each differenced in one task."""
+
+    def together(t: pa.Table) -> pa.Table:
+        own: dict[int, list[int]] = {}
+        for p, e, b in zip(t["part"].to_pylist(), t["entry"].to_pylist(), t["bytes"].to_pylist(), strict=True):
+            own.setdefault(p, [0] * shards)[e] = b
+        ids = sorted(own)
+        rows = [(p, e, own[p][e], s) for p, entries in zip(ids, difference([own[p] for p in ids]), strict=True) for e, s in enumerate(entries)]
+        up = t["up"][0].as_py()
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*((p, e, b, up, s) for p, e, b, s in rows), strict=True), kinds, strict=True)], ["part", "entry", "bytes", "up", "up_entry"])
+
+    dealt = sums.withColumn("up", F.pmod(F.xxhash64("part"), F.lit(groups)))
+    return dealt.groupBy("up").applyInArrow(together, "part long, entry int, bytes long, up long, up_entry int")
+
+
 def shard_by_bytes(spark: SparkSession, docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -106,14 +125,20 @@ def shard_by_bytes(spark: SparkSession, docs: DataFrame, shards: int = 16) -> Da
             yield flush()
 
     placed = stage_out(spark, groups.mapInArrow(own, "part long, h long, bytes long, entry int"), "parts")
-    # one row for each part and entry: shards rows for GROUPS_A_PART groups
-    sums: dict[int, list[int]] = {}
-    for r in placed.groupBy("part", "entry").agg(F.sum("bytes").alias("bytes")).orderBy("part", "entry").toLocalIterator():
-        sums.setdefault(r.part, [0] * shards)[r.entry] = r.bytes
-    ids = sorted(sums)
-    final = difference([sums[p] for p in ids])
+    # parts are combined in tasks until the driver can take the rest: a row for each part and entry
+    held = placed.select("h", "part", "entry")
+    sums = placed.groupBy("part", "entry").agg(F.sum("bytes").alias("bytes"))
+    while (parts := sums.select("part").distinct().count()) > MAX_PARTS:
+        step = stage_out(spark, _combined(sums, -(-parts // PARTS_A_TASK), shards), "combined")
+        held = held.join(step.select("part", "entry", "up", "up_entry"), ["part", "entry"]).select("h", F.col("up").alias("part"), F.col("up_entry").alias("entry"))
+        sums = step.groupBy(F.col("up").alias("part"), F.col("up_entry").alias("entry")).agg(F.sum("bytes").alias("bytes"))
+    last: dict[int, list[int]] = {}
+    for r in sums.orderBy("part", "entry").collect():
+        last.setdefault(r.part, [0] * shards)[r.entry] = r.bytes
+    ids = sorted(last)
+    final = difference([last[p] for p in ids])
     lookup = spark.createDataFrame([(p, e, s) for p, entries in zip(ids, final, strict=True) for e, s in enumerate(entries)], "part long, entry int, shard int")
-    of_group = placed.join(small_or_shuffled(lookup, len(ids) * shards), ["part", "entry"]).select("h", "shard")
+    of_group = held.join(F.broadcast(lookup), ["part", "entry"]).select("h", "shard")
     n = rows.count()
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, n // (shards * ROWS_A_BUCKET)))
     bucket = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int")
