@@ -97,6 +97,15 @@ def test_okx_channels(spark):
 
 
 def test_messages_are_parsed_once(spark):
-    plan = parsers.accepted(parsers.parse(raw(spark, BINANCE), "binance")).select("price")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("parse_json") + plan.count("parseJson") <= 1
-    assert "Python" not in plan
+    for feed, times in (("binance", 2), ("binance_raw", 2), ("bybit", 1), ("bybit_provider", 1), ("okx", 1)):
+        plan = parsers.accepted(parsers.parse(raw(spark, BINANCE), feed)).select("price", "trade_ts")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") == times, plan
+        assert "Python" not in plan
+
+
+@pytest.mark.parametrize("feed", list(parsers.PARSERS))
+def test_messages_within_an_array_are_rejected(spark, feed):
+    data = '"data":[{"instId":"BTC-USDT","tradeId":"9","px":"1.5","sz":"2","ts":"77"}]'
+    good = {"binance": BINANCE, "binance_raw": '{"e":"trade","s":"x","t":1,"p":"1","q":"1","T":1}', "okx": "{" + data + "}"}.get(feed, bybit(f"[{item()}]"))
+    assert len(trades(spark, feed, good, " \n" + good)) == 2
+    assert reasons(spark, feed, f"[{good}]") == ["malformed"]

@@ -10,8 +10,8 @@ reject is one of
     missing_field  a field that the feed must have isn't there
     bad_number     a number that isn't written as one, isn't finite or doesn't fit
 
-Every message is parsed once: fields are taken from one parsed value, and rows come from a generator,
-below which Catalyst doesn't push predicates on them.  All is built-in expressions, so that it runs in
+Every message is parsed once, or twice where keys that differ by case only are both read: fields are taken
+from the parsed value, and rows come from a generator, below which Catalyst doesn't push predicates on them.  All is built-in expressions, so that it runs in
 whole-stage code and in streams.
 """
 
@@ -72,47 +72,35 @@ def _numbers(raw: tuple[Column, ...], read: tuple[Column, ...]) -> Column:
 
 def binance(raw: DataFrame, recv_ts: Column | None = None) -> DataFrame:
     """Combined stream: one trade in `data`, whose kind isn't looked at."""
-    recv = now_ms() if recv_ts is None else recv_ts
-    parsed = raw.select("value", recv.alias("recv_ts"), F.try_parse_json("value").alias("v"))
-    # paths in a variant tell E from e and T from t
-    get = lambda path, kind: F.try_variant_get("v", f"$.data.{path}", kind)
-    fields = parsed.select(
-        "value",
-        "recv_ts",
-        F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.data", "variant")).startswith("OBJECT"), F.lit(False)).alias("shaped"),
-        get("s", "string").alias("s"),
-        *[get(c, "string").alias(f"text_{n}") for n, c in (("id", "t"), ("p", "p"), ("q", "q"), ("event", "E"), ("trade", "T"))],
-    )
-    texts = tuple(F.col(f"text_{n}") for n in ("id", "p", "q", "event", "trade"))
+    m = _json(raw, schemas.BINANCE, recv_ts, schemas.BINANCE_TIME)
+    d = F.col("m.data")
+    texts = (d["t"], d["p"], d["q"], d["E"], F.col("m2.data.T"))
     read = (to_id(texts[0]), to_double(texts[1]), to_double(texts[2]), to_id(texts[3]), to_id(texts[4]))
-    reject = F.when(_any_null(F.col("s"), *texts), "missing_field").when(_numbers(texts, read), "bad_number")
-    good = F.array(_trade("BINANCE", F.col("s"), *read, F.col("recv_ts"), reject))
-    return _rows(fields, F.when(F.col("shaped"), good).otherwise(_nothing("BINANCE", F.lit("malformed"), F.col("recv_ts"))))
+    reject = F.when(_any_null(d["s"], *texts), "missing_field").when(_numbers(texts, read), "bad_number")
+    good = F.array(_trade("BINANCE", d["s"], *read, F.col("recv_ts"), reject))
+    return _rows(m, F.when(_broken(d), _nothing("BINANCE", F.lit("malformed"), F.col("recv_ts"))).otherwise(good))
 
 
 def binance_raw(raw: DataFrame, recv_ts: Column | None = None) -> DataFrame:
     """Raw stream: keys at the top, of kind trade only; fields that are missing stay null."""
-    recv = now_ms() if recv_ts is None else recv_ts
-    parsed = raw.select("value", recv.alias("recv_ts"), F.try_parse_json("value").alias("v"))
-    get = lambda path: F.try_variant_get("v", f"$.{path}", "string")
-    fields = parsed.select(
-        "value",
-        "recv_ts",
-        F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)).alias("shaped"),
-        get("e").alias("e"),
-        F.upper(get("s")).alias("s"),
-        *[get(c).alias(f"text_{n}") for n, c in (("id", "t"), ("p", "p"), ("q", "q"), ("trade", "T"))],
-    )
-    texts = tuple(F.col(f"text_{n}") for n in ("id", "p", "q", "trade"))
+    m = _json(raw, schemas.BINANCE_RAW, recv_ts, schemas.BINANCE_RAW_TIME)
+    texts = (F.col("m.t"), F.col("m.p"), F.col("m.q"), F.col("m2.T"))
     read = (to_id(texts[0]), to_double(texts[1]), to_double(texts[2]), to_id(texts[3]))
-    good = F.array(_trade("BINANCE", F.col("s"), read[0], read[1], read[2], read[3], read[3], F.col("recv_ts"), F.when(_numbers(texts, read), "bad_number")))
-    reason = F.when(~F.col("shaped"), "malformed").otherwise("not_trade")
-    return _rows(fields, F.when(F.col("shaped") & F.col("e").eqNullSafe("trade"), good).otherwise(_nothing("BINANCE", reason, F.col("recv_ts"))))
+    good = F.array(_trade("BINANCE", F.upper("m.s"), read[0], read[1], read[2], read[3], read[3], F.col("recv_ts"), F.when(_numbers(texts, read), "bad_number")))
+    rows = F.when(_broken(F.col("m")), _nothing("BINANCE", F.lit("malformed"), F.col("recv_ts"))).when(~F.col("m.e").eqNullSafe("trade"), _nothing("BINANCE", F.lit("not_trade"), F.col("recv_ts"))).otherwise(good)
+    return _rows(m, rows)
 
 
-def _json(raw: DataFrame, schema: str, recv_ts: Column | None) -> DataFrame:
+def _json(raw: DataFrame, schema: str, recv_ts: Column | None, apart: str | None = None) -> DataFrame:
+    """value, recv_ts, object (whether the text is of an object), m and, by a schema of its own, m2."""
     recv = now_ms() if recv_ts is None else recv_ts
-    return raw.select("value", recv.alias("recv_ts"), F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("m"))
+    more = [F.from_json("value", apart).alias("m2")] if apart else []
+    return raw.select("value", recv.alias("recv_ts"), F.col("value").rlike(r"^\s*\{").alias("object"), F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("m"), *more)
+
+
+def _broken(data: Column) -> Column:
+    """Whether a message isn't an object, can't be parsed or lacks its data."""
+    return F.coalesce(~F.col("object") | F.col("m._corrupt").isNotNull() | F.col("m").isNull() | data.isNull(), F.lit(True))
 
 
 def bybit(raw: DataFrame, recv_ts: Column | None = None) -> DataFrame:
@@ -125,7 +113,7 @@ def bybit(raw: DataFrame, recv_ts: Column | None = None) -> DataFrame:
         reject = F.when(_any_null(x["T"], *texts), "missing_field").when(_numbers(texts, read), "bad_number")
         return _trade("BYBIT", F.col("symbol"), read[0], read[1], read[2], F.col("m.ts"), x["T"], F.col("recv_ts"), reject)
 
-    wrong = F.col("m._corrupt").isNotNull() | _any_null(F.col("m.topic"), F.col("m.type"), F.col("m.ts"), F.col("m.data")) | F.col("m").isNull() | F.exists("m.data", lambda x: x.isNull())
+    wrong = _broken(F.col("m.data")) | _any_null(F.col("m.topic"), F.col("m.type"), F.col("m.ts")) | F.exists("m.data", lambda x: x.isNull())
     m = m.withColumn("rows", F.when(~F.coalesce(wrong, F.lit(True)), F.transform("m.data", element)))
     first = F.filter("rows", lambda r: r["reject"].isNotNull())
     rows = F.when(F.col("rows").isNull(), _nothing("BYBIT", F.lit("malformed"), F.col("recv_ts"))).when(F.size(first) > 0, _nothing("BYBIT", F.get(first, F.lit(0))["reject"], F.col("recv_ts"))).otherwise(F.col("rows"))
@@ -142,7 +130,7 @@ def bybit_provider(raw: DataFrame, recv_ts: Column | None = None) -> DataFrame:
         return _trade("BYBIT", x["s"], read[0], read[1], read[2], x["T"], x["T"], F.col("recv_ts"), F.when(x.isNull(), "malformed").when(_numbers(texts, read), "bad_number"))
 
     trades = F.coalesce(F.col("m.topic").contains("publicTrade"), F.lit(False))
-    wrong = F.coalesce(F.col("m._corrupt").isNotNull() | F.col("m").isNull() | (trades & F.col("m.data").isNull()), F.lit(True))
+    wrong = _broken(F.col("m")) | (trades & F.col("m.data").isNull())
     rows = F.when(wrong, _nothing("BYBIT", F.lit("malformed"), F.col("recv_ts"))).when(~trades, _nothing("BYBIT", F.lit("not_trade"), F.col("recv_ts"))).otherwise(F.transform("m.data", element))
     return _rows(m, rows)
 
@@ -157,7 +145,7 @@ def okx(raw: DataFrame, recv_ts: Column | None = None) -> DataFrame:
         return _trade("OKX", symbol_of_okx(x["instId"]), read[0], read[1], read[2], read[3], read[3], F.col("recv_ts"), F.when(x.isNull(), "malformed").when(_numbers(texts, read), "bad_number"))
 
     other = F.coalesce(F.col("m.arg.channel") != "trades", F.lit(False))
-    wrong = F.coalesce(F.col("m._corrupt").isNotNull() | F.col("m").isNull() | F.col("m.data").isNull(), F.lit(True))
+    wrong = _broken(F.col("m.data"))
     rows = F.when(wrong, _nothing("OKX", F.lit("malformed"), F.col("recv_ts"))).when(other, _nothing("OKX", F.lit("not_trade"), F.col("recv_ts"))).otherwise(F.transform("m.data", element))
     return _rows(m, rows)
 

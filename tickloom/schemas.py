@@ -21,7 +21,12 @@ CANDLE = _schema(
 )
 CANDLE_COLUMNS = tuple(f.name for f in CANDLE)
 
-#: Only what is read: of key pairs that differ by case, one at most, so that fields stay unambiguous.
+#: Only what is read: of key pairs that differ by case, one at most, so that fields stay unambiguous. Where both
+#: of a pair are read, they are read apart. As strings, numbers keep the text that they are written in.
+BINANCE = "data struct<E: string, s: string, t: string, p: string, q: string>, _corrupt string"
+BINANCE_TIME = "data struct<T: string>"
+BINANCE_RAW = "e string, s string, t string, p string, q string, _corrupt string"
+BINANCE_RAW_TIME = "T string"
 BYBIT = "topic string, ts bigint, type string, data array<struct<i: string, T: bigint, p: string, v: string>>, _corrupt string"
 BYBIT_PROVIDER = "topic string, data array<struct<i: string, T: bigint, p: string, v: string, s: string>>, _corrupt string"
 OKX = "arg struct<channel: string>, data array<struct<instId: string, tradeId: string, px: string, sz: string, ts: string>>, _corrupt string"
