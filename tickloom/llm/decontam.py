@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, WordHasher, byte_view, chunks, joined, pack, shared_dir, stage_out, unpack, window_hashes, word_spans
 
@@ -149,7 +150,8 @@ def _scan(spark: SparkSession, docs: DataFrame, items: list[tuple[str, bytes]],
             extra = [pa.array(words), pa.array(hits, kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "_n_words", "_hits", "_items"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_n_words bigint", "_hits array<struct<start:bigint,words:int>>", "_items array<string>"])
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.IntegerType())]))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_hits", spans), T.StructField("_items", T.ArrayType(T.StringType()))])
     return docs.mapInArrow(run, schema)
 
 

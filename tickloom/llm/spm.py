@@ -18,14 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁".encode()
 CONTROL, USER_DEFINED, BYTE = 3, 4, 6
 #: Texts that are encoded together, and their bytes.
 BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
-COLUMNS = {"ids": "array<int>", "ids_le": "binary", "begins": "array<int>", "ends": "array<int>", "decoded": "string", "aligned": "boolean", "n_ids": "bigint"}
+_INTS = T.ArrayType(T.IntegerType())
+COLUMNS = {"ids": _INTS, "ids_le": T.BinaryType(), "begins": _INTS, "ends": _INTS, "decoded": T.StringType(), "aligned": T.BooleanType(), "n_ids": T.LongType()}
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -234,13 +237,12 @@ def encode_decode(spark: SparkSession, docs: DataFrame, model_path: str, columns
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
     others = [c for c in docs.columns if c != "text" and c not in COLUMNS]
-    kinds = dict(zip(docs.columns, (f.dataType.simpleString() for f in docs.schema), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value)
         for batch in batches:
             lo = 0
-            sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column("text")).to_pylist()], np.int64)
+            sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column("text")).to_pylist()], np.int64)
             total = np.concatenate([[0], np.cumsum(sizes)])
             while lo < batch.num_rows:
                 hi = min(max(lo + 1, int(np.searchsorted(total, total[lo] + BATCH_BYTES, "right")) - 1), lo + BATCH_ROWS)
@@ -259,5 +261,5 @@ def encode_decode(spark: SparkSession, docs: DataFrame, model_path: str, columns
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *(make[c]() for c in columns)], [*others, *columns])
                 lo = hi
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), *(f"{c} {COLUMNS[c]}" for c in columns)])
-    return docs.select(*others, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in others), *(T.StructField(c, COLUMNS[c]) for c in columns)])
+    return docs.select(*(F.col(f"`{c}`") for c in others), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
