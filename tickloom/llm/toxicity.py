@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, LOWER, byte_view, chunks, held_out, joined, labelled_sample, segment_sums
+from .common import BYTE_VALUES, CHUNK_BYTES, LOWER, byte_view, chunks, held_out, joined, labelled_sample, segment_sums
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 DIM = 4
 #: Bound of the labelled sample: rows of class 0 and of class 1, bytes of a text.
-PER_CLASS, MAX_BYTES = (3400, 1700), 9_000
+PER_CLASS, MAX_BYTES = (2600, 1700), 9_000
 STEPS, RATE, DECAY, SCALE = 90, 0.05, 1e-5, 30.0
 POSITIVE = 0.3
 
@@ -124,26 +124,30 @@ def train(rows: list[tuple[bytes, int]], seed: int = 7) -> ToxicityModel:
         share = float(y.mean()) if len(y) else 0.0
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     data, off = joined([r[0] for r in rows])
-    doc, feat, part = [], [], []
-    for lo, _, d, o in chunks(data, off):
+    # the n-grams of the whole sample are held at once, in narrow types
+    parts: tuple[list[np.ndarray], ...] = ([], [], [])
+    for lo, _, d, o in chunks(data, off, CHUNK_BYTES // 4):
         ids, ends = ngrams(d, o)
         key, times = np.unique(np.repeat(np.arange(len(o) - 1, dtype=np.int64), np.diff(ends)) * BUCKETS + ids, return_counts=True)
         r = key // BUCKETS
-        doc.append(r + lo)
-        feat.append(key % BUCKETS)
-        part.append(times / np.maximum(np.diff(ends), 1)[r])
-    doc, feat, part = np.concatenate(doc), np.concatenate(feat), np.concatenate(part).astype(np.float32)
+        for out, x in zip(parts, ((r + lo).astype(np.int32), (key % BUCKETS).astype(np.int32), (times / np.maximum(np.diff(ends), 1)[r]).astype(np.float32)), strict=True):
+            out.append(x)
+    doc, feat, part = (np.concatenate(x) for x in parts)
+    del parts, data
     seen = np.bincount(feat, minlength=BUCKETS)
     use = seen[feat] >= 2
-    doc, feat, part = doc[use], feat[use], part[use]
-    vocab, col = np.unique(feat, return_inverse=True)
+    vocab = np.flatnonzero(seen >= 2)
+    place = np.zeros(BUCKETS, np.int32)
+    place[vocab] = np.arange(len(vocab))
+    doc, col, part = doc[use], place[feat[use]], part[use]
+    del feat, use
     n, v = len(y), len(vocab)
     rng = np.random.default_rng(seed)
     # label 1 is the rarer one in a corpus, so it weighs less than half, whatever its share of the sample
     w = np.where(y == 1, POSITIVE / y.mean(), (1 - POSITIVE) / (1 - y.mean())) / n
     E, S, b = rng.normal(0, 0.1, (DIM, v)), rng.normal(0, 0.5, (2, DIM)), np.zeros(2)
     # averages over thousands of n-grams are small: a fixed scale keeps the gradients of order one
-    part = part * SCALE
+    part *= np.float32(SCALE)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (E, S, b)]
     onehot = np.eye(2)[y]
     for t in range(1, STEPS + 1):
