@@ -1,0 +1,58 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from tickloom.llm import passagededup
+
+DOCS = "doc_id long, text string, lang string, rest string, runs int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "x", 1) for i, t in rows], DOCS)
+
+
+def brute_words(rows, n):
+    """Words in windows of n words that occur earlier, by comparing all windows."""
+    words = {i: re.findall(r"\S+", t) for i, t in rows}
+    places = {}
+    for i, w in words.items():
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            places[key] = min(places.get(key, (i, k)), (i, k))
+    gone = {i: {k + j for k in range(len(w) - n + 1) if places[tuple(w[k : k + n])] < (i, k) for j in range(n)} for i, w in words.items()}
+    texts = {}
+    for i, t in rows:
+        pieces = re.findall(r"\s*\S+", t)
+        texts[i] = "".join(p for k, p in enumerate(pieces) if k not in gone[i]) + t[len("".join(pieces)) :]
+    return texts, gone, words
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [[f"{k}{j}" for j in range(rng.randint(2, 14))] for k in range(6)] + [["a"], ["b"]]
+    rows = []
+    for i in range(30):
+        words = [w for _ in range(rng.randint(0, 9)) for w in rng.choice(pool)][rng.randint(0, 3) :]
+        rows.append((i, "".join(w + rng.choice([" ", " ", "\n", " \n "]) for w in words)))
+    texts, gone, words = brute_words(rows, 6)
+    docs = frame(spark, rows)
+    found = passagededup.passage_dedup(spark, docs, 6)
+    assert found.columns == [*docs.columns, "n_words", "n_cut"]
+    for r in found.collect():
+        assert (r.text, r.n_words, r.n_cut) == (texts[r.doc_id], len(words[r.doc_id]), len(gone[r.doc_id])), r.doc_id
+    assert sum(map(len, gone.values()))
+
+
+def test_passages_within_lines(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    parted = long.replace(" w20 ", "\nw20 ").replace(" w40 ", "\nw40 ")
+    u = " ".join(f"u{i}" for i in range(50))
+    rows = [(1, f"one line with {long} within it"), (2, f"another {long} line"), (3, f"begins {parted} ends"), (4, long.replace("w25 ", "")), (None, long), (None, long), (5, None), (6, ""), (7, f"x {u}"), (7, f"y z {u}")]
+    got = Counter((r.doc_id, r.text, r.n_cut) for r in passagededup.passage_dedup(spark, frame(spark, rows)).collect())
+    assert sum(n for (i, _, cut), n in got.items() if i == 7 and cut == 50) == 1
+    assert Counter({k: n for k, n in got.items() if k[0] != 7}) == Counter({(1, rows[0][1], 0): 1, (2, "another line", 50): 1, (3, "begins ends", 50): 1, (4, rows[3][1], 0): 1, (None, "", 50): 2, (5, None, 0): 1, (6, "", 0): 1})
+    found = passagededup.passage_dedup(spark, frame(spark, rows).limit(0))
+    assert found.count() == 0 and not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().toString())

@@ -1,0 +1,132 @@
+"""Passage dedup by winnowing over words, in DataFrame functions only: what linededup can't see because it lies within lines.
+
+A passage is a run of consecutive words of a document, at least MIN_WORDS of them, wherever it begins and
+ends.  A word is deleted if it lies in a passage that also occurs earlier, in the order of (doc_id, word):
+in an earlier document, or earlier in its own.  A word goes with the white space before it.
+
+Every passage of MIN_WORDS words or more is the union of its windows of MIN_WORDS words, so extending
+matches both ways, word by word, until they end is deleting the windows that match.
+
+1. Every run of a third of MIN_WORDS words is hashed.  A window's fingerprint is the least hash in it.
+   Consecutive windows that share it are one stretch, so about one position in eighteen stays.  Equal
+   windows have equal fingerprints.
+2. Fingerprints are counted; only those of two stretches or more go on, and those of documents that repeat
+   such a run within themselves.
+3. Stretches are joined by a hash of all their words to the first place of each: later ones go whole.
+4. Where a fingerprint has stretches that differ, the first place of each is opened into windows, which are
+   joined by a 128-bit hash of their words to the first place of each: later ones go.
+
+No pairs of later places are made: a passage in a third of all documents costs a few rows an occurrence.
+
+Null texts are returned as null without words.  Words are compared byte for byte.  Different rows that
+repeat an id are in the order of their texts' hashes, identical ones are at one place; rows with a null id
+come last.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import pack, stage_out, unpack
+
+MIN_WORDS = 50
+#: Tables of stretches and of words to delete are broadcast if they measure no more than this; beyond, texts are shuffled to them.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
+SPACE = r"\s"
+UNIT = rf"[^{SPACE}]+"
+
+
+def _hashes(text: str = "text") -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda x: F.xxhash64(x))
+
+
+def _over(rows: DataFrame, name: str, size: int, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """rows with array `name` of joins of `size` elements from each position on, by doubling; the last size - 1 are to be cut off."""
+    others, have = [c for c in rows.columns if c != name], 1
+    while have < size:
+        step = min(have, size - have)
+        rows = rows.select(*others, F.transform(name, lambda x, i: join(x, F.get(name, i + step))).alias(name))  # noqa: B023
+        have += step
+    return rows
+
+
+def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc, tie, s: structs (f, k, a, b) of a fingerprint, hash of all words, first and last window of a stretch; self: runs repeat within."""
+    gram = max(1, min_words // 3)
+    n = F.size("h") - (min_words - 1)
+    out = docs.select("doc", "tie", _hashes().alias("h")).where(F.size("h") >= min_words)
+    out = _over(out.select("doc", "tie", "h", F.col("h").alias("g")), "g", gram, lambda x, y: F.xxhash64(x, y))
+    out = out.select("doc", "tie", "h", F.slice("g", 1, F.size("h") - (gram - 1)).alias("g"))
+    out = _over(out.select("doc", "tie", "h", (F.size(F.array_distinct("g")) < F.size("g")).alias("self"), F.col("g").alias("m")), "m", min_words - gram + 1, lambda x, y: F.least(x, y))
+    out = out.select("doc", "tie", "h", "self", F.slice("m", 1, n).alias("m"))
+    heads = F.filter(F.transform("m", lambda x, i: F.when((i == 0) | (x != F.get("m", F.greatest(i - 1, F.lit(0)))), F.struct(x.alias("f"), i.alias("a")))), lambda x: x.isNotNull())
+    out = out.select("doc", "tie", "h", "self", heads.alias("s"))
+    out = out.select("doc", "tie", "h", "self", F.transform("s", lambda x, i: F.struct(x["f"].alias("f"), x["a"].alias("a"), (F.coalesce(F.get("s", i + 1)["a"], n) - 1).alias("b"))).alias("s"))
+    whole = lambda x: F.xxhash64(F.slice("h", x["a"] + 1, x["b"] - x["a"] + min_words))
+    return out.select("doc", "tie", "self", F.transform("s", lambda x: F.struct(x["f"].alias("f"), whole(x).alias("k"), x["a"].alias("a"), x["b"].alias("b"))).alias("s"))
+
+
+def _beside(side: DataFrame, sized: str) -> DataFrame:
+    """side with a broadcast hint if its measured bytes allow."""
+    n, more = side.agg(F.count(F.lit(1)), F.sum(F.size(sized).cast("long"))).first()
+    return F.broadcast(side) if n * ROW_BYTES + 16 * (more or 0) <= BROADCAST_BYTES else side
+
+
+def repeated_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc, tie, runs: structs (a, b), in order, of the first and last word (0-based) of each run to delete.
+
+    docs: doc (the order), tie (tells rows at one place apart), text.
+    """
+    found = stage_out(spark, _stretches(docs, min_words), "stretches")
+    each = found.select("doc", "tie", "self", F.explode("s").alias("x")).select("doc", "tie", "self", "x.f", "x.k", "x.a", "x.b")
+    often = each.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k0"), F.max("k").alias("k1"), F.max(F.col("self").cast("int")).alias("within"))
+    often = often.where("n > 1 or within = 1").select(F.col("f").alias("_f"), F.expr("k0 <> k1 or within = 1").alias("open"))
+    going = stage_out(spark, each.join(often, F.col("f") == F.col("_f")).select("doc", "tie", "f", "k", "a", "b", "open"), "going")
+    place = F.struct("doc", "tie", "a")
+    first = stage_out(spark, going.groupBy("f", "k").agg(F.min(place).alias("earliest"), F.max(place).alias("latest"), F.first(F.expr("b - a")).alias("more"), F.first("open").alias("open")), "first")
+    again = first.where("earliest < latest").select(F.col("f").alias("_f"), F.col("k").alias("_k"), "earliest")
+    whole = going.join(again, (F.col("f") == F.col("_f")) & (F.col("k") == F.col("_k"))).where(place > F.col("earliest")).select("doc", "tie", "a", "b")
+    opened = first.where("open").select("earliest.doc", "earliest.tie", "earliest.a", (F.col("earliest.a") + F.col("more")).alias("b"))
+    opened = stage_out(spark, opened.groupBy("doc", "tie").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("at")), "opened")
+    words = docs.join(_beside(opened, "at"), ["doc", "tie"]).select("doc", "tie", "at", _hashes().alias("h"))
+    places = F.flatten(F.transform("at", lambda x: F.sequence(x["a"], x["b"])))
+    keyed = F.transform(places, lambda i: F.struct(i.alias("i"), F.slice("h", i + 1, min_words).alias("w")))
+    keyed = F.transform(keyed, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["w"]).alias("key1"), F.xxhash64(F.lit(1), F.reverse(x["w"])).alias("key2")))
+    windows = stage_out(spark, words.select("doc", "tie", F.explode(keyed).alias("x")).select("doc", "tie", "x.i", "x.key1", "x.key2"), "windows")
+    place = F.struct("doc", "tie", "i")
+    earliest = windows.groupBy("key1", "key2").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest < latest").select(F.col("key1").alias("_k1"), F.col("key2").alias("_k2"), "earliest")
+    later = windows.join(earliest, (F.col("key1") == F.col("_k1")) & (F.col("key2") == F.col("_k2"))).where(place > F.col("earliest"))
+    ranges = whole.unionByName(later.select("doc", "tie", F.col("i").alias("a"), F.col("i").alias("b")))
+    starts = ranges.groupBy("doc", "tie").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("p"))
+    # windows that overlap or touch are one run
+    heads = F.filter("p", lambda x, i: (i == 0) | (x["a"] - F.get("p", F.greatest(i - 1, F.lit(0)))["b"] > min_words))
+    tails = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1)["a"] - x["b"] > min_words, F.lit(True)))
+    return starts.select("doc", "tie", F.zip_with(heads, tails, lambda x, y: F.struct(x["a"].alias("a"), (y["b"] + (min_words - 1)).alias("b"))).alias("runs"))
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """All columns of docs with text cleaned, and n_words, n_cut of each row (columns so named are replaced)."""
+    docs = docs.drop("n_words", "n_cut")
+    last = (1 << 63) - 1
+    doc, tie = F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), F.xxhash64("text")
+    keyed = pack(docs.withColumn("text", F.col("text").cast("string")), "doc_id", "text").withColumns({"doc": doc, "tie": tie})
+    gone = stage_out(spark, repeated_words(spark, keyed.select("doc", "tie", "text"), min_words), "gone")
+    out = keyed.join(_beside(gone, "runs"), ["doc", "tie"], "left")
+    pieces = F.when(F.col("runs").isNotNull(), F.regexp_extract_all("text", F.lit(rf"[{SPACE}]*(?:{UNIT})"), F.lit(0)))
+    out = out.select("doc_id", "rest", "text", "runs", pieces.alias("pieces"))
+    # words between runs, then those after the last one, then white space at the end
+    between = F.flatten(F.transform("runs", lambda x, i: F.slice("pieces", F.when(i > 0, F.get("runs", F.greatest(i - 1, F.lit(0)))["b"]).otherwise(-1) + 2, x["a"] - F.when(i > 0, F.get("runs", F.greatest(i - 1, F.lit(0)))["b"]).otherwise(-1) - 1)))
+    after = F.slice("pieces", F.element_at("runs", -1)["b"] + 2, F.size("pieces"))
+    end = F.substr("text", F.length(F.array_join("pieces", "")) + 1)
+    kept = F.concat(F.array_join(F.concat(between, after), ""), end)
+    cut = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"] + 1)
+    return out.select(
+        "doc_id",
+        "rest",
+        F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.coalesce(F.regexp_count("text", F.lit(UNIT)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(cut, F.lit(0)).cast("long").alias("n_cut"),
+    ).select(*unpack(docs, "doc_id", "text"), "n_words", "n_cut")
