@@ -87,6 +87,15 @@ def test_near_duplicates_odd_rows(spark):
     assert setsketch.near_duplicates(spark, docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_texts_that_repeat_an_id(spark):
+    x, y = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    near = lambda w: " ".join([*w[:-1], "else"])
+    # equal sizes, one id: each text has a link of its own, and they aren't linked with each other
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (8, near(x)), (9, near(y)), (3, " ".join(["also", *y[1:]]))]
+    found = Counter((r.doc_id, r.component_id, r.kept) for r in setsketch.near_duplicates(spark, frame(spark, rows)).collect())
+    assert found == Counter({(5, 5, True): 1, (5, 3, False): 1, (8, 5, False): 1, (9, 3, False): 1, (3, 3, True): 1})
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 2**63, 1000, np.uint64)) for _ in range(2))

@@ -27,8 +27,9 @@ Skew: sets are collapsed by pre-aggregation, buckets are counted before they are
 plain sort-merge joins of narrow rows, which Spark splits.
 
 Null and empty texts and texts without words have an empty set: they are linked with nothing.  Fewer
-words than a shingle are one shingle.  Rows that repeat an id are one document for the links.  A row with
-a null id can't be named in a component: its component_id is null and it is kept.
+words than a shingle are one shingle.  Sets are linked whatever their rows' ids: a class has a key of its own,
+and ids only name the components, so different texts that repeat an id are different documents.  A row with a
+null id can't be named in a component: its component_id is null and it is kept.
 """
 
 from __future__ import annotations
@@ -145,8 +146,7 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
             for lo, hi, d, o in chunks(data, off):
                 sets = shingle_sets(d, o, size, hasher)
                 n = np.array([len(s) for s in sets], np.int64)
-                k1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                k2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                k1, k2 = _digests(sets)
                 k = sketches(sets)
                 bands = band_keys(k)
                 raw = pa.array([r.tobytes() for r in k], pa.binary())
@@ -173,8 +173,14 @@ def masks(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view(np.int64)
 
 
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    k2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    return k1, k2
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its set as packed 64-bit integers."""
+    """key and its set as packed 64-bit integers, of the rows whose set has the digest k1, k2 that they come with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -182,9 +188,12 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             data, off = byte_view(batch.column("text"))
             for lo, hi, d, o in chunks(data, off):
                 sets = shingle_sets(d, o, size, hasher)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
+                k1, k2 = _digests(sets)
+                key, w1, w2 = (batch.column(c).slice(lo, hi - lo) for c in ("key", "k1", "k2"))
+                own = pa.array((k1 == w1.to_numpy()) & (k2 == w2.to_numpy()))
+                yield pa.RecordBatch.from_arrays([key, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "set"]).filter(own)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
+    return docs.select("key", "k1", "k2", "text").mapInArrow(run, "key long, set binary")
 
 
 def _packed(column: pa.Array, kind: str) -> list[np.ndarray]:
@@ -266,18 +275,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
         sketched = stage_out(spark, _scan(docs, shingle), "sketches")
     members = stage_out(spark, sketched.select("doc_id", "n", "k1", "k2"), "members")
     # equal sets are one class; sizes are in the key, so that no count is needed
-    classes = stage_out(spark, members.where("doc_id is not null and n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    own = classes.select(F.col("rep").alias("doc_id"), F.col("n").alias("_n"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    classes = members.where("doc_id is not null and n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # keys are written, so they stay the same whenever they are read
+    classes = stage_out(spark, classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+    own = classes.select(F.col("rep").alias("doc_id"), F.col("n").alias("_n"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "key")
     reps = sketched.where("doc_id is not null and n > 0").join(own, "doc_id").where("n = _n and k1 = _k1 and k2 = _k2")
     # one row a class even where rows repeat an id
-    reps = stage_out(spark, reps.groupBy("doc_id", "n").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("mask").alias("mask")), "reps")
+    reps = stage_out(spark, reps.groupBy("key", "n").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("mask").alias("mask")), "reps")
     drop_stage(spark, sketched)
-    banded = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("at", "band"))
+    banded = reps.select(F.col("key").alias("id"), "n", F.posexplode("bands").alias("at", "band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
     # a class's rank among a bucket's leaders, uniform in [0, g), another one in each bucket
     chance = F.pmod(F.xxhash64("id", "band"), F.lit(1 << 30)) / float(1 << 30)
     narrow = stage_out(spark, banded.join(shared, "band").withColumn("u", chance * F.col("g")), "narrow")
-    buckets = stage_out(spark, narrow.join(reps.select(F.col("doc_id").alias("id"), "bands", "mask"), "id"), "buckets")
+    buckets = stage_out(spark, narrow.join(reps.select(F.col("key").alias("id"), "bands", "mask"), "id"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     links: list[DataFrame] = []
@@ -296,15 +307,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
             met &= F.col("label") != F.col("label_lead")
             met &= bound & (F.array_position(F.zip_with("bands", "bands_lead", lambda x, y: x == y), True) == F.col("at") + 1)
         pairs = going.join(right, met).select(F.least("id", "id_lead").alias("a"), F.greatest("id", "id_lead").alias("b")).distinct()
-        side = reps.select("doc_id", "n", "sketch")
+        side = reps.select("key", "n", "sketch")
         pairs = pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
         with arrow_rows(spark, 2000):
             likely = stage_out(spark, _estimated(pairs, percent / 100 - MARGIN), "likely")
         if not likely.isEmpty():
             # the sets of classes in question only, recomputed from their texts in one scan a round
-            ends = stage_out(spark, likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "ends")
-            wanted = texts.join(small_or_shuffled(ends, ends.count()), "doc_id", "left_semi")
+            ends = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
+            ends = stage_out(spark, ends.join(classes.select("key", F.col("rep").alias("doc_id"), "k1", "k2"), "key"), "ends")
+            # ends are twice as wide as the rows that the bound is for
+            wanted = texts.join(small_or_shuffled(ends, 2 * ends.count()), "doc_id")
             with arrow_rows(spark, 1000):
+                # identical rows bring a set several times; links are made distinct
                 sets = stage_out(spark, _sets(wanted, shingle), "sets")
             full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
             with arrow_rows(spark, 200):
@@ -322,11 +336,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
         pool = going.drop("label")
         least, most = most, most * GROWTH if first else float(largest)
 
-    of_class = classes.select("n", "k1", "k2", "rep")
+    of_class = classes.select("n", "k1", "k2", "rep", "key")
     if labels is not None:
-        of_class = of_class.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("n", "k1", "k2", F.coalesce("label", "rep").alias("label"))
+        of_class = of_class.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("link", F.coalesce("label", "key"))
+        # a component is named by its smallest id
+        names = of_class.where("label is not null").groupBy("link").agg(F.min("rep").alias("name"))
+        of_class = of_class.join(names, "link", "left").select("n", "k1", "k2", "link", F.coalesce("name", "rep").alias("label"))
     else:
-        of_class = of_class.withColumnRenamed("rep", "label")
+        of_class = of_class.select("n", "k1", "k2", F.col("key").alias("link"), F.col("rep").alias("label"))
     out = members.join(of_class, ["n", "k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("label")), F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
