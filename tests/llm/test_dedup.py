@@ -96,6 +96,21 @@ def test_near_duplicates_of_texts_that_repeat_an_id(spark):
     assert found == Counter({(5, 5, True): 1, (5, 3, False): 1, (8, 5, False): 1, (9, 3, False): 1, (3, 3, True): 1})
 
 
+def test_rows_that_stay_are_told_by_id_and_text(spark):
+    rows = [(5, "x"), (5, "y"), (9, "x"), (None, "x"), (None, "z"), (None, "z"), (7, "t"), (7, "t"), (None, "y")]
+    docs = frame(spark, rows)
+    stays = exactdedup.keep_first(spark, docs)
+    assert stays.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in stays.collect()) == Counter([(5, "y"), (9, "x"), (None, "z"), (7, "t")])
+    x = [f"x{i}" for i in range(60)]
+    near = [" ".join([*x[:-1], e]) for e in ("a", "b", "c")]
+    rows = [(3, near[0]), (5, near[1]), (5, "other"), (6, near[2]), (8, "same"), (8, "same")]
+    assert Counter((r.doc_id, r.text) for r in setsketch.keep_representatives(spark, frame(spark, rows)).collect()) == Counter([(3, near[0]), (5, "other"), (8, "same")])
+    rows = [(5, near[0]), (5, near[1]), (5, ""), (5, "other")]
+    found = [r.text for r in setsketch.keep_representatives(spark, frame(spark, rows)).collect()]
+    assert len(found) == 3 and {"", "other"} < set(found)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = (np.unique(rng.integers(0, 2**63, 1000, np.uint64)) for _ in range(2))

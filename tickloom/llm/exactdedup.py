@@ -166,9 +166,25 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, history: DataFrame | None
     return found.select("doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Rows of docs that stay: those dropped are taken out by an anti join, broadcast only if counted as few."""
-    dropped = stage_out(spark, exact_dedup(spark, docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    side = small_or_shuffled(dropped, dropped.count())
-    return docs.join(side, docs["doc_id"] == side["_id"], "left_anti")
+def stay(spark: SparkSession, docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Rows of docs but those that verdict drops, and of the identical rows that it names once one row.
+
+    verdict: a written table of _id, _digest, once (false: dropped), no pair twice; ids are compared null-safe.
+    """
+    n, m = verdict.agg(F.count(F.lit(1)), F.count_if("once")).first()
+    # 48 bytes a row, three times what the bound is for
+    side = small_or_shuffled(verdict.select("_id", "_digest"), 3 * n)
+    rest = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["_id"]) & (digest() == side["_digest"]), "left_anti")
+    if not m:
+        return rest
+    side = small_or_shuffled(verdict.where("once").select("_id", "_digest"), 3 * m)
+    several = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["_id"]) & (digest() == side["_digest"]), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = several.select(F.col("doc_id").alias("_id"), digest().alias("_digest"), row.alias("_row")).groupBy("_id", "_digest").agg(F.first("_row").alias("_row"))
+    return rest.unionByName(one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
 
+
+def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows of docs that stay, one of each text, by id and text: the verdict on one text is no other's."""
+    found = exact_dedup(spark, docs).groupBy(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).agg(F.first("kept").alias("once"), F.count(F.lit(1)).alias("n"))
+    return stay(spark, docs, stage_out(spark, found.where("not once or n > 1").select("_id", "_digest", "once"), "verdict"))

@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import exactdedup
 from .common import LOWER, WordHasher, arrow_rows, byte_view, chunks, drop_stage, mix, small_or_shuffled, stage_out, window_hashes, word_spans
 
 #: Registers of a sketch; the first BANDS * BAND of them are banded, all serve the estimate.
@@ -136,8 +137,8 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
     return (lo + hi) / 2
 
 
-def _scan(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, k1, k2 (digest of the set), sketch, bands, mask of each row."""
+def _scan(docs: DataFrame, size: int, texts: bool) -> DataFrame:
+    """doc_id, digest (of the text, null unless asked for), n, k1, k2 (digest of the set), sketch, bands, mask of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -151,9 +152,10 @@ def _scan(docs: DataFrame, size: int) -> DataFrame:
                 bands = band_keys(k)
                 raw = pa.array([r.tobytes() for r in k], pa.binary())
                 values, mask = (pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1))) for x in (bands, masks(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(k1), pa.array(k2), raw, values, mask], ["doc_id", "n", "k1", "k2", "sketch", "bands", "mask"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "digest")), pa.array(n), pa.array(k1), pa.array(k2), raw, values, mask], ["doc_id", "digest", "n", "k1", "k2", "sketch", "bands", "mask"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch binary, bands array<long>, mask array<long>")
+    digest = exactdedup.digest() if texts else F.lit(None).cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest")).mapInArrow(run, "doc_id long, digest binary, n long, k1 long, k2 long, sketch binary, bands array<long>, mask array<long>")
 
 
 def band_keys(k: np.ndarray) -> np.ndarray:
@@ -269,11 +271,11 @@ def _within(n: Column, mask: Column, n_other: Column, mask_other: Column, percen
     return (100 + percent) * F.least(n - lost(mask, mask_other), n_other - lost(mask_other, mask)) >= percent * (n + n_other)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
+def _components(spark: SparkSession, docs: DataFrame, shingle: int, percent: int, digests: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, link (key of the component, null if none), digest of each row."""
     with arrow_rows(spark, 1000):
-        sketched = stage_out(spark, _scan(docs, shingle), "sketches")
-    members = stage_out(spark, sketched.select("doc_id", "n", "k1", "k2"), "members")
+        sketched = stage_out(spark, _scan(docs, shingle, digests), "sketches")
+    members = stage_out(spark, sketched.select("doc_id", "digest", "n", "k1", "k2"), "members")
     # equal sets are one class; sizes are in the key, so that no count is needed
     classes = members.where("doc_id is not null and n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     # keys are written, so they stay the same whenever they are read
@@ -346,11 +348,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
         of_class = of_class.select("n", "k1", "k2", F.col("key").alias("link"), F.col("rep").alias("label"))
     out = members.join(of_class, ["n", "k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("label")), F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "link", "digest")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row."""
+    return _components(spark, docs, shingle, percent).drop("link", "digest")
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs that stay, one document of each component."""
-    dropped = stage_out(spark, near_duplicates(spark, docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    side = small_or_shuffled(dropped, dropped.count())
-    return docs.join(side, docs["doc_id"] == side["_id"], "left_anti")
+    """Rows of docs that stay, one of each component, by id and text; rows with a null id all stay."""
+    found = _components(spark, docs, shingle, percent, True).where("doc_id is not null")
+    found = found.groupBy("doc_id", "digest").agg(F.first("kept").alias("kept"), F.first("link").alias("link"), F.count(F.lit(1)).alias("n"))
+    found = stage_out(spark, found, "found")
+    # where texts that repeat an id are linked with each other, the one of the least digest stays
+    several = found.where("kept and link is not null").groupBy("link").agg(F.min("digest").alias("_least"), F.max("digest").alias("_most")).where("_least <> _most").select(F.col("link").alias("_link"), "_least")
+    found = found.join(several, F.col("link") == F.col("_link"), "left").withColumn("once", F.col("kept") & F.coalesce(F.col("digest") == F.col("_least"), F.lit(True)))
+    verdict = found.where("not once or n > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "once")
+    return exactdedup.stay(spark, docs, stage_out(spark, verdict, "verdict"))
