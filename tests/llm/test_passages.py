@@ -56,3 +56,15 @@ def test_passages_within_lines(spark):
     assert Counter({k: n for k, n in got.items() if k[0] != 7}) == Counter({(1, rows[0][1], 0): 1, (2, "another line", 50): 1, (3, "begins ends", 50): 1, (4, rows[3][1], 0): 1, (None, "", 50): 2, (5, None, 0): 1, (6, "", 0): 1})
     found = passagededup.passage_dedup(spark, frame(spark, rows).limit(0))
     assert found.count() == 0 and not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().toString())
+
+
+def test_words_parted_by_other_white_space_or_none(spark):
+    rows = []
+    for blank in ("\t", "\u00a0", "\u3000", "\u2009"):
+        long = blank.join(f"w{ord(blank)}_{i}" for i in range(50))
+        rows += [(len(rows), f"a {long}{blank}b"), (len(rows) + 1, f"c {long}{blank}d")]
+    for first in (0x4E00, 0xE01):
+        long = "".join(chr(first + i) for i in range(50))
+        rows += [(len(rows), f"a{long}b"), (len(rows) + 1, f"c{long}d")]
+    got = {r.doc_id: (r.text, r.n_cut) for r in passagededup.passage_dedup(spark, frame(spark, rows)).collect()}
+    assert got == {i: (t, 0) if i % 2 == 0 else (f"c{t[-2] if i < 8 else ''}d", 50) for i, t in rows}

@@ -18,6 +18,8 @@ matches both ways, word by word, until they end is deleting the windows that mat
 
 No pairs of later places are made: a passage in a third of all documents costs a few rows an occurrence.
 
+A word is a run of characters other than Unicode white space; in scripts without blanks (Chinese, Japanese,
+Thai, Lao, Khmer, Burmese) each character counts as one, so that passages of MIN_WORDS characters are found.
 Null texts are returned as null without words.  Words are compared byte for byte.  Different rows that
 repeat an id are in the order of their texts' hashes, identical ones are at one place; rows with a null id
 come last.
@@ -35,8 +37,10 @@ from .common import pack, stage_out, unpack
 MIN_WORDS = 50
 #: Tables of stretches and of words to delete are broadcast if they measure no more than this; beyond, texts are shuffled to them.
 BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
-SPACE = r"\s"
-UNIT = rf"[^{SPACE}]+"
+#: White space of Unicode, and scripts written without blanks.
+SPACE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+UNIT = rf"[{DENSE}]|[^{SPACE}{DENSE}]+"
 
 
 def _hashes(text: str = "text") -> Column:
