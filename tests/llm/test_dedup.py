@@ -78,6 +78,54 @@ def test_large_bucket_of_near_copies(spark):
     assert found == label
 
 
+def families(seed, n):
+    """Copies with 0 to 40 of 120 words replaced, most from the text itself, others from a few that were replaced alike before."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    seeds = [base]
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(seeds) if rng.random() < 0.5 else base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 8, 12, 40])):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        if rng.random() < 0.05:
+            seeds.append(words)
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "small", "levels"), [(1, 16, 6), (2, 2, 6), (3, 2, 1), (4, 1, 0)])
+def test_near_copies_beyond_the_threshold(spark, monkeypatch, seed, small, levels):
+    monkeypatch.setattr(setsketch, "SMALL", small)
+    monkeypatch.setattr(setsketch, "LEVELS", levels)
+    monkeypatch.setattr(setsketch, "ROWS_A_SALT", 50)
+    rows = families(seed, 260)
+    _, label = brute_components(rows, 4)
+    assert len(set(label.values())) > 20
+    found = {r.doc_id: r.component_id for r in setsketch.near_duplicates(spark, frame(spark, rows), 4).collect()}
+    assert found == label
+
+
+def test_finer_buckets_leave_few_pairs(spark):
+    """Every linked pair of a large bucket is proven by its hub or a candidate, and candidates grow with the rows, not their square."""
+    made = []
+    for n in (300, 1200):
+        sets = {i: setsketch.shingle_sets(*joined([t.encode()]), 4, WordHasher())[0] for i, t in families(9, n)}
+        rows = spark.createDataFrame([(1, i, len(s), n) for i, s in sets.items()], "band long, id long, n long, g long")
+        packed = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "key long, set binary")
+        proven, pairs, large = (x.collect() for x in setsketch._finer(spark, rows, packed, 80))
+        near = [(a, b) for a in sets for b in sets if a < b and 9 * len(np.setxor1d(sets[a], sets[b])) <= len(sets[a]) + len(sets[b])] if n == 300 else []
+        hub = next(iter({proven[0].a, proven[0].b} & {proven[1].a, proven[1].b}))
+        star, found = {x for r in proven for x in (r.a, r.b)} | {hub}, {(r.a, r.b) for r in pairs}
+        together = defaultdict(set)
+        for r in large:
+            together[r.band].add(r.id)
+        for a, b in near:
+            assert {a, b} <= star or (a, b) in found or any({a, b} <= m for m in together.values())
+        made.append(len(pairs) + len(large))
+    assert made[1] < 16 * made[0] / 2
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = frame(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f"), (None, None)])
     got = Counter((r.doc_id, r.component_id, r.kept) for r in setsketch.near_duplicates(spark, docs).collect())

@@ -8,23 +8,35 @@ likelier the more alike two sets are.
 1. Every document is scanned once: set size, 128-bit digest of the set, registers.
 2. Equal sets are one class, represented by its smallest doc_id.
 3. Classes that agree in a band of BAND registers share a bucket.
-4. Buckets are worked through in rounds. In a small bucket every pair is a candidate; in a larger one
-   each class meets that round's leaders, chosen by hash, of other components only. Pairs whose sizes
-   rule the similarity out are left; the joint likelihood of the two sketches gives an estimate,
-   and pairs far below the threshold by it are left too.
-5. What remains is verified on the full sets of 64-bit shingle hashes; verified links join components.
-6. Before a pair is made, masks of which hash values occur in its sets bound the intersection from above.
-   The bound is exact, so no link is lost by it; it keeps all but a few unlinked near copies apart.
-7. A bucket is done when its classes are one component or when all its pairs have been met; the third
-   round has every class as a leader.  So no bucket is capped, and buckets of
-   thousands of near copies need a few leaders each, not all pairs.
+4. In a bucket of at most SMALL classes every pair is a candidate whose sizes allow the similarity.
+5. A larger bucket is banded again, finer, by what its sets don't have in common (below).
+6. The joint likelihood of two sketches estimates a candidate's similarity; those far below the
+   threshold are left, the others are verified on the full sets of 64-bit shingle hashes.
+7. Verified links join components.
+
+Large buckets.  Thousands of copies of one text share its shingles, so finer keys from those would part
+nobody.  A bucket's core is what most of some LEADERS of its classes have, and a class's difference D is
+what it has besides the core or lacks of it.  With sizes n and threshold percent, a pair is linked exactly if
+(100 + percent) |Dx ^ Dy| <= (100 - percent) (nx + ny).  With the slack s = (100 - percent) n - (100 + percent) |D|:
+
+* If sx + sy >= 0 the pair is linked whatever the differences are.  The class of most slack is so linked
+  with every class of s >= -(most slack): proven on full sets, one link a class.
+* All other pairs need at least t = -(sx + sy) / (2 (100 + percent)) > 0 elements of their differences in common.
+  Of two sets that share t elements, the first |D| - t + 1 of each, in any order common to both, share one.
+  Elements beyond the core come first, since they are rare, and a class meets, by each of its first elements,
+  the classes of no more slack than its own.  (bucket, element) is the finer key: of at most SMALL classes on
+  either side pairs are candidates; a larger one is a bucket again, with a core of its own.
+
+So a family costs rows in proportion to its members' differences and pairs that share rare ones, not all its
+pairs, and no pair that shares a bucket is passed over.  Finer buckets of the same members are one.  The
+core decides only how much work is left, never what is linked.  After LEVELS levels, or if a finer bucket
+is no smaller, all its pairs are candidates: it is exact, and no input is known to get there.
 
 At the threshold of 0.8 a pair shares no band with probability (1 - 0.8^4)^24 = 3e-6; the estimate's
-cut is MARGIN = 0.125 below the threshold, five standard deviations.  In later rounds a pair counts in
-the first band only that it shares, so that it is met once.
+cut is MARGIN = 0.125 below the threshold, five standard deviations.
 
-Skew: sets are collapsed by pre-aggregation, buckets are counted before they are joined, and joins are
-plain sort-merge joins of narrow rows, which Spark splits.
+Skew: sets are collapsed by pre-aggregation; rows of large buckets are dealt by bucket and by a salt in
+proportion to the bucket's counted rows.
 
 Null and empty texts and texts without words have an empty set: they are linked with nothing.  Fewer
 words than a shingle are one shingle.  Sets are linked whatever their rows' ids: a class has a key of its own,
@@ -50,11 +62,10 @@ REGISTERS, BANDS, BAND = 256, 24, 4
 BASE, RATE = 1.02, 20.0
 LIMIT = 4094  # largest register
 MARGIN = 0.125
-#: 64-bit words of the mask that bounds intersections.
-MASK_WORDS = 16
-#: Leaders that a bucket's classes meet in the first round, as an expected number, GROWTH times as many in the
-#: second, all in the third; buckets of at most SMALL classes are settled in the first.
-SMALL, LEADERS, GROWTH = 4, 2, 8
+#: Classes of a bucket whose pairs are all candidates, and the expected number of those that make a larger one's core.
+SMALL, LEADERS = 16, 24
+#: Levels of finer buckets, and rows of a bucket that are dealt to one salt.
+LEVELS, ROWS_A_SALT = 6, 500
 
 INSIDE = np.ones(256, bool)
 INSIDE[[9, 10, 11, 12, 13, 32]] = False
@@ -138,7 +149,7 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
 
 
 def _scan(docs: DataFrame, size: int, texts: bool) -> DataFrame:
-    """doc_id, digest (of the text, null unless asked for), n, k1, k2 (digest of the set), sketch, bands, mask of each row."""
+    """doc_id, digest (of the text, null unless asked for), n, k1, k2 (digest of the set), sketch, bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -151,11 +162,11 @@ def _scan(docs: DataFrame, size: int, texts: bool) -> DataFrame:
                 k = sketches(sets)
                 bands = band_keys(k)
                 raw = pa.array([r.tobytes() for r in k], pa.binary())
-                values, mask = (pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1))) for x in (bands, masks(sets)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "digest")), pa.array(n), pa.array(k1), pa.array(k2), raw, values, mask], ["doc_id", "digest", "n", "k1", "k2", "sketch", "bands", "mask"])
+                values = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "digest")), pa.array(n), pa.array(k1), pa.array(k2), raw, values], ["doc_id", "digest", "n", "k1", "k2", "sketch", "bands"])
 
     digest = exactdedup.digest() if texts else F.lit(None).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest")).mapInArrow(run, "doc_id long, digest binary, n long, k1 long, k2 long, sketch binary, bands array<long>, mask array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest")).mapInArrow(run, "doc_id long, digest binary, n long, k1 long, k2 long, sketch binary, bands array<long>")
 
 
 def band_keys(k: np.ndarray) -> np.ndarray:
@@ -167,14 +178,6 @@ def band_keys(k: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
 
 
-def masks(sets: list[np.ndarray]) -> np.ndarray:
-    """[sets, MASK_WORDS]: a bit for each hash value modulo the mask's bits that a set has a shingle of."""
-    out = np.zeros((len(sets), MASK_WORDS * 64), bool)
-    for row, s in zip(out, sets, strict=True):
-        row[(s >> np.uint64(20)) % np.uint64(MASK_WORDS * 64)] = True
-    return np.packbits(out, axis=1, bitorder="little").view(np.int64)
-
-
 def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
     k2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -256,19 +259,138 @@ def _ratio(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _apart(rest: DataFrame) -> DataFrame:
-    """Rows of buckets whose classes are of more than one component."""
-    split = rest.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(F.col("band").alias("_s"))
-    return rest.join(split, F.col("band") == F.col("_s"), "left_semi")
+def _fan(g: Column) -> Column:
+    return F.ceil(g / ROWS_A_SALT).cast("int")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (band, id, g) with the salt that they are dealt by, besides their bucket."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), _fan(F.col("g"))).cast("int"))
+
+
+def _beside(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """Dealt rows with the columns of side, which has a row a bucket and its g."""
+    copies = side.withColumn("salt", F.explode(F.sequence(F.lit(0), _fan(F.col("g")) - 1))).drop("g")
+    return rows.join(copies, ["band", "salt"])
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows of buckets (band, id, g), of buckets of the same members one."""
+    who = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"who{k}") for k in (1, 2)]
+    kept = rows.groupBy("band").agg(F.first("g").alias("g"), *who).groupBy("g", "who1", "who2").agg(F.min("band").alias("_b"))
+    return rows.join(kept.select("_b"), F.col("band") == F.col("_b"), "left_semi")
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each row's numbers; null is empty."""
+    values, off = column.values.to_numpy(), column.offsets.to_numpy()
+    for i, full in enumerate(column.is_valid().to_pylist()):
+        yield values[off[i] : off[i + 1]] if full else values[:0]
+
+
+def _elements(rows: DataFrame) -> DataFrame:
+    """band and element of every element of the rows' sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, s in zip(batch.column("band").to_pylist(), _packed(batch.column("set"), np.int64), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), band)), pa.array(s)], ["band", "element"])
+
+    return rows.select("band", "set").mapInArrow(run, "band long, element long")
+
+
+def _differences(rows: DataFrame, percent: int) -> DataFrame:
+    """band, g, salt, id, n, s (slack) and d (the difference: what is beyond the core, then what it lacks, each in order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, slack = [np.zeros(0, np.int64)], []
+            for own, core in zip(_packed(batch.column("set"), np.int64), _lists(batch.column("core")), strict=True):
+                parts.append(np.concatenate([np.setdiff1d(own, core, True), np.setdiff1d(core, own, True)]))
+                slack.append((100 - percent) * len(own) - (100 + percent) * len(parts[-1]))
+            ends = np.cumsum([len(p) for p in parts]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("band", "g", "salt", "id", "n")), pa.array(slack, pa.int64()), lists], ["band", "g", "salt", "id", "n", "s", "d"])
+
+    return rows.select("band", "g", "salt", "id", "n", "set", "core").mapInArrow(run, "band long, g long, salt int, id long, n long, s long, d array<long>")
 
 
-def _within(n: Column, mask: Column, n_other: Column, mask_other: Column, percent: int) -> Column:
-    """Whether an upper bound of the intersection allows the similarity: a bit that one set has and the other hasn't is a shingle that they don't share."""
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b of every pair of a bucket whose sizes allow the similarity."""
+    right = rows.select(F.col("band").alias("_band"), F.col("id").alias("_id"), F.col("n").alias("_n"))
+    met = (F.col("band") == F.col("_band")) & (F.col("id") < F.col("_id")) & _ratio(F.col("n"), F.col("_n"), percent)
+    return rows.join(right, met).select(F.col("id").alias("a"), F.col("_id").alias("b"))
 
-    def lost(x: Column, y: Column) -> Column:
-        return reduce(Column.__add__, [F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(MASK_WORDS)])
 
-    return (100 + percent) * F.least(n - lost(mask, mask_other), n_other - lost(mask_other, mask)) >= percent * (n + n_other)
+def _finer(spark: SparkSession, rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Proven links, candidates, and rows of finer buckets that are large, of large buckets' rows (band, id, n, g)."""
+    unit = 2 * (100 + percent)
+    sets = sets.withColumnRenamed("key", "id")
+    chance = F.pmod(F.xxhash64("id", "band"), F.lit(1 << 30)) / float(1 << 30)
+    leaders = stage_out(spark, rows.where(chance * F.col("g") < LEADERS).join(sets, "id").select("band", "set"), "leaders")
+    often = _elements(leaders).groupBy("band", "element").agg(F.count(F.lit(1)).alias("times"))
+    led = leaders.groupBy("band").agg(F.count(F.lit(1)).alias("led"))
+    core = often.join(led, "band").where("2 * times > led").groupBy("band").agg(F.sort_array(F.collect_list("element")).alias("core"))
+    # without a core, or by chance without a leader, a bucket's differences are its whole sets
+    cores = stage_out(spark, rows.groupBy("band").agg(F.first("g").alias("g")).join(core, "band", "left"), "cores")
+    with arrow_rows(spark, 500):
+        differing = stage_out(spark, _differences(_beside(_dealt(rows.select("band", "id", "n", "g")).join(sets, "id"), cores), percent), "differences")
+    best = differing.groupBy("band").agg(F.first("g").alias("g"), F.max(F.struct("s", (-F.col("id")).alias("o"))).alias("best"), F.min("s").alias("least"))
+    best = stage_out(spark, best.select("band", "g", F.col("best.s").alias("most"), (-F.col("best.o")).alias("hub"), "least"), "best")
+    placed = _beside(differing, best).withColumn("near", F.expr("s + most >= 0"))
+    proven = placed.where("near and id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    # the first elements by which a class meets those of no more slack that aren't linked to the same hub, and those by which it is met
+    size = F.size("d").cast("long")
+    meets = size + 1 + F.floor(F.when(F.col("near"), F.col("s") - F.col("most") - 1).otherwise(2 * F.col("s")) / unit)
+    met = F.when(F.col("near"), 0).otherwise(F.least(size, size + 1 + F.floor((F.col("s") + F.col("most")) / unit)))
+    # where all are linked to the hub nothing is left
+    going = placed.where("least + most < 0").select("band", "id", "n", "s", size.alias("size"), meets.alias("meets"), met.alias("met"), "d")
+    first = F.slice("d", F.lit(1), F.greatest(F.least(F.greatest("meets", "met"), "size"), F.lit(0)).cast("int"))
+    each = going.select("band", "id", "n", "s", "size", "meets", "met", F.posexplode(first).alias("at", "element"))
+    each = stage_out(spark, each.select(F.xxhash64("band", "element").alias("band"), "id", "n", "s", "size", F.expr("at < meets").alias("meets"), F.expr("at < met").alias("met")), "elements")
+    kinds = each.groupBy("band").agg(F.count(F.lit(1)).alias("g"), F.count_if("meets").alias("l"), F.count_if("met").alias("r")).where("g > 1 and l > 0 and r > 0")
+    kinds = stage_out(spark, kinds.select("band", "g", (F.least("l", "r") <= SMALL).alias("small")), "finer")
+    # by buckets, of at most SMALL classes on a side, so that pairs are in proportion to rows
+    few = each.join(kinds.where("small").select("band"), "band")
+    right = few.where("met").select(*[F.col(c).alias(f"{c}_r") for c in ("band", "id", "n", "s", "size")])
+    after = (F.col("s") > F.col("s_r")) | (F.col("s") == F.col("s_r")) & (F.col("id") < F.col("id_r"))
+    enough = -(F.col("s") + F.col("s_r")) <= unit * F.least("size", "size_r")
+    candidates = few.where("meets").join(right, (F.col("band") == F.col("band_r")) & after & enough & _ratio(F.col("n"), F.col("n_r"), percent)).select(F.least("id", "id_r").alias("a"), F.greatest("id", "id_r").alias("b"))
+    many = each.select("band", "id", "n").join(kinds.where("not small").select("band", "g"), "band")
+    return proven.distinct(), candidates.distinct(), _once(many)
+
+
+def _candidates(spark: SparkSession, reps: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs to estimate and verify, proven links) of classes that share a band."""
+    banded = reps.select(F.col("key").alias("id"), "n", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
+    buckets = stage_out(spark, banded.join(shared, "band"), "buckets")
+    pairs = [_pairs(buckets.where(F.col("g") <= SMALL).select("band", "id", "n"), percent).distinct()]
+    proven = [buckets.where("false").select(F.col("id").alias("a"), F.col("id").alias("b"))]
+    large = stage_out(spark, _once(buckets.where(F.col("g") > SMALL)), "large")
+    sets = None
+    for level in range(LEVELS + 1):
+        if large.isEmpty():
+            break
+        if level == LEVELS:
+            pairs.append(_pairs(large, percent).distinct())
+            break
+        sets = _with_sets(spark, large.select(F.col("id").alias("key")), classes, texts, shingle) if sets is None else sets
+        links, found, large = _finer(spark, large, sets, percent)
+        proven.append(stage_out(spark, links, "proven"))
+        pairs.append(stage_out(spark, found, "candidates"))
+        large = stage_out(spark, large, "large")
+    return reduce(DataFrame.unionByName, pairs).distinct(), reduce(DataFrame.unionByName, proven)
+
+
+def _with_sets(spark: SparkSession, keys: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """key and packed set of each key in keys, from one scan of texts."""
+    ends = stage_out(spark, keys.distinct().join(classes.select("key", F.col("rep").alias("doc_id"), "k1", "k2"), "key"), "ends")
+    # rows of ends are twice as wide as those that the bound is for
+    wanted = texts.join(small_or_shuffled(ends, 2 * ends.count()), "doc_id")
+    with arrow_rows(spark, 1000):
+        # identical rows bring a set several times
+        return stage_out(spark, _sets(wanted, shingle).groupBy("key").agg(F.first("set").alias("set")), "sets")
 
 
 def _components(spark: SparkSession, docs: DataFrame, shingle: int, percent: int, digests: bool = False) -> DataFrame:
@@ -283,69 +405,28 @@ def _components(spark: SparkSession, docs: DataFrame, shingle: int, percent: int
     own = classes.select(F.col("rep").alias("doc_id"), F.col("n").alias("_n"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "key")
     reps = sketched.where("doc_id is not null and n > 0").join(own, "doc_id").where("n = _n and k1 = _k1 and k2 = _k2")
     # one row a class even where rows repeat an id
-    reps = stage_out(spark, reps.groupBy("key", "n").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.first("mask").alias("mask")), "reps")
+    reps = stage_out(spark, reps.groupBy("key", "n").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "reps")
     drop_stage(spark, sketched)
-    banded = reps.select(F.col("key").alias("id"), "n", F.posexplode("bands").alias("at", "band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    # a class's rank among a bucket's leaders, uniform in [0, g), another one in each bucket
-    chance = F.pmod(F.xxhash64("id", "band"), F.lit(1 << 30)) / float(1 << 30)
-    narrow = stage_out(spark, banded.join(shared, "band").withColumn("u", chance * F.col("g")), "narrow")
-    buckets = stage_out(spark, narrow.join(reps.select(F.col("key").alias("id"), "bands", "mask"), "id"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    links: list[DataFrame] = []
-    labels: DataFrame | None = None
-    least, most, largest = 0.0, float(LEADERS), buckets.agg(F.max("g")).first()[0] or 0
-    going, pool = buckets, buckets.where(F.col("g") > SMALL)
-    while largest:
-        first = least == 0
-        lead = going.where((F.col("u") >= least) & (F.col("u") < most) | (F.col("g") <= SMALL if first else F.lit(False)))
-        right = lead.select(*[F.col(c).alias(f"{c}_lead") for c in lead.columns])
-        met = (F.col("band") == F.col("band_lead")) & (F.col("id") != F.col("id_lead")) & _ratio(F.col("n"), F.col("n_lead"), percent)
-        bound = _within(F.col("n"), F.col("mask"), F.col("n_lead"), F.col("mask_lead"), percent)
-        if first:
-            met &= bound
-        else:
-            met &= F.col("label") != F.col("label_lead")
-            met &= bound & (F.array_position(F.zip_with("bands", "bands_lead", lambda x, y: x == y), True) == F.col("at") + 1)
-        pairs = going.join(right, met).select(F.least("id", "id_lead").alias("a"), F.greatest("id", "id_lead").alias("b")).distinct()
-        side = reps.select("key", "n", "sketch")
-        pairs = pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
-        with arrow_rows(spark, 2000):
-            likely = stage_out(spark, _estimated(pairs, percent / 100 - MARGIN), "likely")
-        if not likely.isEmpty():
-            # the sets of classes in question only, recomputed from their texts in one scan a round
-            ends = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
-            ends = stage_out(spark, ends.join(classes.select("key", F.col("rep").alias("doc_id"), "k1", "k2"), "key"), "ends")
-            # ends are twice as wide as the rows that the bound is for
-            wanted = texts.join(small_or_shuffled(ends, 2 * ends.count()), "doc_id")
-            with arrow_rows(spark, 1000):
-                # identical rows bring a set several times; links are made distinct
-                sets = stage_out(spark, _sets(wanted, shingle), "sets")
-            full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-            with arrow_rows(spark, 200):
-                links.append(stage_out(spark, _verified(full, percent).distinct(), "links"))
-            drop_stage(spark, sets)
-            labels = components(spark, reduce(DataFrame.unionByName, links))
-        if most >= largest:
-            break
-        # buckets that go on: more than one component, and pairs not met yet
-        rest = pool.where(F.col("g") > most)
-        rest = rest.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")) if labels is not None else rest.withColumn("label", F.col("id"))
-        going = stage_out(spark, _apart(rest), "rest")
-        if going.isEmpty():
-            break
-        pool = going.drop("label")
-        least, most = most, most * GROWTH if first else float(largest)
+    pairs, proven = _candidates(spark, reps, classes, texts, shingle, percent)
+    side = reps.select("key", "n", "sketch")
+    pairs = pairs.join(side.toDF("a", "n_a", "sketch_a"), "a").join(side.toDF("b", "n_b", "sketch_b"), "b")
+    with arrow_rows(spark, 2000):
+        likely = stage_out(spark, _estimated(pairs, percent / 100 - MARGIN), "likely")
+    links = proven
+    if not likely.isEmpty():
+        sets = _with_sets(spark, likely.select(F.col("a").alias("key")).union(likely.select("b")), classes, texts, shingle)
+        full = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        with arrow_rows(spark, 200):
+            links = links.unionByName(stage_out(spark, _verified(full, percent), "verified"))
+        drop_stage(spark, sets)
 
     of_class = classes.select("n", "k1", "k2", "rep", "key")
-    if labels is not None:
-        of_class = of_class.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("link", F.coalesce("label", "key"))
-        # a component is named by its smallest id
-        names = of_class.where("label is not null").groupBy("link").agg(F.min("rep").alias("name"))
-        of_class = of_class.join(names, "link", "left").select("n", "k1", "k2", "link", F.coalesce("name", "rep").alias("label"))
-    else:
-        of_class = of_class.select("n", "k1", "k2", F.col("key").alias("link"), F.col("rep").alias("label"))
+    of_class = of_class.join(components(spark, links).withColumnRenamed("id", "key"), "key", "left").withColumn("link", F.coalesce("label", "key"))
+    # a component is named by its smallest id
+    names = of_class.where("label is not null").groupBy("link").agg(F.min("rep").alias("name"))
+    of_class = of_class.join(names, "link", "left").select("n", "k1", "k2", "link", F.coalesce("name", "rep").alias("label"))
     out = members.join(of_class, ["n", "k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("label")), F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "link", "digest")
