@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -121,10 +122,33 @@ def test_dedup_and_union(spark):
     assert df.count() == 5
     found = [(r.exchange, r.trade_id, r.price) for r in feeds.dedup_trades(df).collect()]
     assert sorted(found, key=str) == sorted([("OKX", 1, 5.0), ("BYBIT", 1, 3.0), ("OKX", None, 4.0), ("OKX", None, 4.0)], key=str)
-    (c,) = candles.counters(df, candles.all_time(df)).collect()
+    (c,) = candles.counters(df, 5).collect()
     assert (c.trades_processed, c.candles_emitted) == (5, 1)
+    plan = feeds.dedup_trades(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
 
 
 def test_universe_is_off_by_default(spark):
     df = frame(spark, [("OKX", "BTCUSDT", 1, 1.0, 1.0, 9), ("OKX", "XRPUSDT", 2, 1.0, 1.0, 9)])
     assert candles.only(df, None).count() == 2 and candles.only(df, ["BTCUSDT"]).count() == 1
+
+
+@pytest.mark.parametrize(("qty", "exact"), [(1e10, True), (1e12, True), (1e-9, True), (0.1, True), (1e30, False)])
+def test_volumes_of_any_size(spark, qty, exact):
+    rows = [("OKX", "BTCUSDT", i, 0.25, qty, 1000 * i) for i in range(7)]
+    df = frame(spark, rows)
+    total = float(sum(Decimal(str(qty)) for _ in rows)) if exact else 7 * qty
+    quote = float(sum(Decimal(str(qty)) * Decimal("0.25") for _ in rows)) if exact else 7 * qty * 0.25
+    (c,) = candles.all_time(df).collect()
+    coarse = candles.multi_interval(df, [5000, 10_000]).where("interval_ms = 10000").collect()[0]
+    last = max(candles.running(df, 5000, 3000).collect(), key=lambda r: r.event_ts)
+    for found in (c, coarse, last):
+        assert (found.base_volume, found.quote_volume) == ((total, quote) if exact else (pytest.approx(total), pytest.approx(quote)))
+
+
+def test_times_that_are_none_are_passed_over(spark):
+    rows = [("OKX", "BTCUSDT", 1, 1.0, 1.0, 10**17), ("OKX", "BTCUSDT", 2, 2.0, 1.0, 5)]
+    for found in (candles.all_time(frame(spark, rows)), candles.windowed(frame(spark, rows)), candles.running(frame(spark, rows))):
+        assert [r.open for r in found.collect()] == [2.0]
+    assert candles.counters(frame(spark, rows), 10).first() == (2, 1)
+    assert candles.counters(frame(spark, []), 10).first() == (0, 0)

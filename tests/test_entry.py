@@ -40,7 +40,7 @@ def test_queries_match_duckdb(spark):
         plain = frame.map(lambda x: None if x is None or x is pd.NA or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x))
         return sorted(map(repr, plain.itertuples(index=False, name=None)))
 
-    for name, sql in entry.oracle_sql().items():
+    for name, sql in oracle.ORACLE_SQL.items():
         ours, theirs = entry.queries()[name](spark, sf).toPandas(), con.execute(sql).df()
         assert sorted(ours.columns) == sorted(theirs.columns), name
         assert rows(ours) == rows(theirs), name

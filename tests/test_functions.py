@@ -40,6 +40,7 @@ def test_windows_and_delays(spark):
     assert column(spark, [1770003054104], lambda c: numbers.window_start(c, 5000), "bigint") == [1770003050000]
     with pytest.raises(ValueError):
         numbers.window_start(F.lit(1), 0)
+    # fixed values: the schedule
     expected = [1000, 2000, 4000, 8000, 16000, 32000, 60000, 60000, 60000, 60000]
     assert numbers.reconnect_schedule() == expected
     assert column(spark, list(range(1, 11)), numbers.reconnect_delay_ms, "int") == expected
@@ -54,6 +55,7 @@ def test_lists(spark):
 
 
 def test_subscriptions(spark):
+    # fixed values: the exchanges' protocols
     symbols = ["BTCUSDT", "ETHUSDT"]
     assert FEEDS["binance"].subscription(symbols) == '{"method":"SUBSCRIBE","params":["btcusdt@trade","ethusdt@trade"],"id":1}'
     assert FEEDS["bybit"].subscription(symbols) == '{"op":"subscribe","args":["publicTrade.BTCUSDT","publicTrade.ETHUSDT"]}'

@@ -17,7 +17,8 @@ def reasons(spark, feed, *messages):
     return [next((r.reject for r in found if r.value == m), None) for m in messages]
 
 
-BINANCE = '{"stream":"btcusdt@trade","data":{"e":"trade","E":1770003054104,"s":"BTCUSDT","t":5858430818,"p":"75019.99000000","q":"0.03100000","T":1770003054103,"m":true,"M":true}}'
+# fixed values: sample messages of the exchanges and what they hold
+BINANCE = '{"stream":"btcusdt@trade","data":{"e":"trade","E":1770003054104,"s":"BTCUSDT","t":5858430818,"p":"75019.99000000","q":"0.03100000","T":1770003054103,"m":false,"M":true}}'
 
 
 def bybit(items, topic="publicTrade.ETHUSDT", ts="1770197572744"):
@@ -109,3 +110,8 @@ def test_messages_within_an_array_are_rejected(spark, feed):
     good = {"binance": BINANCE, "binance_raw": '{"e":"trade","s":"x","t":1,"p":"1","q":"1","T":1}', "okx": "{" + data + "}"}.get(feed, bybit(f"[{item()}]"))
     assert len(trades(spark, feed, good, " \n" + good)) == 2
     assert reasons(spark, feed, f"[{good}]") == ["malformed"]
+
+
+def test_times_that_are_none(spark):
+    late = BINANCE.replace('"E":1770003054104', '"E":1770003054104000000')
+    assert reasons(spark, "binance", late, BINANCE) == ["bad_time", None]

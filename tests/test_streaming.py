@@ -1,10 +1,13 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import candles, parsers
 from tickloom.sources import feeds
 from tickloom.streaming import candles as streaming
+from tickloom.streaming import dedup
 
 
 def message(i, price, ts, symbol="btcusdt"):
@@ -75,14 +78,77 @@ def test_callbacks(spark, tmp_path):
     assert sorted(c["window_start_ms"] for c in seen) == [0, 5000]
 
 
+def test_candles_of_each_exchange(spark, tmp_path):
+    land(tmp_path / "in", "a.txt", ROWS)
+    trades = parsers.accepted(parsers.parse(feeds.landing(spark, f"file://{tmp_path}/in"), "binance_raw"))
+    other = trades.withColumns({"exchange": F.lit("OKX"), "price": F.col("price") + 1})
+    found = streaming.candles_stream(trades.unionByName(other), 5000, "2 seconds", per_exchange=True)
+    streaming.start(found, streaming.parquet_sink(f"file://{tmp_path}/out"), f"file://{tmp_path}/checkpoint", "all").awaitTermination()
+    landed = parsers.accepted(parsers.parse(feeds.landed(spark, f"file://{tmp_path}/in"), "binance_raw"))
+    batch = candles.windowed(landed.unionByName(landed.withColumns({"exchange": F.lit("OKX"), "price": F.col("price") + 1})), 5000, per_exchange=True)
+    got = streaming.written(spark, f"file://{tmp_path}/out").collect()
+    assert len(got) == 6 and sorted(map(tuple, got)) == sorted(map(tuple, batch.collect()))
+
+
+def test_compaction_keeps_the_last_of_each_candle(spark, tmp_path):
+    out = f"file://{tmp_path}/out"
+    for k in range(4):
+        land(tmp_path / "in", f"{k}.txt", [(10 + k, 10.0 + k, 1000 + k), (20 + k, 5.0, 6000)])
+        run(spark, tmp_path, "all")
+        if k == 1:
+            streaming.compact(spark, out)
+    before = sorted(map(tuple, streaming.written(spark, out).collect()))
+    streaming.compact(spark, out)
+    parts = [x.name for x in (tmp_path / "out").iterdir() if x.name.startswith("part=")]
+    assert len(parts) == 2 and sum(x.startswith("part=to") for x in parts) == 1
+    assert sorted(map(tuple, streaming.written(spark, out).collect())) == before and {r[10] for r in before} == {4.0}
+
+
+def test_callbacks_by_partition(spark, tmp_path):
+    land(tmp_path / "in", "a.txt", ROWS)
+    n = spark.sparkContext.accumulator(0)
+    streaming.start(stream(spark, tmp_path), streaming.partition_sink(lambda rows: n.add(sum(1 for _ in rows))), f"file://{tmp_path}/checkpoint").awaitTermination()
+    assert n.value == 2
+
+
+def test_counted_dedup_forgets_as_its_ring_says(spark, tmp_path):
+    rng = random.Random(3)
+    ids = [rng.randrange(12) for _ in range(120)]
+    memory, ring, at, count, new = set(), [0] * 3, 0, 0, []
+    for i in ids:
+        if i in memory:
+            continue
+        new.append(i)
+        memory.add(i)
+        at = (at + 1) % 3
+        ring[at] = i
+        count += 1
+        if count == 7:
+            memory, count = set(ring), 0
+    seen = dedup.Recent(7, 3)
+    assert [i for i in ids if seen.new(i)] == new
+    copy = dedup.Recent.of(7, 3, seen.state())
+    more = [rng.randrange(12) for _ in range(50)]
+    assert [copy.new(i) for i in more] == [seen.new(i) for i in more]
+    for bad in ((0, 1), (1, 0)):
+        with pytest.raises(ValueError):
+            dedup.Recent(*bad)
+    (tmp_path / "in").mkdir()
+    for part, lo in enumerate((0, 60)):
+        (tmp_path / "in" / f"{part}.txt").write_text("\n".join(message(i, 1.0, 1000 + lo + k) for k, i in enumerate(ids[lo : lo + 60])))
+        trades = parsers.accepted(parsers.parse(feeds.landing(spark, f"file://{tmp_path}/in", 1), "binance_raw"))
+        query = dedup.dedup_counted(trades, 7, 3).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    found = [r.trade_id for r in spark.read.parquet(f"file://{tmp_path}/out").orderBy("event_ts").collect()]
+    assert found == new
+
+
 def test_event_time(spark):
     df = spark.createDataFrame([(1770003054104,)], "event_ts bigint")
     assert streaming.with_event_time(df).select(F.unix_millis("event_time")).first()[0] == 1770003054104
 
 
 def test_main_consolidates_feeds(spark, tmp_path):
-    import pytest
-
     from tickloom.__main__ import start
 
     (tmp_path / "in").mkdir()

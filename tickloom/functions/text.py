@@ -29,6 +29,7 @@ def okx_id(symbol: str) -> str:
 
 def subscribe_text(feed: str, symbols: Sequence[str]) -> str:
     """The subscription message of a feed, as JSON without blanks."""
+    # fixed values: the exchanges' protocols, here and below
     bodies = {
         "binance": lambda: {"method": "SUBSCRIBE", "params": [f"{s.lower()}@trade" for s in symbols], "id": 1},
         "bybit": lambda: {"op": "subscribe", "args": [f"publicTrade.{s}" for s in symbols]},

@@ -5,22 +5,28 @@ id, then exchange; or, to replay a capture, a column that numbers arrivals.  The
 that min_by and max_by keep fixed-width state and Spark aggregates by hash, before and after the shuffle: an
 instrument with most of the trades costs each task one row.
 
-Volumes are summed as decimals, which makes them the same in any partitioning; exact=False sums doubles.
+Volumes are summed as decimals, which makes them the same in any partitioning.  Prices keep 10 decimals in them and
+quantities 12; where one is too large for its decimal, or a sum for its own, that candle's volume is the sum of
+doubles.  exact=False sums doubles only.
+
+Event times of more than 15 digits (in ms: after the year 30000) aren't times; such trades are passed over, as
+those without price, quantity or time are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.codecs import exchange_code, exchange_name, instrument_id
 from ..functions.numbers import notional, window_start
 from ..schemas import CANDLE_COLUMNS
 
-#: Of prices and quantities in exact sums.
-DECIMAL = "decimal(18,8)"
+#: Of prices and quantities in exact sums; their product is a decimal(38,12).
+PRICE, QTY = "decimal(20,10)", "decimal(27,12)"
+MAX_TIME = 10**15 - 1
 
 
 def order_key(seq: str | None = None) -> Column:
@@ -32,24 +38,42 @@ def order_key(seq: str | None = None) -> Column:
     return (ms * F.lit(10) + exchange_code(F.col("exchange")).cast("decimal(2,0)") + F.lit(1)).cast("decimal(38,0)")
 
 
-def _ready(trades: DataFrame, interval_ms: int, seq: str | None, exact: bool) -> DataFrame:
-    base, quote = F.col("qty"), notional(F.col("price"), F.col("qty"))
+def usable() -> Column:
+    """Whether a trade can be folded."""
+    return F.col("price").isNotNull() & F.col("qty").isNotNull() & F.coalesce(F.col("event_ts").between(-MAX_TIME, MAX_TIME), F.lit(False))
+
+
+def volumes(exact: bool = True) -> dict[str, Column]:
+    """base and quote of a trade as doubles and, if exact, as decimals, null where they don't fit."""
+    found = {"base": F.col("qty"), "quote": notional(F.col("price"), F.col("qty"))}
     if exact:
-        base = F.col("qty").cast(DECIMAL)
-        quote = F.col("price").cast(DECIMAL) * base
-    return trades.where("price is not null and qty is not null and event_ts is not null").select(
-        "instrument", exchange_code(F.col("exchange")).alias("code"), "price", base.alias("base"), quote.alias("quote"), window_start(F.col("event_ts"), interval_ms).alias("bucket"), order_key(seq).alias("ord"), "event_ts"
-    )
+        base = F.col("qty").try_cast(QTY)
+        found |= {"exact_base": base, "exact_quote": F.try_multiply(F.col("price").try_cast(PRICE), base)}
+    return found
+
+
+def _whole(name: str) -> Column:
+    """The decimal sum if every term is there and it fits."""
+    return F.when(F.count(name) == F.count(F.lit(1)), F.try_sum(name))
+
+
+def total(name: str, exact: bool = True) -> Column:
+    return F.coalesce(_whole(f"exact_{name}").cast("double"), F.sum(name)) if exact else F.sum(name)
 
 
-def _fold() -> list[Column]:
+def _ready(trades: DataFrame, interval_ms: int, seq: str | None, exact: bool) -> DataFrame:
+    amounts = [c.alias(k) for k, c in volumes(exact).items()]
+    return trades.where(usable()).select("instrument", exchange_code(F.col("exchange")).alias("code"), "price", *amounts, window_start(F.col("event_ts"), interval_ms).alias("bucket"), order_key(seq).alias("ord"), "event_ts")
+
+
+def fold(exact: bool = True) -> list[Column]:
     return [
         F.min_by("price", "ord").alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", "ord").alias("close"),
-        F.sum("base").cast("double").alias("base_volume"),
-        F.sum("quote").cast("double").alias("quote_volume"),
+        total("base", exact).alias("base_volume"),
+        total("quote", exact).alias("quote_volume"),
     ]
 
 
@@ -66,7 +90,7 @@ def only(trades: DataFrame, instruments: Sequence[str] | None) -> DataFrame:
 def all_time(trades: DataFrame, interval_ms: int = 5000, seq: str | None = None, exact: bool = True) -> DataFrame:
     """One candle an instrument, which never rolls over: its start is the first trade's window, its end 0."""
     rows = _ready(trades, interval_ms, seq, exact)
-    folded = rows.groupBy("instrument").agg(*_fold(), F.min_by("code", "ord").alias("code"), F.min_by("bucket", "ord").alias("window_start_ms"))
+    folded = rows.groupBy("instrument").agg(*fold(exact), F.min_by("code", "ord").alias("code"), F.min_by("bucket", "ord").alias("window_start_ms"))
     return _shaped(folded.withColumn("window_end_ms", F.lit(0).cast("bigint")), F.lit(interval_ms))
 
 
@@ -74,9 +98,9 @@ def windowed(trades: DataFrame, interval_ms: int = 5000, per_exchange: bool = Fa
     """One candle an instrument and window; per exchange, or consolidated with the first trade's exchange."""
     rows = _ready(trades, interval_ms, seq, exact)
     if per_exchange:
-        folded = rows.groupBy("instrument", "code", F.col("bucket").alias("window_start_ms")).agg(*_fold())
+        folded = rows.groupBy("instrument", "code", F.col("bucket").alias("window_start_ms")).agg(*fold(exact))
     else:
-        folded = rows.groupBy("instrument", F.col("bucket").alias("window_start_ms")).agg(*_fold(), F.min_by("code", "ord").alias("code"))
+        folded = rows.groupBy("instrument", F.col("bucket").alias("window_start_ms")).agg(*fold(exact), F.min_by("code", "ord").alias("code"))
     return _shaped(folded.withColumn("window_end_ms", F.col("window_start_ms") + F.lit(interval_ms)), F.lit(interval_ms))
 
 
@@ -89,14 +113,15 @@ def multi_interval(trades: DataFrame, intervals_ms: Sequence[int], exact: bool =
     if any(i % finest for i in others):
         raise ValueError("every interval must be a multiple of the smallest")
     rows = _ready(trades, finest, None, exact)
+    sums = [x for c in ("base", "quote") for x in (F.sum(c).alias(c), *([_whole(f"exact_{c}").alias(f"exact_{c}")] if exact else []))]
     fine = rows.groupBy("instrument", "bucket").agg(
         F.min_by("price", "ord").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ord").alias("close"),
-        F.sum("base").alias("base"), F.sum("quote").alias("quote"), F.min_by("code", "ord").alias("code"), F.min("ord").alias("first"), F.max("ord").alias("last"),
+        *sums, F.min_by("code", "ord").alias("code"), F.min("ord").alias("first"), F.max("ord").alias("last"),
     )
     each = fine.withColumn("interval", F.explode(F.array(*[F.lit(i).cast("bigint") for i in (finest, *others)])))
     folded = each.groupBy("instrument", "interval", (F.col("bucket") - F.col("bucket") % F.col("interval")).alias("window_start_ms")).agg(
         F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last").alias("close"),
-        F.sum("base").cast("double").alias("base_volume"), F.sum("quote").cast("double").alias("quote_volume"), F.min_by("code", "first").alias("code"),
+        total("base", exact).alias("base_volume"), total("quote", exact).alias("quote_volume"), F.min_by("code", "first").alias("code"),
     )
     return _shaped(folded.withColumn("window_end_ms", F.col("window_start_ms") + F.col("interval")), F.col("interval"))
 
@@ -108,32 +133,41 @@ def running(trades: DataFrame, interval_ms: int = 5000, chunk_ms: int = 3_600_00
     time: values run within a chunk, and each chunk starts from a fold of the chunks before it.
     """
     chunk = (F.col("event_ts") - F.col("event_ts") % F.lit(chunk_ms)).alias("chunk")
-    rows = trades.where("price is not null and qty is not null and event_ts is not null").select("instrument", "trade_id", "exchange", "event_ts", "price", order_key().alias("ord"), window_start(F.col("event_ts"), interval_ms).alias("bucket"), exchange_code(F.col("exchange")).alias("code"), (F.col("qty").cast(DECIMAL) if exact else F.col("qty")).alias("base"), chunk)
-    rows = rows.withColumn("quote", (F.col("price").cast(DECIMAL) if exact else F.col("price")) * F.col("base"))
+    amounts = volumes(exact)
+    rows = trades.where(usable()).select("instrument", "trade_id", "exchange", "event_ts", "price", order_key().alias("ord"), window_start(F.col("event_ts"), interval_ms).alias("bucket"), exchange_code(F.col("exchange")).alias("code"), *[c.alias(k) for k, c in amounts.items()], chunk)
     first = F.struct("price", "code", "bucket")
     folded = rows.groupBy("instrument", "chunk").agg(
-        F.min_by("price", "ord").alias("open"), F.min_by("code", "ord").alias("code"), F.min_by("bucket", "ord").alias("bucket"),
-        F.max("price").alias("high"), F.min("price").alias("low"), F.sum("base").alias("base"), F.sum("quote").alias("quote"),
+        F.min_by("price", "ord").alias("open"), F.min_by("code", "ord").alias("code"), F.min_by("bucket", "ord").alias("bucket"), F.max("price").alias("high"), F.min("price").alias("low"),
+        *[(_whole(k) if k.startswith("exact") else F.sum(k)).alias(k) for k in amounts],
     )
+
+    def sums(w: WindowSpec, tag: str) -> list[Column]:
+        return [(F.when(F.count(k).over(w) == F.count(F.lit(1)).over(w), F.try_sum(k).over(w)) if k.startswith("exact") else F.sum(k).over(w)).alias(k + tag) for k in amounts]
+
     before = Window.partitionBy("instrument").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = folded.select(
         "instrument", "chunk", F.first(F.struct(F.col("open").alias("price"), "code", "bucket")).over(before).alias("first0"),
-        F.max("high").over(before).alias("high0"), F.min("low").over(before).alias("low0"), F.sum("base").over(before).alias("base0"), F.sum("quote").over(before).alias("quote0"),
+        F.max("high").over(before).alias("high0"), F.min("low").over(before).alias("low0"), *sums(before, "0"),
     )
     within = Window.partitionBy("instrument", "chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = rows.select("instrument", "chunk", "trade_id", "exchange", "event_ts", F.col("price").alias("close"), F.first(first).over(within).alias("first1"), F.max("price").over(within).alias("high1"), F.min("price").over(within).alias("low1"), F.sum("base").over(within).alias("base1"), F.sum("quote").over(within).alias("quote1"))
+    own = rows.select("instrument", "chunk", "trade_id", "exchange", "event_ts", F.col("price").alias("close"), F.first(first).over(within).alias("first1"), F.max("price").over(within).alias("high1"), F.min("price").over(within).alias("low1"), *sums(within, "1"))
     both = own.join(carried, ["instrument", "chunk"])
     start = F.coalesce("first0", "first1")
+
+    def upto(name: str) -> Column:
+        plain = F.coalesce(f"{name}0", F.lit(0.0)) + F.col(f"{name}1")
+        # the first chunk has none before it; a later one's sum is null if it isn't exact
+        return F.coalesce(F.when(F.col("first0").isNull(), F.col(f"exact_{name}1")).otherwise(F.try_add(f"exact_{name}0", f"exact_{name}1")).cast("double"), plain) if exact else plain
+
     return both.select(
         "instrument", "trade_id", "exchange", "event_ts", start["bucket"].alias("window_start_ms"), start["price"].alias("open"),
         F.greatest("high0", "high1").alias("high"), F.least("low0", "low1").alias("low"), "close",
-        (F.coalesce("base0", F.lit(0)) + F.col("base1")).cast("double").alias("base_volume"), (F.coalesce("quote0", F.lit(0)) + F.col("quote1")).cast("double").alias("quote_volume"),
-        exchange_name(start["code"]).alias("candle_exchange"),
+        upto("base").alias("base_volume"), upto("quote").alias("quote_volume"), exchange_name(start["code"]).alias("candle_exchange"),
     )
 
 
-def counters(trades: DataFrame, candles: DataFrame) -> DataFrame:
-    """trades_processed and candles_emitted, in one row."""
-    zero = F.lit(0).cast("bigint")
-    both = trades.agg(F.count(F.lit(1)).alias("trades_processed"), zero.alias("candles_emitted")).unionByName(candles.agg(zero.alias("trades_processed"), F.count(F.lit(1)).alias("candles_emitted")))
-    return both.agg(F.sum("trades_processed").alias("trades_processed"), F.sum("candles_emitted").alias("candles_emitted"))
+def counters(trades: DataFrame, interval_ms: int, per_exchange: bool = False) -> DataFrame:
+    """trades_processed and candles_emitted of windowed(), in one row, from one scan."""
+    keys = [window_start(F.col("event_ts"), interval_ms).alias("bucket"), F.col("instrument"), *([exchange_code(F.col("exchange")).alias("code")] if per_exchange else [])]
+    each = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(usable()).alias("candle"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("trades_processed"), F.count_if("candle").alias("candles_emitted"))

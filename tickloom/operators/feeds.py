@@ -20,10 +20,15 @@ def union_feeds(*feeds: DataFrame) -> DataFrame:
 def dedup_trades(trades: DataFrame) -> DataFrame:
     """One trade for each exchange, instrument and id: the earliest by event time, then by receipt. Batch only.
 
-    Without an id a trade can't repeat another.  Repeats are reduced before the shuffle.
+    Without an id a trade can't repeat another.  Repeats are reduced before the shuffle, by hash: the order is one
+    decimal of both times (null before all) and of a hash of the other values, so that ties are settled alike.
     """
-    values = F.struct(*[F.col(c) for c in ("event_ts", "recv_ts", "trade_ts", "price", "qty")])
-    named = trades.where("trade_id is not null").groupBy(*KEYS).agg(F.min(values).alias("v")).select(*KEYS, "v.*").select(*TRADE_COLUMNS)
+    bound = 10**15 - 1
+    time = lambda c: F.coalesce(F.least(F.greatest(F.col(c), F.lit(0)), F.lit(bound)), F.lit(0)).cast("decimal(15,0)")
+    tie = F.pmod(F.xxhash64("event_ts", "recv_ts", "trade_ts", "price", "qty"), F.lit(10**7)).cast("decimal(7,0)")
+    order = (time("event_ts") * F.lit(10**15).cast("decimal(16,0)") + time("recv_ts")) * F.lit(10**7).cast("decimal(8,0)") + tie
+    rows = trades.where("trade_id is not null").withColumn("_order", order.cast("decimal(38,0)"))
+    named = rows.groupBy(*KEYS).agg(*[F.min_by(c, "_order").alias(c) for c in TRADE_COLUMNS if c not in KEYS]).select(*TRADE_COLUMNS)
     return named.unionByName(trades.where("trade_id is null").select(*TRADE_COLUMNS))
 
 

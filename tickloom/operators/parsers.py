@@ -9,6 +9,7 @@ reject is one of
     not_trade      another kind of message
     missing_field  a field that the feed must have isn't there
     bad_number     a number that isn't written as one, isn't finite or doesn't fit
+    bad_time       an event time of more than 15 digits
 
 Every message is parsed once, or twice where keys that differ by case only are both read: fields are taken
 from the parsed value, and rows come from a generator, below which Catalyst doesn't push predicates on them.  All is built-in expressions, so that it runs in
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.codecs import symbol_of_okx, symbol_of_topic
 from ..functions.numbers import now_ms, to_double, to_id
+from .candles import MAX_TIME
 
 Parser = Callable[..., DataFrame]
 
@@ -39,7 +41,7 @@ def _trade(exchange: str, instrument: Column, trade_id: Column, price: Column, q
         event_ts.alias("event_ts"),
         trade_ts.alias("trade_ts"),
         recv_ts.alias("recv_ts"),
-        reject.alias("reject"),
+        F.coalesce(reject, F.when(~event_ts.between(-MAX_TIME, MAX_TIME), "bad_time")).alias("reject"),
     )
 
 

@@ -33,6 +33,10 @@ def _decimal(c: str) -> str:
 
 
 _RUN = f"(PARTITION BY instrument ORDER BY event_ts, trade_id, code ROWS UNBOUNDED PRECEDING)"
+_EACH_EXCHANGE = f"""{TRADES}
+    SELECT CAST(instrument_id AS TINYINT) AS instrument_id, instrument, exchange, CAST({HOUR} AS BIGINT) AS interval_ms,
+           event_ts - event_ts % {HOUR} AS window_start_ms, event_ts - event_ts % {HOUR} + {HOUR} AS window_end_ms, {FOLD}
+    FROM trades GROUP BY instrument_id, instrument, exchange, event_ts - event_ts % {HOUR}"""
 _K = "(trade_id // 3) % 8"
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,10 +88,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT CAST(instrument_id AS TINYINT) AS instrument_id, instrument, {CONSOLIDATED} AS exchange, CAST({HOUR} AS BIGINT) AS interval_ms,
                arg_min(event_ts - event_ts % {HOUR}, {FIRST}) AS window_start_ms, CAST(0 AS BIGINT) AS window_end_ms, {FOLD}
         FROM trades GROUP BY instrument_id, instrument""",
-    "candles_windowed_exchange": f"""{TRADES}
-        SELECT CAST(instrument_id AS TINYINT) AS instrument_id, instrument, exchange, CAST({HOUR} AS BIGINT) AS interval_ms,
-               event_ts - event_ts % {HOUR} AS window_start_ms, event_ts - event_ts % {HOUR} + {HOUR} AS window_end_ms, {FOLD}
-        FROM trades GROUP BY instrument_id, instrument, exchange, event_ts - event_ts % {HOUR}""",
+    "candles_windowed_exchange": _EACH_EXCHANGE,
     "candles_consolidated": _windowed(HOUR),
     "candles_universe": _windowed(DAY, "WHERE instrument IN ('BTCUSDT', 'SOLUSDT')"),
     "candles_multi_interval": " UNION ALL ".join(f"SELECT * FROM ({_windowed(i)})" for i in (HOUR, 4 * HOUR, DAY)),
@@ -105,4 +106,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT count(*) AS trades_processed, (SELECT count(*) FROM (SELECT DISTINCT instrument, event_ts // {HOUR} FROM trades)) AS candles_emitted FROM trades""",
     "candles_stream_all": _windowed(HOUR),
     "candles_stream_closed": _windowed(HOUR, having=f"HAVING event_ts - event_ts % {HOUR} + {HOUR} <= (SELECT max(event_ts) FROM trades) - {2 * HOUR}"),
+    "candles_stream_exchange": _EACH_EXCHANGE,
+    "candle_callbacks": f"""{TRADES}
+        SELECT count(*) AS candles, CAST(coalesce(sum(hour), 0) AS BIGINT) AS hours FROM (SELECT DISTINCT instrument, event_ts // {HOUR} AS hour FROM trades)
+        WHERE hour * {HOUR} + {HOUR} <= (SELECT max(event_ts) FROM trades) - {2 * HOUR}""",
+    "feed_candles": _windowed(HOUR, "WHERE trade_id % 50 <> 0"),
+    "feed_rejects": f"""{TRADES}
+        SELECT 'binance' AS feed, CASE WHEN trade_id % 50 = 0 THEN 'malformed' ELSE 'accepted' END AS outcome, 2 * count(*) AS n, 2 * count(*) AS stamped FROM trades WHERE code = 0 GROUP BY ALL
+        UNION ALL SELECT 'bybit', 'accepted', 2 * count(*), 2 * count(*) FROM trades WHERE code = 1 AND trade_id % 50 <> 0
+        UNION ALL SELECT 'bybit', 'not_trade', count(*), count(*) FROM trades WHERE code = 1
+        UNION ALL SELECT 'okx', CASE WHEN trade_id % 50 = 0 THEN 'bad_number' ELSE 'accepted' END, 2 * count(*), 2 * count(*) FROM trades WHERE code = 2 GROUP BY ALL""",
+    "feed_candles_stream": _windowed(HOUR, "WHERE trade_id % 50 <> 0"),
+    "dedup_counted_stream": f"{TRADES} SELECT {SHOWN}, recv_ts FROM trades",
 }

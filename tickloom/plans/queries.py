@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,9 @@ from ..functions import codecs, numbers, text
 from ..operators import candles, feeds, parsers
 from ..session import shared_path
 from ..sources import events, replay
+from ..sources.feeds import FEEDS, landing
 from ..streaming import candles as streaming
+from ..streaming import dedup
 
 HOUR, DAY = 3_600_000, 86_400_000
 SHOWN = ("exchange", "instrument", "trade_id", "price", "qty", "event_ts", "trade_ts")
@@ -39,7 +41,7 @@ def _number(c: str) -> Column:
 
 def _binance(kind: Column | None = None, symbol: Column | None = None) -> Column:
     e = F.lit('"trade"') if kind is None else _quoted(kind)
-    return _json(e=e, E=_number("event_ts"), s=_quoted("instrument") if symbol is None else _quoted(symbol), t=_number("trade_id"), p=_quoted("price"), q=_quoted("qty"), T=_number("trade_ts"), m="true", M="false")
+    return _json(e=e, E=_number("event_ts"), s=_quoted("instrument") if symbol is None else _quoted(symbol), t=_number("trade_id"), p=_quoted("price"), q=_quoted("qty"), T=_number("trade_ts"), m="false", M="true")
 
 
 def _combined() -> Column:
@@ -179,24 +181,99 @@ def dedup_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events.trades(spark, sf_dir)
-    return candles.counters(rows, candles.windowed(rows, HOUR))
+    return candles.counters(events.trades(spark, sf_dir), HOUR)
 
 
-def _streamed(spark: SparkSession, sf_dir: str, emit: str) -> DataFrame:
+def _streamed(spark: SparkSession, trades: DataFrame, emit: str, **options: bool) -> DataFrame:
     path = shared_path(spark, "stream")
-    found = streaming.candles_stream(events.trades_stream(spark, sf_dir), HOUR, "2 hours")
+    found = streaming.candles_stream(trades, HOUR, "2 hours", **options)
     query = streaming.start(found, streaming.parquet_sink(f"{path}/out"), f"{path}/checkpoint", emit)
     query.awaitTermination()
     return streaming.written(spark, f"{path}/out")
 
 
 def candles_stream_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, "all")
+    return _streamed(spark, events.trades_stream(spark, sf_dir), "all")
 
 
 def candles_stream_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, "closed")
+    return _streamed(spark, events.trades_stream(spark, sf_dir), "closed")
+
+
+def candles_stream_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, events.trades_stream(spark, sf_dir), "all", per_exchange=True)
+
+
+def candle_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed candles pushed to a callback on the executors, which counts them."""
+    path = shared_path(spark, "callbacks")
+    sc = spark.sparkContext
+    n, starts = sc.accumulator(0), sc.accumulator(0)
+
+    def count(rows: Iterator[dict]) -> None:
+        for c in rows:
+            n.add(1)
+            starts.add(c["window_start_ms"] // HOUR)
+
+    found = streaming.candles_stream(events.trades_stream(spark, sf_dir), HOUR, "2 hours")
+    streaming.start(found, streaming.partition_sink(count), f"{path}/checkpoint").awaitTermination()
+    return spark.createDataFrame([(n.value, starts.value)], "candles bigint, hours bigint")
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Raw messages of each feed: some spoilt, some of another kind, and every trade twice."""
+    twice = lambda rows: rows.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    spoilt = F.col("trade_id") % 50 == 0
+    binance = twice(_of(spark, sf_dir, "BINANCE")).select(F.when(spoilt, "nope").otherwise(_binance(symbol=F.lower("instrument"))).alias("value"))
+    bybit = twice(_bybit_messages(_of(spark, sf_dir, "BYBIT").where(~spoilt))).select("value")
+    books = _of(spark, sf_dir, "BYBIT").select(_json(topic=_quoted(F.concat(F.lit("orderbook.1."), "instrument")), ts=_number("event_ts"), type='"snapshot"', data="[]").alias("value"))
+    okx = twice(_of(spark, sf_dir, "OKX")).select(F.when(spoilt, F.replace(_okx_message(F.lit("")), F.lit('"px":"'), F.lit('"px":"x'))).otherwise(_okx_message(F.lit('"arg":{"channel":"trades"},'))).alias("value"))
+    return {"binance": binance, "bybit": bybit.unionByName(books), "okx": okx}
+
+
+def feed_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw messages to candles: each feed parsed and rid of rejects, united, rid of repeats, folded."""
+    parsed = [parsers.accepted(FEEDS[name].parse(raw)) for name, raw in _messages(spark, sf_dir).items()]
+    return candles.windowed(feeds.dedup_trades(feeds.union_feeds(*parsed)), HOUR)
+
+
+def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same messages are rejected for, with whether a receipt is stamped."""
+    parsed = [FEEDS[name].parse(raw).select(F.lit(name).alias("feed"), F.coalesce("reject", F.lit("accepted")).alias("outcome"), "recv_ts") for name, raw in _messages(spark, sf_dir).items()]
+    every = parsed[0].unionByName(parsed[1]).unionByName(parsed[2])
+    return every.groupBy("feed", "outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("recv_ts") > 0).alias("stamped"))
+
+
+def feed_candles_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of landed messages, in two runs: the second brings all messages again and, later than the watermark allows, new trades."""
+    path = shared_path(spark, "landing")
+    for name, raw in _messages(spark, sf_dir).items():
+        raw.write.text(f"{path}/{name}/first")
+
+    def run() -> None:
+        parsed = [parsers.accepted(FEEDS[name].parse(landing(spark, f"{path}/{name}/*", None))) for name in FEEDS]
+        found = streaming.candles_stream(feeds.union_feeds(*parsed), HOUR, "2 hours", dedup=True)
+        streaming.start(found, streaming.parquet_sink(f"{path}/out"), f"{path}/checkpoint", "all").awaitTermination()
+
+    run()
+    for name, raw in _messages(spark, sf_dir).items():
+        raw.write.text(f"{path}/{name}/second")
+    # ids that no trade has, at the earliest time
+    earliest = events.trades(spark, sf_dir).agg(F.min("trade_ts")).first()[0]
+    late = _of(spark, sf_dir, "BINANCE").withColumns({"trade_id": F.col("trade_id") + 10**9, "trade_ts": F.lit(earliest), "price": F.col("price") + 1})
+    late.select(_binance(symbol=F.lower("instrument")).alias("value")).write.text(f"{path}/binance/third")
+    run()
+    return streaming.written(spark, f"{path}/out")
+
+
+def dedup_counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades that come twice, one after the other, past a memory of 500 ids."""
+    path = shared_path(spark, "counted")
+    rows = events.trades_stream(spark, sf_dir)
+    twice = rows.withColumn("trade_id", F.explode(F.array("trade_id", "trade_id")))
+    query = dedup.dedup_counted(twice, 500, 4).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -204,5 +281,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         parse_binance_combined, parse_binance_raw, parse_bybit_snapshot, parse_bybit_provider, parse_okx, reject_malformed, symbol_codecs, subscribe_messages, reconnect_schedule, split_list, union_feeds,
         replay_objects, candles_alltime, candles_windowed_exchange, candles_consolidated, candles_universe, candles_multi_interval, running_candle, dedup_trades, run_counters, candles_stream_all, candles_stream_closed,
+        candles_stream_exchange, candle_callbacks, feed_candles, feed_rejects, feed_candles_stream, dedup_counted_stream,
     )
 }
