@@ -28,7 +28,7 @@ BUCKETS = 1 << 18
 DIM = 4
 #: Bound of the labelled sample: rows of class 0 and of class 1, bytes of a text.
 PER_CLASS, MAX_BYTES = (2600, 1700), 9_000
-STEPS, RATE, DECAY, SCALE = 90, 0.05, 1e-5, 30.0
+STEPS, BATCH, RATE, DECAY, SCALE = 200, 256, 0.05, 1e-5, 30.0
 POSITIVE = 0.3
 
 
@@ -117,55 +117,71 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(rows: list[tuple[bytes, int]], seed: int = 7) -> ToxicityModel:
-    """Full-batch Adam on embeddings and softmax together; buckets seen in fewer than two texts stay 0."""
-    y = np.array([r[1] for r in rows], np.int64)
-    if len(set(y.tolist())) < 2:
-        share = float(y.mean()) if len(y) else 0.0
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+def counted(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets seen in two texts or more, entries' place among them, share of their text's n-grams, offsets by text), in narrow types."""
     data, off = joined([r[0] for r in rows])
-    # the n-grams of the whole sample are held at once, in narrow types
-    parts: tuple[list[np.ndarray], ...] = ([], [], [])
-    for lo, _, d, o in chunks(data, off, CHUNK_BYTES // 4):
+    cols, shares, sizes = [], [], []
+    seen = np.zeros(BUCKETS, np.int32)
+    for _, _, d, o in chunks(data, off, CHUNK_BYTES // 4):
         ids, ends = ngrams(d, o)
         key, times = np.unique(np.repeat(np.arange(len(o) - 1, dtype=np.int64), np.diff(ends)) * BUCKETS + ids, return_counts=True)
         r = key // BUCKETS
-        for out, x in zip(parts, ((r + lo).astype(np.int32), (key % BUCKETS).astype(np.int32), (times / np.maximum(np.diff(ends), 1)[r]).astype(np.float32)), strict=True):
-            out.append(x)
-    doc, feat, part = (np.concatenate(x) for x in parts)
-    del parts, data
-    seen = np.bincount(feat, minlength=BUCKETS)
-    use = seen[feat] >= 2
+        cols.append((key % BUCKETS).astype(np.int32))
+        shares.append((times / np.maximum(np.diff(ends), 1)[r]).astype(np.float32))
+        sizes.append(np.bincount(r, minlength=len(o) - 1))
+        seen += np.bincount(cols[-1], minlength=BUCKETS).astype(np.int32)
     vocab = np.flatnonzero(seen >= 2)
-    place = np.zeros(BUCKETS, np.int32)
+    place = np.full(BUCKETS, -1, np.int32)
     place[vocab] = np.arange(len(vocab))
-    doc, col, part = doc[use], place[feat[use]], part[use]
-    del feat, use
-    n, v = len(y), len(vocab)
+    for k, (c, share, size) in enumerate(zip(cols, shares, sizes, strict=True)):
+        c = place[c]
+        use = c >= 0
+        cols[k], shares[k] = c[use], share[use]
+        sizes[k] = np.bincount(np.repeat(np.arange(len(size)), size)[use], minlength=len(size))
+    return vocab, np.concatenate(cols), np.concatenate(shares), np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate(sizes))])
+
+
+def train(rows: list[tuple[bytes, int]], seed: int = 7) -> ToxicityModel:
+    """Adam on embeddings and softmax together, BATCH texts a step; buckets seen in fewer than two texts stay 0."""
+    y = np.array([r[1] for r in rows], np.int64)
+    if len(set(y.tolist())) < 2:
+        share = float(y.mean()) if len(y) else 0.0
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     rng = np.random.default_rng(seed)
+    order = rng.permutation(len(rows))
+    y = y[order]
+    vocab, cols, shares, ends = counted([rows[i] for i in order])
+    n, v = len(y), len(vocab)
     # label 1 is the rarer one in a corpus, so it weighs less than half, whatever its share of the sample
-    w = np.where(y == 1, POSITIVE / y.mean(), (1 - POSITIVE) / (1 - y.mean())) / n
-    E, S, b = rng.normal(0, 0.1, (DIM, v)), rng.normal(0, 0.5, (2, DIM)), np.zeros(2)
+    weight = np.where(y == 1, POSITIVE / y.mean(), (1 - POSITIVE) / (1 - y.mean()))
+    E, S, b = rng.normal(0, 0.1, (DIM, v)).astype(np.float32), rng.normal(0, 0.5, (2, DIM)), np.zeros(2)
     # averages over thousands of n-grams are small: a fixed scale keeps the gradients of order one
-    part *= np.float32(SCALE)
+    shares *= np.float32(SCALE)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (E, S, b)]
     onehot = np.eye(2)[y]
-    for t in range(1, STEPS + 1):
-        H = np.stack([np.bincount(doc, e[col] * part, n) for e in E], 1)
+    starts = np.arange(0, n, BATCH)
+    for t in range(STEPS):
+        if t % len(starts) == 0:
+            turn = rng.permutation(starts)
+        lo = int(turn[t % len(starts)])
+        hi = min(lo + BATCH, n)
+        own = slice(int(ends[lo]), int(ends[hi]))
+        col, part, doc = cols[own], shares[own], np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+        H = np.stack([np.bincount(doc, e[col] * part, hi - lo) for e in E], 1)
         z = H @ S.T + b
         z -= z.max(1, keepdims=True)
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
-        g = (p - onehot) * w[:, None]
-        gE = np.stack([np.bincount(col, x[doc] * part, v) for x in (g @ S).T]) + DECAY * E
-        rate = RATE * min(1.0, 2 * (1 - t / (STEPS + 1)))
+        g = (p - onehot[lo:hi]) * weight[lo:hi, None] / (hi - lo)
+        gE = np.stack([np.bincount(col, x[doc] * part, v) for x in (g @ S).T.astype(np.float32)]).astype(np.float32) + np.float32(DECAY) * E
+        rate = RATE * min(1.0, 2 * (1 - t / STEPS))
         for x, gx, (m, u) in zip((E, S, b), (gE, g.T @ H, g.sum(0)), state, strict=True):
             m += 0.1 * (gx - m)
             u += 0.01 * (gx * gx - u)
-            x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(u / (1 - 0.99**t)) + 1e-8)
-    weight = np.zeros(BUCKETS, np.float32)
-    weight[vocab] = SCALE * ((S[1] - S[0]) @ E)
-    return ToxicityModel(weight, float(b[1] - b[0]))
+            x -= rate * (m / (1 - 0.9 ** (t + 1))) / (np.sqrt(u / (1 - 0.99 ** (t + 1))) + 1e-8)
+    folded = np.zeros(BUCKETS, np.float32)
+    folded[vocab] = SCALE * ((S[1] - S[0]) @ E)
+    return ToxicityModel(folded, float(b[1] - b[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS, max_bytes: int = MAX_BYTES) -> ToxicityModel:
