@@ -24,8 +24,8 @@ HIDDEN = 8
 SPAN = 64
 #: Stretches that are read side by side: the arrays of one step stay in a core's cache.
 LANES = 2048
-#: Bound of the labelled sample: rows, bytes of a text, stretches of a language.
-ROWS, MAX_BYTES, STRETCHES = 3000, 9_000, 2500
+#: Bound of the labelled sample: rows shared out among languages, but FEW of each at least; bytes of a text, stretches of a language.
+ROWS, FEW, MAX_BYTES, STRETCHES = 3000, 40, 9_000, 2500
 STEPS, BATCH, RATE = 160, 192, 0.02
 UNKNOWN = "und"
 
@@ -187,11 +187,25 @@ def train(rows: list[tuple[bytes, str]], seed: int = 5) -> LanguageModel | None:
 
 
 def fit(docs: DataFrame, rows: int = ROWS, max_bytes: int = MAX_BYTES) -> LanguageModel | None:
-    """On at most rows texts of at most max_bytes, in hash order of doc_id, none of them held out."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text", "lang")
-    ids = known.select("doc_id", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(rows).select(F.col("doc_id").alias("_id")).distinct()
-    found = known.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("text").cast("binary").alias("text"), "lang").orderBy("doc_id", "text").limit(rows).collect()
-    return train([(bytes(r.text), r.lang) for r in found])
+    """On at most max(FEW, rows / languages) texts of each language, of at most max_bytes, those of least hash of doc_id, none held out.
+
+    Languages are counted first, so that a rare one gives as many texts as a frequent one as long as it has them; a
+    cut by hash in proportion to its count then keeps what reaches the driver within the bound.
+    """
+    order = F.xxhash64("doc_id")
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return None
+    most = max(FEW, rows // len(counts))
+    # half as many again as are used, so that chance leaves none short
+    cuts = docs.sparkSession.createDataFrame([(k, min(2**64 - 1, int(1.5 * (most + 20) / n * 2**64)) - 2**63) for k, n in counts.items()], "_lang string, _cut bigint")
+    found = known.join(F.broadcast(cuts), F.col("lang") == F.col("_lang")).where(order <= F.col("_cut")).select("doc_id", F.col("text").cast("binary").alias("text"), "lang", order.alias("o"))
+    drawn: dict[str, list[bytes]] = {k: [] for k in counts}
+    for r in found.orderBy("o", "doc_id", "text").limit(2 * (most + 20) * len(counts)).collect():
+        if len(drawn[r.lang]) < most:
+            drawn[r.lang].append(bytes(r.text))
+    return train([(t, k) for k, texts in drawn.items() for t in texts])
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
