@@ -3,14 +3,14 @@
 Random indexing: every word has a sparse ternary index vector drawn from its hash; a word's context
 vector is the sum of its neighbours' index vectors over the sample, weighted down by frequency, plus
 its own.  Words unseen in the sample keep their index vector alone, through the hash.  A document is
-the mean of its words' vectors; a network of two layers, trained in numpy, gives a logit; a
+the mean of its words' vectors and a few of the corpus's mean; a network of two layers, trained in numpy, gives a logit; a
 temperature fitted on rows that the network didn't see calibrates it.  Excerpts of the training texts are
-trained on too; what is scored is always whole.
+trained on too, by one law of length for both labels; what is scored is always whole.
 
 Words are runs of letters (ASCII lower-cased, with a mark word for all-capital ones), runs of digits
 (one word for all), and runs of punctuation; a word that equals the one before it adds a repeat mark.
 
-Null and empty texts have no words: their pooled vector is zero and they get that vector's score.
+Null and empty texts and those of white space alone have no words: they tell nothing, and get the sample's share of label 1.
 Repeated rows and ids are scored each on their own; without labels of both classes every score is the
 share of label 1 (0 without labels).
 """
@@ -35,6 +35,10 @@ HIDDEN = 24
 #: Bound of the labelled sample: rows of class 0 and of class 1, bytes of a text.
 PER_CLASS, MAX_BYTES = (1500, 1500), 9_000
 STEPS, RATE, DECAY = 300, 0.02, 1e-4
+#: Words of the corpus's mean that every text is pooled with, so that a word or two don't decide alone.
+PRIOR = 2
+#: Excerpts that a training text is trained on besides the whole.
+EXCERPTS = 2
 DIGIT, UPPER, REPEAT = 1, 2, 3
 
 KIND = np.zeros(256, np.uint8)  # 0 white space, 1 letters, 2 digits, 3 punctuation
@@ -109,19 +113,23 @@ def context_vectors(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     return base / np.sqrt(NONZERO) + total / np.maximum(norm, 1e-6)
 
 
-def pooled(vectors: np.ndarray, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(off) - 1, vectors.shape[1]), np.float32)
-    full = np.flatnonzero(off[:-1] < off[1:])
-    if len(full):
-        out[full] = np.add.reduceat(vectors[ids], off[:-1][full], axis=0) / np.diff(off)[full, None]
-    return out
+def pooled(vectors: np.ndarray, ids: np.ndarray, off: np.ndarray, center: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """Mean vectors of rows and PRIOR words of the corpus's mean, `center`, of some `most` words at a time."""
+    out = np.tile(PRIOR * center.astype(np.float32), (len(off) - 1, 1))
+    for lo, hi, part, ends in chunks(ids, off, most):
+        full = np.flatnonzero(ends[:-1] < ends[1:])
+        if len(full):
+            out[lo:hi][full] += np.add.reduceat(vectors[part], ends[:-1][full], axis=0)
+    return out / (np.diff(off) + PRIOR)[:, None].astype(np.float32)
 
 
 @dataclass
 class QualityModel:
     vectors: np.ndarray
+    center: np.ndarray  # mean vector of a word of the sample
     layers: list[np.ndarray]
     temperature: float
+    share: float  # of label 1 in the sample
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         mean, spread, a, b, c, d = self.layers
@@ -129,37 +137,39 @@ class QualityModel:
 
     def scores(self, data: np.ndarray, off: np.ndarray, hasher: WordHasher) -> np.ndarray:
         ids, ends = words(data, off, hasher)
-        return _sigmoid(self.logits(pooled(self.vectors, ids, ends)).astype(np.float64) / self.temperature)
+        found = _sigmoid(self.logits(pooled(self.vectors, ids, ends, self.center)).astype(np.float64) / self.temperature)
+        return np.where(ends[1:] > ends[:-1], found, self.share)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def excerpt(text: bytes, label: int, rng: np.random.Generator) -> tuple[bytes, int]:
-    """Some of a training text's words under its label: few of a good text's, more of another's, which may be good in part.
+def excerpt(text: bytes, rng: np.random.Generator) -> bytes:
+    """Some consecutive words of a training text: 3 to 120, short ones likelier, by the same law whatever its label.
 
     Short texts are rare among labelled ones, and their pooled vectors vary most.
     """
     parts = text.split(b" ")
-    n = int(rng.integers(3, 26) if label else rng.integers(60, 121))
+    n = int(np.exp(rng.uniform(np.log(3), np.log(121))))
     at = int(rng.integers(max(1, len(parts) - n + 1)))
-    return b" ".join(parts[at : at + n]), label
+    return b" ".join(parts[at : at + n])
 
 
 def train(rows: list[tuple[bytes, int]], seed: int = 11) -> QualityModel:
     y = np.array([r[1] for r in rows], np.float64)
+    share = float(y.mean()) if len(y) else 0.0
     if len(set(y.tolist())) < 2:
-        share = float(y.mean()) if len(y) else 0.0
-        zero = np.zeros((DIM, 1), np.float32)
         logit = np.float32(np.log((share + 1e-9) / (1 - share + 1e-9)))
-        return QualityModel(index_vectors(), [np.zeros(DIM), np.ones(DIM), np.zeros((DIM, 1)), np.zeros(1), zero[:1, 0] * 0, logit], 1.0)
+        return QualityModel(index_vectors(), np.zeros(DIM), [np.zeros(DIM), np.ones(DIM), np.zeros((DIM, 1)), np.zeros(1), np.zeros(1), logit], 1.0, share)
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     # texts set apart for the temperature, unless the others are of one class
     aside = max(2, len(rows) // 5)
     aside = aside if len({q for _, q in rows[aside:]}) == 2 else 0
-    rows = [*rows, *(excerpt(t, q, rng) for t, q in rows[aside:])]
+    # excerpts of those set apart come first, so that what is apart stays in front
+    rows = [*((excerpt(t, rng), q) for t, q in rows[:aside]), *rows, *((excerpt(t, rng), q) for t, q in rows[aside:] for _ in range(EXCERPTS))]
+    aside *= 2
     y = np.array([r[1] for r in rows], np.float64)
     hasher = WordHasher()
     data, off = joined([r[0] for r in rows])
@@ -167,7 +177,8 @@ def train(rows: list[tuple[bytes, int]], seed: int = 11) -> QualityModel:
     ids = np.concatenate([p[0] for p in parts])
     ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
     vectors = context_vectors(ids, ends)
-    x = pooled(vectors, ids, ends)
+    center = np.bincount(ids, minlength=BUCKETS) @ vectors / max(1, len(ids))
+    x = pooled(vectors, ids, ends, center)
     mean, spread = x.mean(0), x.std(0) + 1e-3
     x = (x - mean) / spread
     apart, fit = slice(0, aside or len(y)), slice(aside, None)
@@ -187,7 +198,7 @@ def train(rows: list[tuple[bytes, int]], seed: int = 11) -> QualityModel:
     grid = np.geomspace(0.25, 8, 60)
     loss = [-np.mean(np.log(np.where(y[apart] == 1, p := np.clip(_sigmoid(z / s), 1e-9, 1 - 1e-9), 1 - p))) for s in grid]
     layers = [q.astype(np.float32) for q in (mean, spread, a, b, c)] + [np.float32(d[0])]
-    return QualityModel(vectors, layers, float(grid[int(np.argmin(loss))]))
+    return QualityModel(vectors, center, layers, float(grid[int(np.argmin(loss))]), share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: tuple[int, int] = PER_CLASS, max_bytes: int = MAX_BYTES) -> QualityModel:
