@@ -190,6 +190,8 @@ def test_minimal_perfect_hash():
         keys = rng.integers(0, 2**63, (n, 4), np.uint64)
         mph = exactdedup.MinimalPerfectHash(keys)
         assert sorted(mph.slots(keys).tolist()) == list(range(n))
+    with pytest.raises(ValueError):
+        exactdedup.MinimalPerfectHash(np.concatenate([keys, keys[:1]]))
 
 
 def brute_exact(rows):
@@ -222,7 +224,8 @@ def test_exact_dedup_salts_hot_buckets(spark, monkeypatch):
 
 
 def test_exact_dedup_against_a_history(spark):
-    history = exactdedup.history_of(frame(spark, [(1, "old"), (2, "old"), (3, "older")]))
+    # of two corpora: a digest that both have comes twice
+    history = exactdedup.history_of(frame(spark, [(1, "old"), (3, "older")])).unionByName(exactdedup.history_of(frame(spark, [(2, "old")])))
     found = exactdedup.exact_dedup(spark, frame(spark, [(10, "old"), (11, "new"), (12, "new"), (13, "single")]), history)
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found.collect()} == {10: (2, 2, False), 11: (12, 2, False), 12: (12, 2, True), 13: (13, 1, True)}
 
