@@ -63,17 +63,19 @@ def bench_case(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("most", [10**6, 3])
-def test_decontamination_matches_brute_force(spark, most, monkeypatch):
+@pytest.mark.parametrize(("most", "bits"), [(10**6, 1 << 20), (3, 1 << 20), (3, 64)])
+def test_decontamination_matches_brute_force(spark, most, bits, monkeypatch):
+    """In a broadcast set, by a filter, and by one so full that all pass."""
     docs, items = bench_case(most)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", most)
+    monkeypatch.setattr(decontam, "BITS", bits)
+    monkeypatch.setattr(decontam, "HASHES_A_ROW", 7)
     found = decontam.scan(spark, frame(spark, docs).select("doc_id", "text"), bench, 4, most)
     got = found.select("doc_id", "_n_words", decontam.n_hit(), F.size("_items"), F.sha2(F.array_join("_items", ",").cast("binary"), 256), F.size("_hits") > 0)
     assert Counter(tuple(r) for r in got.collect()) == brute_hits(docs, items, 4)
 
 
-def test_decontamination_removes(spark):
+def test_decontamination_removes(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven"
     docs = frame(spark, [(1, f"Clean start. {item.upper()}, end."), (2, "clean"), (3, None), (4, "one two three four five six seven eight nine")])
     bench = spark.createDataFrame([("q", item)], "item_id string, text string")
@@ -82,10 +84,24 @@ def test_decontamination_removes(spark):
     cut = decontam.remove_spans(spark, docs, bench)
     assert cut.columns == docs.columns
     assert {r.doc_id: r.text for r in cut.collect()}[1] == "Clean start. , end."
+    monkeypatch.setattr(decontam, "SET_WORDS", 1)
+    kept = decontam.remove_documents(spark, docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+    assert {r.doc_id: r.text for r in decontam.remove_spans(spark, docs, bench).collect()}[1] == "Clean start. , end."
     assert decontam.contamination(spark, docs.limit(0), bench).count() == 0
     assert not decontam.contamination(spark, docs, bench.limit(0)).where("contaminated").count()
 
 
+def test_a_long_document_and_a_large_item(spark, monkeypatch):
+    words = [f"w{i}" for i in range(150_000)]
+    docs = [(1, " ".join(words)), (2, "x " * 300_000 + " ".join(words[70_000:70_010])), (3, " ".join(words[5:14]))]
+    bench = spark.createDataFrame([("large", " ".join(words[50_000:100_000]))], "item_id string, text string")
+    for most in (10**6, 10):
+        monkeypatch.setattr(decontam, "SET_WORDS", most)
+        found = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.contamination(spark, frame(spark, docs), bench).collect()}
+        assert found == {1: (150_000, 50_000, 1), 2: (300_010, 10, 1), 3: (9, 0, 0)}
+
+
 # SentencePiece
 
 

@@ -6,8 +6,10 @@ are scanned once: hashes of their word windows are looked up in the sorted set,
 word for word before it counts.  A document word inside any verified window is hit; documents or the
 hit spans can then be removed.
 
-The set is broadcast only while its items can have no more than BLOCK_WINDOWS windows.  A larger benchmark is taken in
-blocks of items, one scan each, and the verified spans of all blocks are united by row.
+The set is broadcast only while its items can have no more than SET_WORDS words in all.  The hashes of a larger
+benchmark go into a Bloom filter of BITS bits, which is broadcast in its place: documents are still scanned once,
+windows that pass the filter are joined with the benchmark's windows by all their words, and the spans that are
+so verified return to their rows.  A benchmark beyond some BITS / 10 windows makes the filter let more pass, never less.
 
 Null and empty texts have no words and no hits; items without words have no window.  Repeated items
 count by item_id; items with a null id are named by the empty string.  Repeated documents are each
@@ -16,7 +18,6 @@ judged on their own.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,44 +26,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHasher, byte_view, chunks, joined, pack, shared_dir, stage_out, unpack, window_hashes, word_spans
+from .common import LOWER, WordHasher, byte_view, chunks, joined, mix, pack, stage_out, unpack, window_hashes, word_spans
 
 WINDOW = 10
-#: Words in the items of one broadcast set at most; a window takes some 500 bytes in a worker.
-BLOCK_WINDOWS = 200_000
+#: Words in the items of a broadcast set at most; a window takes some 500 bytes in a worker.
+SET_WORDS = 200_000
+#: Of the Bloom filter, 32 MB, and bits that a window sets; hashes that reach the driver in one row.
+BITS, SET_BITS, HASHES_A_ROW = 1 << 28, 4, 1 << 16
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 INSIDE = WORD[LOWER]
 
 
+def item_windows(text: bytes, window: int, hasher: WordHasher) -> Iterator[tuple[int, int, bytes]]:
+    """(words, hash, the words joined by blanks) of each window of an item."""
+    data, off = joined([text])
+    starts, ends, _ = word_spans(data, off, INSIDE)
+    if len(starts):
+        size = min(window, len(starts))
+        low = LOWER[data]
+        hashes = window_hashes(hasher(low, starts, ends), size)
+        parts = [low[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        for i, h in enumerate(hashes.tolist()):
+            yield size, h, b" ".join(parts[i : i + size])
+
+
+def _places(first: np.ndarray, size: int, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(row, place of the window among all words) of those windows at `at` that lie within a row."""
+    for i in at.tolist():
+        row = int(np.searchsorted(first, i, "right")) - 1
+        if i + size <= first[row + 1]:
+            yield row, i
+
+
 class NgramSet:
-    """Windows of a block of items: by length, sorted hashes with the windows' words and items."""
+    """Windows of the items: by length, sorted hashes with the windows' words and items."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
         hasher = WordHasher()
-        self.window = window
-        found: dict[int, dict[int, tuple[bytes, set[str]]]] = {}
-        self.clashes: dict[int, dict[int, list[tuple[bytes, set[str]]]]] = {}
+        # by length and hash, the windows that have it; few hashes have more than one
+        found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
         for name, text in items:
-            data, off = joined([text])
-            starts, ends, _ = word_spans(data, off, INSIDE)
-            if not len(starts):
-                continue
-            size = min(window, len(starts))
-            low = LOWER[data].tobytes()
-            parts = [low[a:b] for a, b in zip(starts, ends, strict=True)]
-            for i, h in enumerate(window_hashes(hasher(LOWER[data], starts, ends), size).tolist()):
-                words = b" ".join(parts[i : i + size])
-                first = found.setdefault(size, {}).setdefault(h, (words, set()))
-                if first[0] == words:
-                    first[1].add(name)
-                else:
-                    others = self.clashes.setdefault(size, {}).setdefault(h, [])
-                    same = next((x for x in others if x[0] == words), None)
-                    if same is None:
-                        others.append(same := (words, set()))
-                    same[1].add(name)
+            for size, h, words in item_windows(text, window, hasher):
+                found.setdefault(size, {}).setdefault(h, {}).setdefault(words, set()).add(name)
         self.hashes = {size: np.array(sorted(v), np.uint64) for size, v in found.items()}
         self.windows = {size: [v[h] for h in sorted(v)] for size, v in found.items()}
 
@@ -78,56 +85,110 @@ class NgramSet:
                 if not len(mine):
                     continue
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                for i in np.flatnonzero(known[at] == mine).tolist():
-                    row = int(np.searchsorted(first, i, "right")) - 1
-                    if i + size > first[row + 1]:
-                        continue
-                    words = b" ".join(low[a:b].tobytes() for a, b in zip(starts[i : i + size], ends[i : i + size], strict=True))
-                    options = [self.windows[size][at[i]], *self.clashes.get(size, {}).get(int(mine[i]), [])]
-                    items = next((x[1] for x in options if x[0] == words), None)
+                for row, i in _places(first, size, np.flatnonzero(known[at] == mine)):
+                    items = self.windows[size][at[i]].get(_joined(low, starts, ends, i, size))
                     if items is not None:
                         out.append((row, i - int(first[row]), size, items))
         return np.diff(first), out
 
 
-def _blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items in blocks of at most `most` windows or a single item, streamed to the driver one by one."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    block: list[tuple[str, bytes]] = []
-    size = 0
-    for r in rows.toLocalIterator():
-        block.append((r.item_id, bytes(r.text)))
-        size += len(r.text) // 2 + 1  # no text has more words
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _joined(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, size: int) -> bytes:
+    return b" ".join(low[a:b].tobytes() for a, b in zip(starts[at : at + size], ends[at : at + size], strict=True))
+
+
+class Bloom:
+    def __init__(self, sizes: list[int], bits: int) -> None:
+        self.sizes, self.bits = sizes, np.zeros(bits // 8, np.uint8)
+
+    def _at(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        return mix(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(8 * len(self.bits))
+
+    def add(self, hashes: np.ndarray) -> None:
+        for k in range(SET_BITS):
+            at = self._at(hashes, k)
+            np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
+    def may_have(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that pass."""
+        left = np.arange(len(hashes))
+        for k in range(SET_BITS):
+            at = self._at(hashes[left], k)
+            left = left[self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
+        return left
 
-def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WINDOWS) -> DataFrame:
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+
+def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int | None = None) -> DataFrame:
     """Every row of docs with _n_words, _hits (word spans, united) and _items (sorted); docs has none of these (see pack)."""
-    blocks = _blocks(benchmark, window, most)
-    first = next(blocks, [])
-    second = next(blocks, None)
-    if second is None:
-        return _scan(spark, docs, first, window)
-    # several blocks: rows get an id in a written copy, then each block's spans are united by that id
-    path = f"{shared_dir(spark)}/rows"
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    total = None
-    while first is not None:
-        # written block by block, so that one block's set at a time is held
-        part = stage_out(spark, _scan(spark, rows.select("_row", "text"), first, window).drop("text"), "block")
-        total = part if total is None else total.unionByName(part)
-        first, second = second, next(blocks, None)
-    united = total.groupBy("_row").agg(
-        F.max("_n_words").alias("_n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias("_hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
+    items = _items(benchmark)
+    # no text has more words than half its bytes and one
+    size = items.agg(F.sum(F.floor(F.octet_length("text") / 2) + 1)).first()[0] or 0
+    if size <= (SET_WORDS if most is None else most):
+        return _scan(spark, docs, [(r.item_id, bytes(r.text)) for r in items.collect()], window)
+    return _filtered(spark, docs, items, window)
+
+
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """words (of a window), h, size and the items that have it, one row a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for name, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = list(item_windows(text, window, hasher))
+                for lo in range(0, len(found), 10_000):
+                    sizes, hashes, words = zip(*found[lo : lo + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(words, pa.binary()), pa.array([name] * len(words))], ["size", "h", "words", "item"])
+
+    return items.mapInArrow(run, "size int, h long, words binary, item string").groupBy("size", "h", "words").agg(F.collect_set("item").alias("items"))
+
+
+def _filtered(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    known = stage_out(spark, _windows(items, window), "windows")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([h[lo : lo + HASHES_A_ROW].tobytes() for lo in range(0, len(h), HASHES_A_ROW)], pa.binary())], ["h"])
+
+    bloom = Bloom([r.size for r in known.select("size").distinct().collect()], BITS)
+    # one row at a time
+    for r in known.select("h").mapInArrow(packed, "h binary").toLocalIterator():
+        bloom.add(np.frombuffer(r.h, np.uint64))
+    shared = spark.sparkContext.broadcast(bloom)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, bloom = WordHasher(), shared.value
+        for batch in batches:
+            data, off = byte_view(batch.column("text"))
+            words, found = [], [[] for _ in range(len(off) - 1)]
+            for lo, _, d, o in chunks(data, off):
+                starts, ends, first = word_spans(d, o, INSIDE)
+                words.append(np.diff(first))
+                low = LOWER[d]
+                hashes = hasher(low, starts, ends)
+                for size in bloom.sizes:
+                    mine = window_hashes(hashes, size)
+                    for row, i in _places(first, size, bloom.may_have(mine)):
+                        found[lo + row].append({"start": i - int(first[row]), "size": size, "h": int(mine[i : i + 1].view(np.int64)[0]), "words": _joined(low, starts, ends, i, size)})
+            extra = [pa.array(np.concatenate([*words, np.zeros(0, np.int64)])), pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("words", pa.binary())])))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "_n_words", "_found"])
+
+    struct = T.StructType([T.StructField("start", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("words", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_found", T.ArrayType(struct))])
+    # one scan; rows are named in the written copy
+    rows = stage_out(spark, docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    each = rows.where(F.size("_found") > 0).select("_row", F.explode("_found").alias("_f")).select("_row", "_f.*")
+    hits = each.join(known, ["size", "h", "words"]).groupBy("_row").agg(
+        F.array_sort(F.collect_set(F.struct("start", F.col("size").alias("words")))).alias("_hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"),
     )
-    return rows.join(united, "_row").drop("_row")
+    out = rows.drop("_found").join(stage_out(spark, hits, "hits"), "_row", "left")
+    none = lambda c, like: F.coalesce(c, F.array().cast(hits.schema[like].dataType)).alias(like)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), "_n_words", none("_hits", "_hits"), none("_items", "_items"))
 
 
 def _scan(spark: SparkSession, docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
@@ -199,8 +260,3 @@ def remove_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, win
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], ["text", "rest"])
 
     return found.mapInArrow(run, found.drop("_hits").schema).select(*unpack(docs, "text"))
-
-
-def items_digest(items: list[str]) -> str:
-    """What contamination() returns for a set of items."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
