@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm import exactdedup, linededup, setsketch
+from tickloom.llm import exactdedup, setsketch
 from tickloom.llm.common import WordHasher, joined
 
 DOCS = "doc_id long, text string, lang string, _id long, rest string, n_lines int, band long"
@@ -228,52 +228,3 @@ def test_exact_dedup_against_a_history(spark):
     history = exactdedup.history_of(frame(spark, [(1, "old"), (3, "older")])).unionByName(exactdedup.history_of(frame(spark, [(2, "old")])))
     found = exactdedup.exact_dedup(spark, frame(spark, [(10, "old"), (11, "new"), (12, "new"), (13, "single")]), history)
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found.collect()} == {10: (2, 2, False), 11: (12, 2, False), 12: (12, 2, True), 13: (13, 1, True)}
-
-
-def brute_lines(rows, min_words):
-    """Lines in maximal repeated runs, by comparing all pairs of positions."""
-    docs = []
-    for i, t in rows:
-        lines = t.split("\n")
-        full = [k for k, x in enumerate(lines) if x.strip(" ")]
-        docs.append((i, lines, full, [lines[k].strip(" ").count(" ") + 1 for k in full]))
-    gone = defaultdict(set)
-    for a, (i, la, fa, wa) in enumerate(docs):
-        for b, (j, lb, fb, _) in enumerate(docs):
-            for x in range(len(fa)):
-                for y in range(len(fb)):
-                    if (j, y) >= (i, x) or (a == b and y >= x):
-                        continue
-                    n = 0
-                    while x + n < len(fa) and y + n < len(fb) and la[fa[x + n]] == lb[fb[y + n]]:
-                        n += 1
-                    if n and sum(wa[x : x + n]) >= min_words:
-                        gone[i] |= set(range(fa[x], fa[x + n - 1] + 1))
-    return {i: "\n".join(x for k, x in enumerate(lines) if k not in gone[i]) for i, lines, _, _ in docs}, gone
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_line_dedup_matches_brute_force(spark, seed):
-    rng = random.Random(seed)
-    pool = [" ".join(f"{k}{j}" for j in range(rng.randint(1, 5))) for k in range(9)] + ["", "  "]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(25)]
-    texts, gone = brute_lines(rows, 6)
-    docs = frame(spark, rows)
-    found = linededup.line_dedup(spark, docs, 6)
-    assert sorted(found.columns) == sorted([*docs.columns, "n_removed"])
-    for r in found.collect():
-        assert (r.text, r.n_removed) == (texts[r.doc_id], len(gone[r.doc_id])), r.doc_id
-
-
-def test_line_dedup_odd_rows(spark):
-    long = " ".join(f"w{i}" for i in range(60))
-    rows = [(1, f"{long}\nshort"), (2, f"mine\n{long}\nshort"), (2, f"other\n\n{long}"), (3, None), (4, ""), (None, long), (None, long), (5, "short")]
-    found = Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in linededup.line_dedup(spark, frame(spark, rows)).collect())
-    assert found == Counter({(1, f"{long}\nshort", 2, 0): 1, (2, "mine", 3, 2): 1, (2, "other\n", 3, 1): 1, (3, None, 0, 0): 1, (4, "", 1, 0): 1, (None, "", 1, 1): 2, (5, "short", 1, 0): 1})
-    assert linededup.line_dedup(spark, frame(spark, rows).limit(0)).count() == 0
-
-
-def test_line_dedup_is_native(spark):
-    found = linededup.line_dedup(spark, frame(spark, [(1, "a")]))
-    plan = found._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)

@@ -1,110 +1,160 @@
-"""Line dedup by winnowing, in DataFrame functions only.
-
-A run is a stretch of consecutive lines of a document, blank lines aside, with at least MIN_WORDS words.
-A line is deleted if it lies in a run that also occurs earlier, in the order of (doc_id, line): in an
-earlier document, or earlier in its own.
-
-From every line, two windows are taken: the shortest run that starts there and the shortest that ends
-there.  Every run of MIN_WORDS words or more, however long, is the union of such windows, so deleting
-repeated windows deletes exactly the repeated runs.
-
-Winnowing: each window selects its least line hash, the last one if it ties, as its fingerprint.  The
-choice depends on the window's content alone, so equal runs select equal fingerprints, guaranteed.
-Fingerprints are counted first; only those at two positions or more go on, each with the windows that
-extend from it both ways.  Windows are compared by a 128-bit hash of their lines; the first position of
-each is found by a pre-aggregated minimum, and what is later is deleted.  No pairs of positions are
-made: a line in a third of all documents costs one row an occurrence.
-
-Null texts are returned as null with no lines; empty ones have one blank line.  Lines are compared byte
-for byte; a line has as many words as single blanks within it, plus one; blank lines have none, are passed
-over when windows are compared, and go with the run they stand in.  Rows that repeat an id are at one
-place in the order, so none of them deletes another's lines.  Rows with a null id come after all others
-and are at one place too.
+"""Line dedup by winnowing, in DataFrame functions only: repeated runs of lines go, wherever they begin and end within a line.
+
+A run is a stretch of consecutive words of a document, MIN_WORDS of them or more.  A word is deleted if it lies in
+a run that also occurs earlier, in the order of (doc_id, word): in an earlier document, or earlier in its own.  A
+word goes with the white space before it, so a line that goes whole goes with its line break.  Lines are hashed word
+by word, so that a run is found that begins or ends inside a line, or whose lines are broken elsewhere.
+
+Every run of MIN_WORDS words or more is the union of its windows of MIN_WORDS words, so extending matches
+both ways until they end is deleting the windows that match.
+
+1. Winnowing: a window selects the leftmost least of its words by a quantised hash: one word in RARE is of the first
+   kind, one in COMMON of the second, the others of the third.  The choice depends on the window's content
+   alone, so equal windows select equal places, guaranteed.  The fingerprint is the hash of the GRAM words from there.
+   Consecutive windows that select the same place are a stretch: about one place in fourteen stays.
+2. Fingerprints are counted; those of two stretches or more go on.
+3. Stretches are joined by a hash of all their words to the first position of each: later ones go whole.
+4. Where a fingerprint has stretches that differ, a match ends inside them.  The first position of each is opened into
+   windows, which are joined by a 128-bit hash of their words to the first position of each: later ones go.
+
+No pairs of later positions are made: a passage in a third of all documents costs a few rows an occurrence.  All
+steps are linear in a document's words.
+
+A word is a run of characters other than Unicode white space; in scripts without blanks (Chinese, Japanese,
+Thai, Lao, Khmer, Burmese) each character counts as one, so that runs of MIN_WORDS characters are found.
+Null texts are returned as null without words, texts of fewer words than MIN_WORDS as they are.  Words are compared byte
+for byte.  Different rows that repeat an id are in the order of their texts' hashes, identical ones are at one place;
+rows with a null id come last.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pack, stage_out, unpack
 
 MIN_WORDS = 50
-#: Marks of lines to delete are broadcast if they measure no more than this; beyond, texts are shuffled to them.
+#: Of a fingerprint; rates of the words that windows select first.
+GRAM, RARE, COMMON = 10, 32, 8
+#: Tables of stretches and of words to delete are broadcast if they measure no more than this; beyond, texts are shuffled to them.
 BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
+# fixed values: white space of ASCII and of Unicode beyond it, and the blocks of scripts that are written without blanks
+ASCII_SPACE = r"\x09-\x0d\x1c-\x20"
+OTHER_SPACE = r"\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+DENSE = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\x{20000}-\x{3ffff}"
+SPACE = ASCII_SPACE + OTHER_SPACE
+WORD = rf"(?:[{DENSE}]|[^{SPACE}{DENSE}]+)"
+
+
+def _found(before: str = "") -> Column:
+    """The text's words, each with what `before` matches; most texts need the short pattern only."""
+    plain, full = rf"{before.format(ASCII_SPACE)}[^{ASCII_SPACE}]+", before.format(SPACE) + WORD
+    return F.when(F.col("text").rlike(f"[{OTHER_SPACE}{DENSE}]"), F.regexp_extract_all("text", F.lit(full), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(plain), F.lit(0)))
+
+
+def _hashes() -> Column:
+    return F.transform(_found(), lambda x: F.xxhash64(x))
+
+
+def _let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with value made once however often make uses it: a lambda's argument, unlike a column, is never copied into its uses."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _parted(h: Column, min_words: int) -> Column:
+    """Structs (f, k, a, b) of a fingerprint, hash of all words, first and last window of each stretch of the hashed words h."""
+    gram = min(GRAM, max(1, min_words // 2))
+    reach = min_words - gram
+
+    def least(lo: Column, hi: Column, rate: int) -> Column:
+        between = F.filter(F.sequence(lo, hi), lambda i: F.get(h, i).bitwiseAND(F.lit(rate - 1)) == 0)
+        return F.concat(F.array(lo - 1), between, F.array(hi + 1))
+
+    def selected(points: Column, last: Column) -> Column:
+        """at (the place), a, b of windows up to `last` that select a point, and a, b, q of those that reach none.
+
+        points: places in order, between the one before the first window and the one beyond the last.
+        """
+        pairs = F.zip_with(F.slice(points, F.lit(1), F.size(points) - 1), F.slice(points, F.lit(2), F.size(points) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        chosen = F.transform(F.slice(points, F.lit(2), F.size(points) - 2), lambda q, i: F.struct(q.alias("at"), F.greatest(F.get(points, i) + 1, q - reach).alias("a"), F.least(q, last).alias("b")))
+        missed = F.transform(pairs, lambda x: F.struct((x["p"] + 1).alias("a"), F.least(x["q"] - (reach + 1), last).alias("b"), x["q"].alias("q")))
+        return F.struct(*(F.filter(x, lambda y: y["a"] <= y["b"]).alias(n) for x, n in ((chosen, "chosen"), (missed, "missed"))))
 
+    def common(rare: Column) -> Column:
+        again = F.transform(rare["missed"], lambda x: _let(least(x["a"], x["q"] - 1, COMMON), lambda points: selected(points, x["b"])))
 
-def _words(line: Column) -> Column:
-    trimmed = F.trim(line)
-    return F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).cast("int")
+        def every(found: Column) -> Column:
+            alone = F.transform(F.flatten(F.transform(F.flatten(found["missed"]), lambda x: F.sequence(x["a"], x["b"]))), lambda i: F.struct(i.alias("at"), i.alias("a"), i.alias("b")))
+            return F.concat(rare["chosen"], F.flatten(found["chosen"]), alone)
 
+        return _let(again, every)
 
-def _shortest(counts: Column, count: Column, at: Column, min_words: int) -> Column:
-    """Lines from `at` (0-based) until min_words words are reached; null if the lines end before."""
+    part = lambda x, n: F.xxhash64(F.slice(h, x + 1, n))
+    stretches = _let(least(F.lit(0), F.size(h) - gram, RARE), lambda points: _let(selected(points, F.size(h) - min_words), common))
+    return F.transform(stretches, lambda x: F.struct(part(x["at"], F.lit(gram)).alias("f"), part(x["a"], x["b"] - x["a"] + min_words).alias("k"), x["a"].alias("a"), x["b"].alias("b")))
 
-    def within(most: int) -> Column:
-        reached = F.aggregate(
-            F.slice(counts, at + 1, most),
-            F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines")),
-            lambda acc, w: F.when(acc["words"] >= min_words, acc).otherwise(F.struct((acc["words"] + w).alias("words"), (acc["lines"] + 1).alias("lines"))),
-            lambda acc: F.when(acc["words"] >= min_words, acc["lines"]),
-        )
-        return reached
 
-    # most windows are of one line or a few; every line has a word, so min_words lines are enough
-    return F.when(count >= min_words, F.lit(1)).otherwise(F.coalesce(within(min(4, min_words)), within(min_words)))
+def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc, tie, f, k, a, b of every stretch."""
+    s = _let(_hashes(), lambda h: F.when(F.size(h) >= min_words, _parted(h, min_words)))
+    # the outer form, since for the other one Spark infers a filter that would make the stretches a second time
+    return docs.select("doc", "tie", F.explode_outer(s).alias("x")).where("x is not null").select("doc", "tie", "x.f", "x.k", "x.a", "x.b")
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, tie, first and last line, fingerprint, key1 and key2 of every window."""
-    lines = F.split(F.col("text"), "\n", -1)
-    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), _words(x).alias("w"))), lambda x: x["w"] > 0)
-    base = docs.select("doc", "tie", full.alias("f"))
-    base = base.select("doc", "tie", F.col("f.line").alias("line"), F.col("f.h").alias("h"), F.col("f.w").alias("w"), F.reverse("f.w").alias("back"), F.size("f").alias("n"))
-    ahead = F.transform("w", lambda x, i: F.struct(i.alias("at"), _shortest(F.col("w"), x, i, min_words).alias("size")))
-    behind = F.transform("back", lambda x, i: F.struct(i.alias("end"), _shortest(F.col("back"), x, i, min_words).alias("size")))
-    behind = F.transform(behind, lambda x: F.struct((F.col("n") - x["end"] - x["size"]).alias("at"), x["size"].alias("size")))
-    both = F.array_distinct(F.filter(F.concat(ahead, behind), lambda x: x["size"].isNotNull()))
-    each = base.select("doc", "tie", "line", "h", F.explode(both).alias("x"))
-    own = F.slice("h", F.col("x.at") + 1, F.col("x.size"))
-    each = each.select("doc", "tie", F.col("line")[F.col("x.at")].alias("first"), F.col("line")[F.col("x.at") + F.col("x.size") - 1].alias("last"), own.alias("own"))
-    return each.select("doc", "tie", "first", "last", F.array_min("own").alias("fingerprint"), F.xxhash64("own").alias("key1"), F.xxhash64(F.lit(1), F.reverse("own")).alias("key2"))
+def _beside(side: DataFrame, sized: str) -> DataFrame:
+    """side with a broadcast hint if its measured bytes allow."""
+    n, more = side.agg(F.count(F.lit(1)), F.sum(F.size(sized).cast("long"))).first()
+    return F.broadcast(side) if n * ROW_BYTES + 16 * (more or 0) <= BROADCAST_BYTES else side
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, tie, gone: the sorted line numbers to delete, for documents that have any.
+def repeated_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc, tie, runs: structs (a, b), in order, of the first and last word (0-based) of each run to delete.
 
     docs: doc (the order), tie (tells rows at one place apart), text.
     """
-    found = stage_out(spark, windows(docs, min_words), "windows")
-    # a window can only occur again if its fingerprint does, at another place
-    often = found.groupBy("fingerprint").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("first").alias("f0"), F.max("first").alias("f1")).where("d0 <> d1 or f0 <> f1").select(F.col("fingerprint").alias("_f"))
-    going = found.join(often, F.col("fingerprint") == F.col("_f"), "left_semi")
-    place = F.struct("doc", "first")
-    earliest = going.groupBy("key1", "key2").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest < latest").select(F.col("key1").alias("_k1"), F.col("key2").alias("_k2"), "earliest")
-    later = going.join(earliest, (F.col("key1") == F.col("_k1")) & (F.col("key2") == F.col("_k2"))).where(place > F.col("earliest"))
-    return later.select("doc", "tie", F.explode(F.sequence("first", "last")).alias("line")).groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    found = stage_out(spark, _stretches(docs, min_words), "stretches")
+    often = found.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k0"), F.max("k").alias("k1")).where("n > 1").select(F.col("f").alias("_f"), F.expr("k0 <> k1").alias("open"))
+    going = stage_out(spark, found.join(often, F.col("f") == F.col("_f")).select("doc", "tie", "f", "k", "a", "b", "open"), "going")
+    place = F.struct("doc", "tie", "a")
+    first = stage_out(spark, going.groupBy("f", "k").agg(F.min(place).alias("earliest"), F.max(place).alias("latest"), F.first(F.expr("b - a")).alias("more"), F.first("open").alias("open")), "first")
+    again = first.where("earliest < latest").select(F.col("f").alias("_f"), F.col("k").alias("_k"), "earliest")
+    whole = going.join(again, (F.col("f") == F.col("_f")) & (F.col("k") == F.col("_k"))).where(place > F.col("earliest")).select("doc", "tie", "a", "b")
+    opened = first.where("open").select("earliest.doc", "earliest.tie", "earliest.a", (F.col("earliest.a") + F.col("more")).alias("b"))
+    opened = stage_out(spark, opened.groupBy("doc", "tie").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("at")), "opened")
+    words = docs.join(_beside(opened, "at"), ["doc", "tie"])
+    places = F.flatten(F.transform("at", lambda x: F.sequence(x["a"], x["b"])))
+    windows = lambda h: F.transform(places, lambda i: F.struct(i.alias("i"), F.slice(h, i + 1, min_words).alias("w")))
+    keyed = F.transform(_let(_hashes(), windows), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["w"]).alias("key1"), F.xxhash64(F.lit(1), x["w"]).alias("key2")))
+    windows = stage_out(spark, words.select("doc", "tie", F.explode_outer(keyed).alias("x")).where("x is not null").select("doc", "tie", "x.i", "x.key1", "x.key2"), "windows")
+    place = F.struct("doc", "tie", "i")
+    earliest = windows.groupBy("key1", "key2").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest < latest").select(F.col("key1").alias("_k1"), F.col("key2").alias("_k2"), "earliest")
+    later = windows.join(earliest, (F.col("key1") == F.col("_k1")) & (F.col("key2") == F.col("_k2"))).where(place > F.col("earliest"))
+    ranges = whole.unionByName(later.select("doc", "tie", F.col("i").alias("a"), F.col("i").alias("b")))
+    starts = ranges.groupBy("doc", "tie").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("p"))
+    # windows that overlap or touch are one run
+    heads = F.filter("p", lambda x, i: (i == 0) | (x["a"] - F.get("p", F.greatest(i - 1, F.lit(0)))["b"] > min_words))
+    tails = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1)["a"] - x["b"] > min_words, F.lit(True)))
+    return starts.select("doc", "tie", F.zip_with(heads, tails, lambda x, y: F.struct(x["a"].alias("a"), (y["b"] + (min_words - 1)).alias("b"))).alias("runs"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs with text cleaned, and n_lines, n_removed of each row (columns so named are replaced)."""
-    docs = docs.drop("n_lines", "n_removed")
+    """All columns of docs with text cleaned, and n_removed, the words that went (a column so named is replaced)."""
+    docs = docs.drop("n_removed")
     last = (1 << 63) - 1
     doc, tie = F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), F.xxhash64("text")
     keyed = pack(docs.withColumn("text", F.col("text").cast("string")), "doc_id", "text").withColumns({"doc": doc, "tie": tie})
-    gone = stage_out(spark, repeated_lines(spark, keyed.select("doc", "tie", "text"), min_words), "gone")
-    # one character a line: 1 if the line goes
-    marks = F.array_join(F.transform("gone", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.col("gone")[i - 1]).otherwise(-1) - 1), F.lit("1"))), "")
-    gone = gone.select("doc", "tie", marks.alias("marks"), F.size("gone").cast("long").alias("removed"))
-    n, chars = gone.agg(F.count(F.lit(1)), F.sum(F.length("marks"))).first()
-    if n * ROW_BYTES + (chars or 0) <= BROADCAST_BYTES:
-        gone = F.broadcast(gone)
-    out = keyed.join(gone, ["doc", "tie"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.substring("marks", i + 1, F.lit(1)) != "1"), "\n")
-    return out.select(
-        "doc_id",
-        "rest",
-        F.when(F.col("marks").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        F.coalesce("removed", F.lit(0)).alias("n_removed"),
-    ).select(*unpack(docs, "doc_id", "text"), "n_lines", "n_removed")
+    gone = stage_out(spark, repeated_words(spark, keyed.select("doc", "tie", "text"), min_words), "gone")
+    out = keyed.join(_beside(gone, "runs"), ["doc", "tie"], "left")
+    out = out.select("doc_id", "rest", "text", "runs", F.when(F.col("runs").isNotNull(), _found("[{}]*")).alias("pieces"))
+    # words between runs, then those after the last one, then white space at the end
+    before = lambda i: F.when(i > 0, F.get("runs", F.greatest(i - 1, F.lit(0)))["b"]).otherwise(-1)
+    between = F.flatten(F.transform("runs", lambda x, i: F.slice("pieces", before(i) + 2, x["a"] - before(i) - 1)))
+    after = F.slice("pieces", F.element_at("runs", -1)["b"] + 2, F.size("pieces"))
+    end = F.substr("text", F.length(F.array_join("pieces", "")) + 1)
+    kept = F.concat(F.array_join(F.concat(between, after), ""), end)
+    cut = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"] + 1)
+    found = out.select("doc_id", "rest", F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(cut, F.lit(0)).cast("long").alias("n_removed"))
+    return found.select(*unpack(docs, "doc_id", "text"), "n_removed")

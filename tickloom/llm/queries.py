@@ -46,13 +46,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_dedup
 
-    return line_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
-
-
-def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .passagededup import passage_dedup
-
-    return passage_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_cut", "text")
+    return line_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +73,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_warc, op4_near_dedup, op5_sentencepiece, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_exact_dedup, op10_quality_classifier, op6_passage_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_warc, op4_near_dedup, op5_sentencepiece, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_exact_dedup, op10_quality_classifier)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -94,37 +88,20 @@ ORACLE_SQL: dict[str, str] = {
             FROM pages
         )
     """,
-    "op6_line_dedup": """
-        WITH l AS (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-                   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+    # words are parted by white space of ASCII only: the tables have no other, nor scripts without blanks
+    "op6_line_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, text, regexp_extract_all(text, '[^\x09-\x0D\x1C-\x20]+') AS w, regexp_extract_all(text, '[\x09-\x0D\x1C-\x20]*[^\x09-\x0D\x1C-\x20]+') AS p
             FROM documents
-        ), f AS (
-            SELECT *, row_number() OVER d AS i, sum(w) OVER d AS c FROM (
-                SELECT *, length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) + 1 AS w
-                FROM l WHERE trim(line, ' ') <> ''
-            ) WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
-        ), a AS (SELECT doc_id, list(line ORDER BY i) AS lines FROM f GROUP BY doc_id),
-        w AS (
-            SELECT s.doc_id, s.i AS b, min(e.i) AS e FROM f s JOIN f e
-            ON s.doc_id = e.doc_id AND e.i BETWEEN s.i AND s.i + 49 AND e.c - s.c + s.w >= 50 GROUP BY ALL
-            UNION
-            SELECT e.doc_id, max(s.i) AS b, e.i AS e FROM f s JOIN f e
-            ON s.doc_id = e.doc_id AND s.i BETWEEN e.i - 49 AND e.i AND e.c - s.c + s.w >= 50 GROUP BY ALL
-        ), k AS (SELECT w.*, lines[b:e] AS key FROM w JOIN a USING (doc_id)),
-        first AS (SELECT key, min(struct_pack(d := doc_id, b := b)) AS at FROM k GROUP BY key),
-        gone AS (
-            SELECT DISTINCT l.doc_id, l.pos FROM k JOIN first USING (key)
-            JOIN f x ON x.doc_id = k.doc_id AND x.i = k.b JOIN f y ON y.doc_id = k.doc_id AND y.i = k.e
-            JOIN l ON l.doc_id = k.doc_id AND l.pos BETWEEN x.pos AND y.pos
-            WHERE struct_pack(d := k.doc_id, b := k.b) > first.at
-        )
-        SELECT doc_id, len(string_split(text, chr(10))) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(kept, '') AS text
-        FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)
-        LEFT JOIN (
-            SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept
-            FROM l ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
-        ) USING (doc_id)
+        ), k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+        later AS (SELECT doc_id, i FROM (SELECT *, min(struct_pack(d := doc_id, b := i)) OVER (PARTITION BY key) AS first FROM k) WHERE struct_pack(d := doc_id, b := i) > first),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM later),
+        kept AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS j FROM d WHERE doc_id IN (SELECT doc_id FROM gone)),
+        cut AS (SELECT doc_id, string_agg(piece, '' ORDER BY j) AS text FROM kept ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_removed,
+               CASE WHEN n IS NULL THEN d.text ELSE coalesce(cut.text, '') || substr(d.text, length(array_to_string(p, '')) + 1) END AS text
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN cut USING (doc_id)
     """,
     "op7_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
