@@ -173,6 +173,32 @@ def test_longest_prefix_of_a_compiled_map():
     assert norm.decode() == "▁b▁z"
 
 
+def test_a_model_with_a_map_encodes_as_the_library_does(spark, tmp_path):
+    """The public model has an empty map, so it is given one here: the whole query path then goes through it."""
+    strings, values = b"", []
+    for source, target in (("a", "b"), ("abc", "x"), ("Ａ", "A"), ("\u3000", " "), ("é", "e"), ("\u200b", "")):
+        values.append((source.encode(), len(strings)))
+        strings += target.encode() + b"\0"
+    trie = double_array(values)
+    blob = struct.pack("<I", len(trie)) + trie + strings
+    spec = b"\x0a\x03own\x12" + spm._varint(len(blob)) + blob + b"\x18\x01\x20\x01\x28\x01"
+    with open(MODEL, "rb") as f:
+        raw = f.read()
+    model = b"".join(spm._varint(k << 3 | w) + (spm._varint(v) if w == 0 else (spm._varint(len(v)) if w == 2 else b"") + v) for k, w, v in spm._fields(raw) if k != 3)
+    model += spm._varint(3 << 3 | 2) + spm._varint(len(spec)) + spec
+    (tmp_path / "m.model").write_bytes(model)
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "ab", "abc", "Ａ", "\u3000", " ", "  ", "é", "\u200b", "z", "漢", "😀"]) for _ in range(rng.randint(0, 30))) for _ in range(120)] + ["   ", "\u200b", None]
+    assert lib.encode("Ａbc") == lib.encode("Abc") != sentencepiece.SentencePieceProcessor(model_proto=raw).encode("Ａbc")
+    found = spm.encode_decode(spark, frame(spark, list(enumerate(texts))), str(tmp_path / "m.model"), ("ids", "begins", "ends", "decoded"))
+    for r in found.collect():
+        ids = lib.encode(texts[r.doc_id] or "", add_bos=True, add_eos=True)
+        assert (list(r.ids), r.decoded) == (ids, lib.decode(ids)), texts[r.doc_id]
+        size = len((texts[r.doc_id] or "").encode())
+        assert all(0 <= a <= b <= size for a, b in zip(r.begins, r.ends, strict=True)) and list(r.begins[:-1]) == sorted(r.begins[:-1])
+
+
 def test_op5_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "x" * 300_000 + " é"), (4, "twice"), (4, "twice"), (None, "a b")]
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -253,7 +279,7 @@ def expected_pages(rows):
     for i, _, html in rows:
         raw = (html or "").encode()
         again = len(raw) >= 100 and first.get(html) is not None and i != first[html]
-        out.append((i, len(raw), sha(raw), "revisit" if again else "response", first[html] if again else None))
+        out.append((i, len(raw), sha(raw), "revisit" if again else "response", first[html] if again else None, True))
     return Counter(out)
 
 
@@ -274,6 +300,24 @@ def test_warc_round_trip(spark, block):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_revisits_are_held_against_their_responses(spark, tmp_path):
+    warc.write_warc(spark, spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
+    (part,) = (tmp_path / "w").glob("part-*")
+    for good, bad, n in ((b"WARC-Refers-To: <urn:page:3>", b"WARC-Refers-To: <urn:page:4>", 2), (sha("x" * 200).encode(), sha("other").encode(), 2)):
+        spoilt = tmp_path / f"spoilt{n}{bad[:3].decode()}"
+        spoilt.mkdir()
+        (spoilt / "a.warc").write_bytes(part.read_bytes().replace(good, bad))
+        found = warc.resolved(spark, warc.read_warc(spark, f"file://{spoilt}")).collect()
+        assert len(found) == len(PAGES) and sum(not r.resolved for r in found) == n
+        assert all(r.type == "revisit" for r in found if not r.resolved)
+
+
+def test_warc_of_a_very_long_page(spark):
+    rows = [(1, "u", "long " * 400_000 + "WARC/1.1\r\n" + "z" * 100_000), (2, "u", "short")]
+    found = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert Counter(tuple(r) for r in found.collect()) == expected_pages(rows)
+
+
 def test_warc_is_readable_by_hand(spark, tmp_path):
     warc.write_warc(spark, spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/w")
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))

@@ -13,6 +13,7 @@ by a path that is a parameter; executors get its bytes.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -153,8 +154,7 @@ class Normalizer:
             steps.append((new, at, same))
             at += size
         if self.collapse:
-            while steps and steps[0][0] == b" ":
-                steps.pop(0)
+            steps = list(itertools.dropwhile(lambda s: s[0] == b" ", steps))
         if not steps:
             return b"", np.array([end], np.int64)
         if self.prefix and not self.suffix:
@@ -175,7 +175,6 @@ class Normalizer:
         if self.collapse:
             while out.endswith(space):
                 del out[-len(space) :], source[-len(space) :]
-                end = max((s for s in [len(text)]), default=end)
         if self.prefix and self.suffix:
             out += space
             source += [len(text)] * len(space)
@@ -229,14 +228,14 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def encode_decode(spark: SparkSession, docs: DataFrame, model_path: str, columns: tuple[str, ...] = ("ids", "begins", "ends", "decoded")) -> DataFrame:
-    """All columns of docs but text, if they don't clash, and the asked ones of COLUMNS, of each whole text.
+    """All columns of docs but text, and the asked ones of COLUMNS, of each whole text; columns of docs so named are replaced.
 
     ids_le: ids as little-endian unsigned 32-bit integers. aligned: the pieces' source spans are in order and
     cover the text from its first byte to its last.
     """
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    others = [c for c in docs.columns if c != "text" and c not in COLUMNS]
+    others = [c for c in docs.columns if c not in ("text", *columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model.value)

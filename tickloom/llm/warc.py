@@ -250,6 +250,19 @@ def _reassembled(spark: SparkSession, path: str, found: DataFrame, broken: DataF
     return own.select("file", "offset", "follows", "i", "value").groupBy("file", "offset").applyInArrow(together, f"file string, offset long, follows long, {FIELDS}")
 
 
+def resolved(spark: SparkSession, records: DataFrame) -> DataFrame:
+    """records with `resolved`: whether a revisit's digest and size are those that a response it refers to was read with; true for all others.
+
+    A revisit brings no payload: its digest and size are only what its headers say, until they are held against the response's.
+    """
+    records = stage_out(spark, records, "read")
+    said = records.where("type = 'revisit'").select("refers_to", "payload_digest", "payload_bytes").distinct()
+    there = records.where("type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    good = said.join(there, ["refers_to", "payload_digest", "payload_bytes"]).select(F.col("refers_to").alias("_r"), F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_b"), F.lit(True).alias("_good"))
+    out = records.join(good, (F.col("refers_to") == F.col("_r")) & (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_b")), "left")
+    return out.select(*records.columns, ((F.col("type") != "revisit") | F.col("_good").isNotNull()).alias("resolved"))
+
+
 def page_number(c: str) -> Column:
     return F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
 
@@ -258,4 +271,5 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes pages as archives in the shared folder and reads them back."""
     path = f"{shared_dir(spark)}/archives"
     write_warc(spark, pages, path)
-    return read_warc(spark, path).select(page_number("page_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page_number("refers_to").alias("refers_to"))
+    found = resolved(spark, read_warc(spark, path))
+    return found.select(page_number("page_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page_number("refers_to").alias("refers_to"), "resolved")
