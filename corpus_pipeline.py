@@ -10,14 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import shared_dir, table
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from tickloom.llm.common import table
+
+    return table(spark, sf_dir, name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores 0.3 or more."""
     from tickloom.llm.quality import keep_good
 
-    return keep_good(docs, table(spark, sf_dir, "labels"), 0.3)
+    return keep_good(docs, _table(spark, sf_dir, "labels"), 0.3)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rows without ten consecutive words of a benchmark item."""
     from tickloom.llm.decontam import remove_documents
 
-    return remove_documents(spark, docs, table(spark, sf_dir, "benchmark"))
+    return remove_documents(spark, docs, _table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    from tickloom.llm.common import shared_dir
+
+    docs = _table(spark, sf_dir, "documents")
     path = shared_dir(spark)
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{path}/stage{i}")
