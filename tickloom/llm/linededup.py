@@ -15,7 +15,7 @@ both ways until they end is deleting the windows that match.
 2. Fingerprints are counted; those of two stretches or more go on.
 3. Stretches are joined by a hash of all their words to the first position of each: later ones go whole.
 4. Where a fingerprint has stretches that differ, a match ends inside them.  The first position of each is opened into
-   windows, which are joined by a 128-bit hash of their words to the first position of each: later ones go.
+   windows, which are joined by their fingerprint and a hash of their words to the first position of each: later ones go.
 
 No pairs of later positions are made: a passage in a third of all documents costs a few rows an occurrence.  All
 steps are linear in a document's words.
@@ -46,17 +46,26 @@ ASCII_SPACE = r"\x09-\x0d\x1c-\x20"
 OTHER_SPACE = r"\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 DENSE = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\x{20000}-\x{3ffff}"
 SPACE = ASCII_SPACE + OTHER_SPACE
-WORD = rf"(?:[{DENSE}]|[^{SPACE}{DENSE}]+)"
+#: The characters of SPACE, to trim.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
-def _found(before: str = "") -> Column:
-    """The text's words, each with what `before` matches; most texts need the short pattern only."""
-    plain, full = rf"{before.format(ASCII_SPACE)}[^{ASCII_SPACE}]+", before.format(SPACE) + WORD
-    return F.when(F.col("text").rlike(f"[{OTHER_SPACE}{DENSE}]"), F.regexp_extract_all("text", F.lit(full), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(plain), F.lit(0)))
+def _other() -> Column:
+    """Whether the text has white space or scripts beyond ASCII's; most texts are told by the first, short pattern."""
+    return F.col("text").rlike(r"[\x85\xa0\u0e00-\uffff]") & F.col("text").rlike(f"[{OTHER_SPACE}{DENSE}]")
 
 
 def _hashes() -> Column:
-    return F.transform(_found(), lambda x: F.xxhash64(x))
+    """A hash of each word."""
+    parted = F.regexp_replace("text", f"(?<=[{DENSE}])|(?=[{DENSE}])", " ")
+    words = F.when(_other(), F.split(F.btrim(parted, F.lit(BLANKS)), f"[{SPACE}]+", -1)).otherwise(F.split(F.btrim("text", F.lit(BLANKS)), f"[{ASCII_SPACE}]+", -1))
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def _pieces() -> Column:
+    """Each word with the white space before it, and last what there is at the end."""
+    ends = rf"(?<=[^{SPACE}])(?=[{SPACE}{DENSE}])|(?<=[{DENSE}])(?=[^{SPACE}])"
+    return F.when(_other(), F.split("text", ends, -1)).otherwise(F.split("text", f"(?<=[^{ASCII_SPACE}])(?=[{ASCII_SPACE}])", -1))
 
 
 def _let(value: Column, make: Callable[[Column], Column]) -> Column:
@@ -116,22 +125,23 @@ def repeated_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     docs: doc (the order), tie (tells rows at one place apart), text.
     """
     found = stage_out(spark, _stretches(docs, min_words), "stretches")
-    often = found.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k0"), F.max("k").alias("k1")).where("n > 1").select(F.col("f").alias("_f"), F.expr("k0 <> k1").alias("open"))
-    going = stage_out(spark, found.join(often, F.col("f") == F.col("_f")).select("doc", "tie", "f", "k", "a", "b", "open"), "going")
+    often = found.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("f").alias("_f"))
+    going = stage_out(spark, found.join(often, F.col("f") == F.col("_f"), "left_semi"), "going")
     place = F.struct("doc", "tie", "a")
-    first = stage_out(spark, going.groupBy("f", "k").agg(F.min(place).alias("earliest"), F.max(place).alias("latest"), F.first(F.expr("b - a")).alias("more"), F.first("open").alias("open")), "first")
+    first = stage_out(spark, going.groupBy("f", "k").agg(F.min(place).alias("earliest"), F.max(place).alias("latest"), F.first(F.expr("b - a")).alias("more")), "first")
     again = first.where("earliest < latest").select(F.col("f").alias("_f"), F.col("k").alias("_k"), "earliest")
     whole = going.join(again, (F.col("f") == F.col("_f")) & (F.col("k") == F.col("_k"))).where(place > F.col("earliest")).select("doc", "tie", "a", "b")
-    opened = first.where("open").select("earliest.doc", "earliest.tie", "earliest.a", (F.col("earliest.a") + F.col("more")).alias("b"))
-    opened = stage_out(spark, opened.groupBy("doc", "tie").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("at")), "opened")
+    several = first.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("f").alias("_f"))
+    opened = first.join(several, F.col("f") == F.col("_f"), "left_semi").select("earliest.doc", "earliest.tie", "earliest.a", (F.col("earliest.a") + F.col("more")).alias("b"), "f")
+    opened = stage_out(spark, opened.groupBy("doc", "tie").agg(F.collect_set(F.struct("a", "b", "f")).alias("at")), "opened")
     words = docs.join(_beside(opened, "at"), ["doc", "tie"])
-    places = F.flatten(F.transform("at", lambda x: F.sequence(x["a"], x["b"])))
-    windows = lambda h: F.transform(places, lambda i: F.struct(i.alias("i"), F.slice(h, i + 1, min_words).alias("w")))
-    keyed = F.transform(_let(_hashes(), windows), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["w"]).alias("key1"), F.xxhash64(F.lit(1), x["w"]).alias("key2")))
-    windows = stage_out(spark, words.select("doc", "tie", F.explode_outer(keyed).alias("x")).where("x is not null").select("doc", "tie", "x.i", "x.key1", "x.key2"), "windows")
+    places = F.flatten(F.transform("at", lambda x: F.transform(F.sequence(x["a"], x["b"]), lambda i: F.struct(i.alias("i"), x["f"].alias("f")))))
+    # equal windows have equal fingerprints, which are a second hash of some of their words
+    keyed = _let(_hashes(), lambda h: F.transform(places, lambda x: F.struct(x["i"].alias("i"), x["f"].alias("f"), F.xxhash64(F.slice(h, x["i"] + 1, min_words)).alias("k"))))
+    windows = stage_out(spark, words.select("doc", "tie", F.explode_outer(keyed).alias("x")).where("x is not null").select("doc", "tie", "x.i", "x.f", "x.k"), "windows")
     place = F.struct("doc", "tie", "i")
-    earliest = windows.groupBy("key1", "key2").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest < latest").select(F.col("key1").alias("_k1"), F.col("key2").alias("_k2"), "earliest")
-    later = windows.join(earliest, (F.col("key1") == F.col("_k1")) & (F.col("key2") == F.col("_k2"))).where(place > F.col("earliest"))
+    earliest = windows.groupBy("f", "k").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest < latest").select(F.col("f").alias("_f"), F.col("k").alias("_k"), "earliest")
+    later = windows.join(earliest, (F.col("f") == F.col("_f")) & (F.col("k") == F.col("_k"))).where(place > F.col("earliest"))
     ranges = whole.unionByName(later.select("doc", "tie", F.col("i").alias("a"), F.col("i").alias("b")))
     starts = ranges.groupBy("doc", "tie").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("p"))
     # windows that overlap or touch are one run
@@ -148,13 +158,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS)
     keyed = pack(docs.withColumn("text", F.col("text").cast("string")), "doc_id", "text").withColumns({"doc": doc, "tie": tie})
     gone = stage_out(spark, repeated_words(spark, keyed.select("doc", "tie", "text"), min_words), "gone")
     out = keyed.join(_beside(gone, "runs"), ["doc", "tie"], "left")
-    out = out.select("doc_id", "rest", "text", "runs", F.when(F.col("runs").isNotNull(), _found("[{}]*")).alias("pieces"))
-    # words between runs, then those after the last one, then white space at the end
+    out = out.select("doc_id", "rest", "text", "runs", F.when(F.col("runs").isNotNull(), _pieces()).alias("pieces"))
+    # words between runs, then those after the last one and white space at the end
     before = lambda i: F.when(i > 0, F.get("runs", F.greatest(i - 1, F.lit(0)))["b"]).otherwise(-1)
     between = F.flatten(F.transform("runs", lambda x, i: F.slice("pieces", before(i) + 2, x["a"] - before(i) - 1)))
     after = F.slice("pieces", F.element_at("runs", -1)["b"] + 2, F.size("pieces"))
-    end = F.substr("text", F.length(F.array_join("pieces", "")) + 1)
-    kept = F.concat(F.array_join(F.concat(between, after), ""), end)
+    kept = F.array_join(F.concat(between, after), "")
     cut = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"] + 1)
     found = out.select("doc_id", "rest", F.when(F.col("runs").isNull(), F.col("text")).otherwise(kept).alias("text"), F.coalesce(cut, F.lit(0)).cast("long").alias("n_removed"))
     return found.select(*unpack(docs, "doc_id", "text"), "n_removed")
