@@ -27,13 +27,13 @@ def okx_id(symbol: str) -> str:
     return f"{head}-{found}{tail}" if found else symbol
 
 
-def subscribe_text(feed: str, symbols: Sequence[str]) -> str:
-    """The subscription message of a feed, as JSON without blanks."""
+def subscribe_text(feed: str, symbols: Sequence[str], verb: str = "subscribe") -> str:
+    """The message that subscribes to a feed, or unsubscribes, as JSON without blanks."""
     # fixed values: the exchanges' protocols, here and below
     bodies = {
-        "binance": lambda: {"method": "SUBSCRIBE", "params": [f"{s.lower()}@trade" for s in symbols], "id": 1},
-        "bybit": lambda: {"op": "subscribe", "args": [f"publicTrade.{s}" for s in symbols]},
-        "okx": lambda: {"op": "subscribe", "args": [{"channel": "trades", "instId": okx_id(s)} for s in symbols]},
+        "binance": lambda: {"method": verb.upper(), "params": [f"{s.lower()}@trade" for s in symbols], "id": 1},
+        "bybit": lambda: {"op": verb, "args": [f"publicTrade.{s}" for s in symbols]},
+        "okx": lambda: {"op": verb, "args": [{"channel": "trades", "instId": okx_id(s)} for s in symbols]},
     }
     return json.dumps(bodies[feed](), separators=(",", ":"))
 

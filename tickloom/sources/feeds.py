@@ -13,7 +13,7 @@ from ..operators.parsers import PARSERS, Parser
 
 @dataclass(frozen=True)
 class Feed:
-    """A public trade feed. Landing its messages is a connector's concern; here they are files or a stream of text."""
+    """A public trade feed. sources.live lands its messages; here they are files or a stream of text."""
 
     name: str
     exchange: str
@@ -33,6 +33,9 @@ class Feed:
     def subscription(self, symbols: Sequence[str]) -> str:
         return subscribe_text(self.name, symbols)
 
+    def unsubscription(self, symbols: Sequence[str]) -> str:
+        return subscribe_text(self.name, symbols, "unsubscribe")
+
 
 # fixed values: the feeds' public endpoints
 FEEDS = {
