@@ -8,7 +8,7 @@ parts are differenced in tasks again until at most MAX_PARTS are left, and the d
 
 A group of a third of all rows stays whole (that is the contract of a group), but no task handles it
 whole: its bytes come from a pre-aggregated sum, and rows find their shard by a join that Spark can split.
-Places in a shard come from counts by shard and bucket of ids, with at most MAX_BUCKETS buckets a shard.
+Places in a shard come from counts by shard and bucket, dealt by hash of the row, with at most MAX_BUCKETS buckets a shard.
 
 Null texts have no bytes and group with empty ones; repeated rows each get a place of their own.
 """
@@ -141,7 +141,8 @@ def shard_by_bytes(spark: SparkSession, docs: DataFrame, shards: int = 16) -> Da
     of_group = held.join(F.broadcast(lookup), ["part", "entry"]).select("h", "shard")
     n = rows.count()
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, n // (shards * ROWS_A_BUCKET)))
-    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int")
+    # rows that repeat id and text are dealt too
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
     dealt = stage_out(spark, rows.join(of_group, "h").select("doc_id", "size", "text_crc32", "shard", bucket.alias("bucket")), "dealt")
     # at most shards * MAX_BUCKETS rows
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
