@@ -144,8 +144,9 @@ def test_language_matches_plain_loops():
         total = np.zeros(2)
         low = text.lower()
         for lo in range(0, len(low), langid.SPAN):
-            part = low[lo : lo + langid.SPAN].ljust(langid.SPAN)
-            ahead, back = states(model.ahead, part), states(model.back, part[::-1])[::-1]
+            w = langid.WARM
+            part = (b" " * w + low + b" " * (langid.SPAN + w))[lo : lo + langid.SPAN + 2 * w]
+            ahead, back = states(model.ahead, part)[w:], states(model.back, part[::-1])[::-1][w:]
             for k in range(min(langid.SPAN, len(low) - lo)):
                 z = ahead[k] @ model.V[:H] + back[k] @ model.V[H:] + model.b
                 total += np.exp(z) / np.exp(z).sum()
@@ -227,7 +228,9 @@ def test_every_byte_is_read():
     data, off = joined([b"a" * 130, b"", b"xyz"])
     text, length, doc = langid.stretches(data, off)
     assert length.tolist() == [64, 64, 2, 3] and doc.tolist() == [0, 0, 0, 2]
-    assert text[2, :3].tobytes() == b"aa "
+    w = langid.WARM
+    assert text.shape == (4, 64 + 2 * w) and text[0].tobytes() == b" " * w + b"a" * (64 + w)
+    assert text[2].tobytes() == b"a" * (w + 2) + b" " * (62 + w) and text[3].tobytes().strip() == b"xyz"
 
 
 @pytest.mark.parametrize("empty", [False, True])

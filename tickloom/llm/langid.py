@@ -1,7 +1,9 @@
 """Language identification: a bidirectional gated recurrent network over bytes.
 
-The network reads every byte of the text, in stretches of SPAN bytes, each from a zero state in both
-directions; it labels every position, and a document's probabilities are the mean over its positions.
+The network reads every byte of the text, in stretches of SPAN bytes, so that a text's length costs no memory and its
+stretches are read side by side; in both directions it reads WARM bytes of the text more before it labels, so
+that no position, nor a character of several bytes, is labelled from a zero state.  It labels every position once, and a
+document's probabilities are the mean over its positions.
 Training is by backpropagation through time in numpy, with the language as each position's label.
 
 A text that is null or has no letter is `und` with score 0.  Without labelled languages everything is
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, byte_view, chunks, held_out
 
 HIDDEN = 8
-SPAN = 64
+SPAN, WARM = 64, 8
 #: Stretches that are read side by side: the arrays of one step stay in a core's cache.
 LANES = 2048
 #: Bound of the labelled sample: rows shared out among languages, but FEW of each at least; bytes of a text, stretches of a language.
@@ -39,15 +41,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows of SPAN bytes, padded with blanks; true length of each; document of each)."""
+    """(rows of SPAN bytes and WARM more on each side, blanks beyond the document's ends; own bytes of each; document of each)."""
     per = -(-np.diff(off) // SPAN)
     doc = np.repeat(np.arange(len(per)), per)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
     begin = off[:-1][doc] + nth * SPAN
     length = np.minimum(off[1:][doc] - begin, SPAN)
-    padded = np.concatenate([LOWER[data], np.full(SPAN, 32, np.uint8)])
-    out = padded[begin[:, None] + np.arange(SPAN)]
-    out[np.arange(SPAN) >= length[:, None]] = 32
+    padded = np.concatenate([np.full(WARM, 32, np.uint8), LOWER[data], np.full(SPAN + WARM, 32, np.uint8)])
+    at = begin[:, None] + np.arange(-WARM, SPAN + WARM)
+    out = padded[at + WARM]
+    out[(at < off[:-1][doc][:, None]) | (at >= off[1:][doc][:, None])] = 32
     return out, length, doc
 
 
@@ -119,9 +122,9 @@ class LanguageModel:
     b: np.ndarray
 
     def position_probabilities(self, text: np.ndarray) -> np.ndarray:
-        """[position, lane, language] for rows of bytes."""
-        z = self.ahead.read(text, False) @ self.V[:HIDDEN]
-        z += self.back.read(text, True) @ self.V[HIDDEN:]
+        """[position, lane, language] for rows of bytes, of those positions that aren't read to warm up."""
+        z = self.ahead.read(text, False)[WARM:-WARM] @ self.V[:HIDDEN]
+        z += self.back.read(text, True)[WARM:-WARM] @ self.V[HIDDEN:]
         z += self.b
         z -= z.max(2, keepdims=True)
         np.exp(z, out=z)
@@ -160,22 +163,28 @@ def train(rows: list[tuple[bytes, str]], seed: int = 5) -> LanguageModel | None:
         if len(full):
             pools.append(text[rng.permutation(full)[:STRETCHES]])
         else:
-            pools.append(np.full((1, SPAN), 32, np.uint8))
+            pools.append(np.full((1, SPAN + 2 * WARM), 32, np.uint8))
+
+    def beside(grad: np.ndarray) -> np.ndarray:
+        """Nothing is labelled, and nothing learned directly, where the network warms up."""
+        return np.pad(grad, ((WARM, WARM), (0, 0), (0, 0)))
+
     parameters = [*ahead.parameters, *back.parameters, model.V, model.b]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
     for t in range(1, STEPS + 1):
         y = np.arange(BATCH) % len(languages)
         text = np.stack([pools[k][rng.integers(len(pools[k]))] for k in y])
         f, g = ahead.read(text, False), back.read(text, True)
-        z = f @ model.V[:HIDDEN] + g @ model.V[HIDDEN:] + model.b
+        f0, g0 = f[WARM:-WARM], g[WARM:-WARM]
+        z = f0 @ model.V[:HIDDEN] + g0 @ model.V[HIDDEN:] + model.b
         z -= z.max(2, keepdims=True)
         p = np.exp(z)
         p /= p.sum(2, keepdims=True)
         p[:, np.arange(BATCH), y] -= 1
         p /= BATCH * SPAN
-        grads = [*ahead.learn(text, f, p @ model.V[:HIDDEN].T, False), *back.learn(text, g, p @ model.V[HIDDEN:].T, True)]
+        grads = [*ahead.learn(text, f, beside(p @ model.V[:HIDDEN].T), False), *back.learn(text, g, beside(p @ model.V[HIDDEN:].T), True)]
         flat = p.reshape(-1, len(languages))
-        grads += [np.concatenate([f.reshape(-1, HIDDEN).T @ flat, g.reshape(-1, HIDDEN).T @ flat]), flat.sum(0)]
+        grads += [np.concatenate([f0.reshape(-1, HIDDEN).T @ flat, g0.reshape(-1, HIDDEN).T @ flat]), flat.sum(0)]
         size = np.sqrt(sum(float((x * x).sum()) for x in grads))
         rate = RATE * min(1.0, 2 * (1 - t / (STEPS + 1)))
         for x, gx, (m, v) in zip(parameters, grads, state, strict=True):
