@@ -254,6 +254,16 @@ def test_shards(spark, monkeypatch, most):
     assert sharding.shard_by_bytes(spark, frame(spark, rows).limit(0)).count() == 0
 
 
+def test_shards_of_repeated_rows_and_long_texts(spark):
+    rows = [(1, "same")] * 500 + [(2, "z" * 1_000_000), (3, "z" * 1_000_000), (4, None), (5, "")]
+    found = sharding.shard_by_bytes(spark, frame(spark, rows)).collect()
+    places = defaultdict(list)
+    for r in found:
+        places[r.shard].append(r.slot)
+    assert len(found) == 504 and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert {r["size"] for r in found} == {5, 1_000_001, 1} and len({r.shard for r in found if r.doc_id == 1}) == 1
+
+
 # WARC
 
 PAGES = [

@@ -228,3 +228,17 @@ def test_exact_dedup_against_a_history(spark):
     history = exactdedup.history_of(frame(spark, [(1, "old"), (3, "older")])).unionByName(exactdedup.history_of(frame(spark, [(2, "old")])))
     found = exactdedup.exact_dedup(spark, frame(spark, [(10, "old"), (11, "new"), (12, "new"), (13, "single")]), history)
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found.collect()} == {10: (2, 2, False), 11: (12, 2, False), 12: (12, 2, True), 13: (13, 1, True)}
+
+
+def test_very_long_texts(spark):
+    """Two texts of 200,000 words that differ in ten places, and one of a million bytes without a blank, twice."""
+    words = [f"w{i}" for i in range(200_000)]
+    other = list(words)
+    for k in range(10):
+        other[k * 19_000] = "x"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "y" * 1_000_000), (4, "y" * 1_000_000), (5, " ".join(words[:100_000]))]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(spark, frame(spark, rows), 4).collect()}
+    assert found == {1: (199_997, 1), 2: (199_997, 1), 3: (1, 3), 4: (1, 3), 5: (99_997, 5)}
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exactdedup.exact_dedup(spark, frame(spark, rows)).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (4, False), 4: (4, True), 5: (5, True)}
+    assert sorted(r.doc_id for r in setsketch.keep_representatives(spark, frame(spark, rows)).collect()) == [1, 3, 5]
