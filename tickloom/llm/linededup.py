@@ -8,8 +8,8 @@ by word, so that a run is found that begins or ends inside a line, or whose line
 Every run of MIN_WORDS words or more is the union of its windows of MIN_WORDS words, so extending matches
 both ways until they end is deleting the windows that match.
 
-1. Winnowing: a window selects the leftmost least of its words by a quantised hash: one word in RARE is of the first
-   kind, one in COMMON of the second, the others of the third.  The choice depends on the window's content
+1. Winnowing: a window selects the leftmost least of its pairs of words by a quantised hash: one pair in 32 is of the first
+   kind, one in 8 of the second, and so on (RATES), the others of the last; single words are too unequal in frequency.  The choice depends on the window's content
    alone, so equal windows select equal places, guaranteed.  The fingerprint is the hash of the GRAM words from there.
    Consecutive windows that select the same place are a stretch: about one place in fourteen stays.
 2. Fingerprints are counted; those of two stretches or more go on.
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import pack, stage_out, unpack
 
 MIN_WORDS = 50
-#: Of a fingerprint; rates of the words that windows select first.
-GRAM, RARE, COMMON = 10, 32, 8
+#: Words of a fingerprint; one in so many pairs of words is of the first, second and third kind that windows select (powers of two).
+GRAM, RATES = 10, (32, 8, 2)
 #: Tables of stretches and of words to delete are broadcast if they measure no more than this; beyond, texts are shuffled to them.
 BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
 # fixed values: white space of ASCII and of Unicode beyond it, and the blocks of scripts that are written without blanks
@@ -75,11 +75,12 @@ def _let(value: Column, make: Callable[[Column], Column]) -> Column:
 
 def _parted(h: Column, min_words: int) -> Column:
     """Structs (f, k, a, b) of a fingerprint, hash of all words, first and last window of each stretch of the hashed words h."""
-    gram = min(GRAM, max(1, min_words // 2))
+    gram = min(GRAM, max(2, min_words // 2))
     reach = min_words - gram
 
     def least(lo: Column, hi: Column, rate: int) -> Column:
-        between = F.filter(F.sequence(lo, hi), lambda i: F.get(h, i).bitwiseAND(F.lit(rate - 1)) == 0)
+        pair = lambda i: F.get(h, i).bitwiseXOR(F.shiftright(F.get(h, i + 1), 7))
+        between = F.filter(F.sequence(lo, hi), lambda i: pair(i).bitwiseAND(F.lit(rate - 1)) == 0)
         return F.concat(F.array(lo - 1), between, F.array(hi + 1))
 
     def selected(points: Column, last: Column) -> Column:
@@ -92,17 +93,15 @@ def _parted(h: Column, min_words: int) -> Column:
         missed = F.transform(pairs, lambda x: F.struct((x["p"] + 1).alias("a"), F.least(x["q"] - (reach + 1), last).alias("b"), x["q"].alias("q")))
         return F.struct(*(F.filter(x, lambda y: y["a"] <= y["b"]).alias(n) for x, n in ((chosen, "chosen"), (missed, "missed"))))
 
-    def common(rare: Column) -> Column:
-        again = F.transform(rare["missed"], lambda x: _let(least(x["a"], x["q"] - 1, COMMON), lambda points: selected(points, x["b"])))
-
-        def every(found: Column) -> Column:
-            alone = F.transform(F.flatten(F.transform(F.flatten(found["missed"]), lambda x: F.sequence(x["a"], x["b"]))), lambda i: F.struct(i.alias("at"), i.alias("a"), i.alias("b")))
-            return F.concat(rare["chosen"], F.flatten(found["chosen"]), alone)
-
-        return _let(again, every)
+    def cover(lo: Column, hi: Column, last: Column, rates: tuple[int, ...]) -> Column:
+        """at, a, b of the windows from lo to `last`, which select from lo to hi, by the kinds of word that are left."""
+        if not rates:
+            return F.transform(F.sequence(lo, last), lambda i: F.struct(i.alias("at"), i.alias("a"), i.alias("b")))
+        both = lambda x: F.concat(x["chosen"], F.flatten(F.transform(x["missed"], lambda y: cover(y["a"], y["q"] - 1, y["b"], rates[1:]))))
+        return _let(least(lo, hi, rates[0]), lambda points: _let(selected(points, last), both))
 
     part = lambda x, n: F.xxhash64(F.slice(h, x + 1, n))
-    stretches = _let(least(F.lit(0), F.size(h) - gram, RARE), lambda points: _let(selected(points, F.size(h) - min_words), common))
+    stretches = cover(F.lit(0), F.size(h) - gram, F.size(h) - min_words, RATES)
     return F.transform(stretches, lambda x: F.struct(part(x["at"], F.lit(gram)).alias("f"), part(x["a"], x["b"] - x["a"] + min_words).alias("k"), x["a"].alias("a"), x["b"].alias("b")))
 
 
