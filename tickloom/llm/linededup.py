@@ -18,7 +18,8 @@ both ways until they end is deleting the windows that match.
    windows, which are joined by their fingerprint and a hash of their words to the first position of each: later ones go.
 
 No pairs of later positions are made: a passage in a third of all documents costs a few rows an occurrence.  All
-steps are linear in a document's words.
+steps are linear in a document's words.  Texts are shuffled twice, to the places that are opened and to the runs that
+go, whatever their size: a broadcast would have to grow with the corpus.
 
 A word is a run of characters other than Unicode white space; in scripts without blanks (Chinese, Japanese,
 Thai, Lao, Khmer, Burmese) each character counts as one, so that runs of MIN_WORDS characters are found.
@@ -39,8 +40,6 @@ from .common import pack, stage_out, unpack
 MIN_WORDS = 50
 #: Words of a fingerprint; one in so many pairs of words is of the first, second and third kind that windows select (powers of two).
 GRAM, RATES = 10, (32, 8, 2)
-#: Tables of stretches and of words to delete are broadcast if they measure no more than this; beyond, texts are shuffled to them.
-BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
 # fixed values: white space of ASCII and of Unicode beyond it, and the blocks of scripts that are written without blanks
 ASCII_SPACE = r"\x09-\x0d\x1c-\x20"
 OTHER_SPACE = r"\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -112,12 +111,6 @@ def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.select("doc", "tie", F.explode_outer(s).alias("x")).where("x is not null").select("doc", "tie", "x.f", "x.k", "x.a", "x.b")
 
 
-def _beside(side: DataFrame, sized: str) -> DataFrame:
-    """side with a broadcast hint if its measured bytes allow."""
-    n, more = side.agg(F.count(F.lit(1)), F.sum(F.size(sized).cast("long"))).first()
-    return F.broadcast(side) if n * ROW_BYTES + 16 * (more or 0) <= BROADCAST_BYTES else side
-
-
 def repeated_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, tie, runs: structs (a, b), in order, of the first and last word (0-based) of each run to delete.
 
@@ -133,7 +126,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     several = first.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("f").alias("_f"))
     opened = first.join(several, F.col("f") == F.col("_f"), "left_semi").select("earliest.doc", "earliest.tie", "earliest.a", (F.col("earliest.a") + F.col("more")).alias("b"), "f")
     opened = stage_out(spark, opened.groupBy("doc", "tie").agg(F.collect_set(F.struct("a", "b", "f")).alias("at")), "opened")
-    words = docs.join(_beside(opened, "at"), ["doc", "tie"])
+    words = docs.join(opened.hint("shuffle_hash"), ["doc", "tie"])
     places = F.flatten(F.transform("at", lambda x: F.transform(F.sequence(x["a"], x["b"]), lambda i: F.struct(i.alias("i"), x["f"].alias("f")))))
     # equal windows have equal fingerprints, which are a second hash of some of their words
     keyed = _let(_hashes(), lambda h: F.transform(places, lambda x: F.struct(x["i"].alias("i"), x["f"].alias("f"), F.xxhash64(F.slice(h, x["i"] + 1, min_words)).alias("k"))))
@@ -156,7 +149,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS)
     doc, tie = F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), F.xxhash64("text")
     keyed = pack(docs.withColumn("text", F.col("text").cast("string")), "doc_id", "text").withColumns({"doc": doc, "tie": tie})
     gone = stage_out(spark, repeated_words(spark, keyed.select("doc", "tie", "text"), min_words), "gone")
-    out = keyed.join(_beside(gone, "runs"), ["doc", "tie"], "left")
+    out = keyed.join(gone.hint("shuffle_hash"), ["doc", "tie"], "left")
     out = out.select("doc_id", "rest", "text", "runs", F.when(F.col("runs").isNotNull(), _pieces()).alias("pieces"))
     # words between runs, then those after the last one and white space at the end
     before = lambda i: F.when(i > 0, F.get("runs", F.greatest(i - 1, F.lit(0)))["b"]).otherwise(-1)
