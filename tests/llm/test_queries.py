@@ -17,7 +17,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
@@ -25,5 +25,5 @@ def test_queries_match_duckdb(spark, name):
 
 
 def test_one_query_an_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None

@@ -73,7 +73,31 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_warc, op4_near_dedup, op5_sentencepiece, op6_line_dedup, op7_benchmark_decontamination, op8_sharding, op9_exact_dedup, op10_quality_classifier)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filteraudit import filter_interactions
+
+    return filter_interactions(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import similar_documents
+
+    return similar_documents(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_language_id, op3_warc, op4_near_dedup, op5_sentencepiece, op6_line_dedup, op7_benchmark_decontamination,
+        op8_sharding, op9_exact_dedup, op10_quality_classifier, op11_source_divergence, op12_filter_interactions, op13_simhash,
+    )
+}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -137,4 +161,71 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    # every group and language has every kept term, with a count of 0 or more
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        w AS (
+            SELECT doc_id, lang, source,
+                   unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM d
+        ),
+        kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+        vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        p AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n,
+                   1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1) // (sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) + v) AS p
+            FROM g JOIN kept USING (lang) JOIN vocabulary USING (lang) LEFT JOIN c USING (lang, source, term)
+        ),
+        q AS (
+            SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 1) // (sum(n) OVER (PARTITION BY lang) + v) AS q
+            FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN vocabulary USING (lang)
+        ),
+        pair AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ),
+        every AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
+    # the filters a to e are the bits of m; each order's steps are summed from the counts by mask
+    "op12_filter_interactions": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), m AS (
+            SELECT part, doc_id, CAST(len(w) < 100 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INT)
+                   + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+                   + 16 * CAST(doc_id > min(doc_id) OVER (PARTITION BY t) AS INT) AS m FROM d
+        ), l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        n AS (SELECT part, m, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        x(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        o AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM x a, x b, x c, x d, x e
+            WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+        ),
+        s AS (
+            SELECT part, filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS past
+            FROM (SELECT DISTINCT part FROM n), o, (SELECT unnest(range(1, 6)) AS step)
+        ),
+        y AS (
+            SELECT s.part, filter_order, step, s.bit,
+                   sum(CASE WHEN m & (p | s.bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & p = 0 AND m & s.bit > 0 THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN m & p > 0 AND m & s.bit > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = s.bit THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN m & p = 0 AND m & s.bit > 0 THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN m & p = 0 AND m & s.bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM (SELECT *, CAST(past AS INT) AS p FROM s) s JOIN n ON n.part = s.part GROUP BY ALL
+        )
+        SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM y
+    """,
 }
