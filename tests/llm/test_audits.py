@@ -63,7 +63,7 @@ def corpus(seed, n=60):
 
 @pytest.mark.parametrize(("head", "block", "piece", "pairs"), [(200_000, 1, 1 << 20, 1 << 20), (5, 40, 64, 3), (0, 10_000, 7, 1), (12, 100, 300, 50)])
 def test_divergence_matches_brute_force(spark, monkeypatch, head, block, piece, pairs):
-    for name, value in (("HEAD_TERMS", head), ("BLOCK_BYTES", block), ("PIECE", piece), ("PAIRS", pairs), ("HELD", 20), ("CODES", 5)):
+    for name, value in (("HEAD_TERMS", head), ("BLOCK_BYTES", block), ("PIECE", piece), ("PAIRS", pairs), ("HELD", 20), ("CODES", 5), ("WORDS_BYTES", 100 if head else 1 << 20), ("WAITING", 500)):
         monkeypatch.setattr(divergence, name, value)
     rows = corpus(head)
     found = divergence.source_divergence(spark, frame(spark, rows).repartition(3))

@@ -9,7 +9,8 @@ p = 1 + floor(SCALE * (count + 1) / (N + V)), N its occurrences of kept terms.
    whose other characters are delimiters, and recounts occurrences by group.  It holds the head: the kept terms of highest
    frequency, HEAD_TERMS of them or HEAD_BYTES at most, whatever the corpus.  What it leaves of a text, mostly rare
    words, is dealt by the word's CRC to blocks; each block's kept terms make an automaton of their own, which runs over the block's
-   words.  Blocks are cut by BLOCK_BYTES of distinct terms, so their number grows with the vocabulary and their size doesn't.
+   words.  Blocks are cut by BLOCK_BYTES of distinct terms, and a block's words by WORDS_BYTES, so that their number grows and
+   their size doesn't.  Groups and terms go by numbers from here on; terms are numbered in their order.
 3. Postings: of each kept term the groups that have it, with their shares.  Absent terms all have a group's share of count 0.
 4. Pairs of groups: were all terms absent from both, their sum is V times one value.  Terms of either group correct that, by the
    group's histogram of shares; terms of both correct it again, from the postings, summed by pair within tasks.  So work is in
@@ -41,6 +42,8 @@ MIN_DOCS, TOP, SCALE = 3, 200, 10**9
 HEAD_TERMS, HEAD_BYTES, LONGEST = 200_000, 2_000_000, 64
 #: Bytes of distinct terms of a block.
 BLOCK_BYTES = 4_000_000
+#: Bytes of words of a block that a task searches, and that a task holds before it hands them on.
+WORDS_BYTES, WAITING = 32 << 20, 32 << 20
 #: Bytes of text that are searched at once, terms and counts held before they are handed on, and pairs evaluated at once.
 PIECE, HELD, CODES, PAIRS = 1 << 20, 300_000, 1 << 20, 1 << 20
 #: Letters as they count, everything else a delimiter.
@@ -124,6 +127,7 @@ class Tally:
 
     def __init__(self, terms: int) -> None:
         self.terms, self.codes, self.counts, self.new, self.waiting = max(terms, 1), np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        self.known: dict[int, int] = {}
 
     def add(self, groups: np.ndarray, terms: np.ndarray) -> None:
         self.new.append(groups * self.terms + terms)
@@ -142,136 +146,154 @@ class Tally:
         np.add.at(self.counts, where, counts)
         self.new, self.waiting = [], 0
 
-    def out(self, groups: list[tuple[str, str]], terms: list[bytes]) -> dict[str, pa.Array]:
+    def out(self, ids: np.ndarray) -> dict[str, pa.Array]:
+        """Groups, terms by their ids, and counts; what was held is gone then."""
         self.fold()
-        g, t = np.divmod(self.codes, self.terms)
-        found = {"lang": pa.array([groups[i][0] for i in g.tolist()], pa.string()), "source": pa.array([groups[i][1] for i in g.tolist()], pa.string())}
-        found |= {"term": pa.array([terms[i] for i in t.tolist()], pa.binary()), "n": pa.array(self.counts)}
+        place = {"g": pa.array(self.groups(self.codes // self.terms)), "t": pa.array(ids[self.codes % self.terms]), "n": pa.array(self.counts)}
         self.codes = self.counts = np.zeros(0, np.int64)
-        return found
+        return place
 
+    def numbers(self, groups: np.ndarray) -> np.ndarray:
+        """Small numbers for groups' ids."""
+        found, where = np.unique(groups, return_inverse=True)
+        return np.array([self.known.setdefault(g, len(self.known)) for g in found.tolist()], np.int64)[where]
 
-_COUNTED = "lang string, source string, term binary, n long, block int, words binary"
+    def groups(self, numbers: np.ndarray) -> np.ndarray:
+        return np.array(list(self.known) or [0], np.int64)[numbers]
+
+
+_COUNTED = "g long, t long, n long, block int, words binary"
 
 
 def _counted(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """A batch of _COUNTED, columns that aren't given null."""
-    n = len(columns["lang"])
-    kinds = {"lang": pa.string(), "source": pa.string(), "term": pa.binary(), "n": pa.int64(), "block": pa.int32(), "words": pa.binary()}
-    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, k)) for c, k in kinds.items()], list(kinds))
+    kinds = {"g": pa.int64(), "t": pa.int64(), "n": pa.int64(), "block": pa.int32(), "words": pa.binary()}
+    return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(columns["g"]), k)) for c, k in kinds.items()], list(kinds))
 
 
-def _head_counts(spark: SparkSession, docs: DataFrame, head: list[bytes], blocks: int) -> DataFrame:
-    """Rows of counts of the head's terms, and rows of the words that it leaves, by block."""
-    shared = spark.sparkContext.broadcast(head)
+def _head_counts(spark: SparkSession, docs: DataFrame, ids: np.ndarray, head: list[bytes], blocks: int) -> DataFrame:
+    """Rows of counts of the head's terms (t of ids), and rows of the words that it leaves, by block. docs: g, text."""
+    shared = spark.sparkContext.broadcast((ids, head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        terms = shared.value
-        found, tally, groups = automaton(terms), Tally(len(terms)), {}
+        ids, terms = shared.value
+        found, tally = automaton(terms), Tally(len(terms))
         rest: dict[tuple[int, int], list[bytes]] = {}
         size = 0
 
         def spilt() -> Iterator[pa.RecordBatch]:
-            names = list(groups)
             if rest:
-                keys = list(rest)
-                columns = {"lang": pa.array([names[g][0] for g, _ in keys]), "source": pa.array([names[g][1] for g, _ in keys])}
-                yield _counted(columns | {"block": pa.array([b for _, b in keys], pa.int32()), "words": pa.array([b" ".join(rest[k]) for k in keys], pa.binary())})
+                columns = {"g": pa.array([g for g, _ in rest], pa.int64()), "block": pa.array([b for _, b in rest], pa.int32())}
+                yield _counted(columns | {"words": pa.array([b" ".join(x) for x in rest.values()], pa.binary())})
                 rest.clear()
 
         for batch in batches:
             texts = _texts(batch.column("text"))
-            own = np.array([groups.setdefault(x, len(groups)) for x in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)], np.int64)
+            own = batch.column("g").to_numpy()
+            numbered = tally.numbers(own)
             begins = np.cumsum([1, *(len(t) + 1 for t in texts[:-1])])
             for at, piece, ends, numbers in search(found, b" " + b" ".join(texts) + b" "):
                 # a match belongs to the row that the letter before its last delimiter is in
-                tally.add(own[np.searchsorted(begins, at + ends - 1, "right") - 1], numbers)
+                tally.add(numbered[np.searchsorted(begins, at + ends - 1, "right") - 1], numbers)
                 if blocks:
                     words, starts = left_over(piece, ends)
                     for g, w in zip(own[np.searchsorted(begins, at + starts, "right") - 1].tolist(), words, strict=True):
                         rest.setdefault((g, crc32(w) % blocks), []).append(w)
                     size += sum(map(len, words)) + 60 * len(words)
-                    if size > 64 << 20:
+                    if size > WAITING:
                         yield from spilt()
                         size = 0
             if tally.full():
-                yield _counted(tally.out(list(groups), terms))
+                yield _counted(tally.out(ids))
         yield from spilt()
-        yield _counted(tally.out(list(groups), terms))
+        yield _counted(tally.out(ids))
 
-    return docs.select("lang", "source", "text").mapInArrow(run, _COUNTED)
+    return docs.select("g", "text").mapInArrow(run, _COUNTED)
 
 
 def _block_counts(rest: DataFrame, tail: DataFrame, blocks: int) -> DataFrame:
-    """Counts of the tail's terms (block, term) in the words that were left (block, lang, source, words)."""
+    """Counts of the tail's terms (block, t, term) in the words that were left (block, g, words).
+
+    A block whose words are many is searched by several tasks, each with all the block's terms.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, terms, found, tally, groups = None, [], None, Tally(0), {}
+        block, ids, terms, found, tally = None, [], [], None, Tally(0)
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "term", "lang", "source", "words")), strict=True):
-                if row[0] != block:
+            for b, salt, t, term, g, words in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "t", "term", "g", "words")), strict=True):
+                if (b, salt) != block:
                     if found:
-                        yield _counted(tally.out(list(groups), terms))
-                    block, terms, found, groups = row[0], [], None, {}
-                if row[1] is not None:
-                    terms.append(row[1])
+                        yield _counted(tally.out(np.array(ids)))
+                    block, ids, terms, found = (b, salt), [], [], None
+                if term is not None:
+                    ids.append(t)
+                    terms.append(term)
                     continue
                 if terms and found is None:
                     found, tally = automaton(terms), Tally(len(terms))
-                g = groups.setdefault((row[2], row[3]), len(groups))
-                for _, _, ends, numbers in search(found, b" " + row[4] + b" "):
-                    tally.add(np.full(len(ends), g), numbers)
+                for _, _, ends, numbers in search(found, b" " + words + b" "):
+                    tally.add(tally.numbers(np.full(len(ends), g)), numbers)
                 if found and tally.full():
-                    yield _counted(tally.out(list(groups), terms))
+                    yield _counted(tally.out(np.array(ids)))
         if found:
-            yield _counted(tally.out(list(groups), terms))
+            yield _counted(tally.out(np.array(ids)))
 
+    size = rest.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
+    salts = max(1, -(-size // (blocks * WORDS_BYTES)))
     none = F.lit(None)
-    rows = tail.select("block", "term", none.cast("string").alias("lang"), none.cast("string").alias("source"), none.cast("binary").alias("words"))
-    rows = rows.unionByName(rest.select("block", none.cast("binary").alias("term"), "lang", "source", "words"))
+    terms = tail.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "t", "term", none.cast("long").alias("g"), none.cast("binary").alias("words"))
+    rows = terms.unionByName(rest.select("block", (F.monotonically_increasing_id() % salts).alias("salt"), none.cast("long").alias("t"), none.cast("binary").alias("term"), "g", "words"))
     # a block's terms come before its words
-    return rows.repartition(blocks, "block").sortWithinPartitions("block", F.col("term").isNull()).mapInArrow(run, _COUNTED)
+    dealt = rows.repartition(blocks * salts, "block", "salt").sortWithinPartitions("block", "salt", F.col("term").isNull())
+    return dealt.mapInArrow(run, _COUNTED)
+
 
+def _head_from(kept: DataFrame, others: int) -> tuple[int, int]:
+    """The least frequency of the head's terms, and the number of blocks for all others; from a histogram by quarter octaves.
 
-def _head_from(frequencies: DataFrame) -> tuple[int, int]:
-    """The least frequency of the head's terms, and the number of blocks for all others; from a histogram by quarter octaves."""
+    others: bytes of terms that aren't kept.
+    """
     level = F.floor(F.log2("n") * 4)
-    fits = (F.col("n") >= MIN_DOCS) & (F.octet_length("term") <= LONGEST)
     size = F.octet_length("term").cast("long")
-    bins = frequencies.groupBy(level.alias("level"), fits.alias("fits")).agg(F.count(F.lit(1)).alias("terms"), F.sum(size).alias("bytes"), F.min("n").alias("least")).collect()
+    bins = kept.groupBy(level.alias("level"), (size <= LONGEST).alias("fits")).agg(F.count(F.lit(1)).alias("terms"), F.sum(size).alias("bytes"), F.min("n").alias("least")).collect()
     terms = held = 0
     least = 1 << 62
     for x in sorted((x for x in bins if x.fits), key=lambda x: -x.level):
         if terms + x.terms > HEAD_TERMS or held + x.bytes > HEAD_BYTES:
             break
         terms, held, least = terms + x.terms, held + x.bytes, x.least
-    others = sum(x.bytes for x in bins) - held
-    needed = any(not x.fits and x.least >= MIN_DOCS for x in bins) or any(x.fits and x.least < least for x in bins)
-    return least, -(-others // BLOCK_BYTES) if needed else 0
+    left = sum(x.bytes for x in bins) - held
+    return least, -(-(left + others) // BLOCK_BYTES) if left else 0
 
 
-def occurrences(spark: SparkSession, docs: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """lang, source, term, n of every kept term that a group has. docs: lang, source, text."""
-    kept = frequencies.where(F.col("n") >= MIN_DOCS).select("lang", "term")
-    least, blocks = _head_from(frequencies)
+def occurrences(spark: SparkSession, docs: DataFrame, kept: DataFrame, others: int) -> DataFrame:
+    """g, t, n of every kept term in every group, and of terms that another language keeps. docs: g, text; kept: t, term, n."""
+    least, blocks = _head_from(kept, others)
     in_head = (F.col("n") >= least) & (F.octet_length("term") <= LONGEST)
     # at most HEAD_TERMS of HEAD_BYTES in all
-    head = [bytes(r.term) for r in frequencies.where(in_head).select(F.col("term").cast("binary")).distinct().collect()]
+    head = kept.where(in_head).select("t", F.col("term").cast("binary")).distinct().collect()
     with arrow_rows(spark, 500):
-        first = stage_out(spark, _head_counts(spark, docs, head, blocks), "head")
+        first = stage_out(spark, _head_counts(spark, docs, np.array([r[0] for r in head], np.int64), [bytes(r[1]) for r in head], blocks), "head")
     counts = first.where("block is null")
     if blocks:
-        tail = frequencies.where((F.col("n") >= MIN_DOCS) & ~in_head).select(F.col("term").cast("binary").alias("term")).distinct()
-        tail = tail.select((F.crc32("term") % blocks).cast("int").alias("block"), "term")
+        # a term that is in the head for one language is in no words that were left
+        tail = kept.where(~in_head).select("t", F.col("term").cast("binary").alias("term")).distinct()
+        tail = tail.select((F.crc32("term") % blocks).cast("int").alias("block"), "t", "term")
         with arrow_rows(spark, 500):
             counts = counts.unionByName(stage_out(spark, _block_counts(first.where("block is not null"), tail, blocks), "tail"))
-    counts = counts.groupBy("lang", F.col("term").cast("string").alias("term"), "source").agg(F.sum("n").alias("n"))
-    # a term that the automaton found in another language than those that keep it goes here
-    found = stage_out(spark, counts.join(kept, ["lang", "term"]), "occurrences")
-    drop_stage(spark, first)
-    return found
+    return counts.groupBy("g", "t").agg(F.sum("n").alias("n"))
+
+
+def _numbered(groups: DataFrame) -> tuple[Column, Column]:
+    """64-bit ids of languages and of groups; by the first seed that gives each its own."""
+    for seed in range(100):
+        lang, group = F.xxhash64(F.lit(seed), "lang"), F.xxhash64(F.lit(seed), "lang", "source")
+        met = groups.agg(F.countDistinct("lang"), F.countDistinct(lang), F.count(F.lit(1)), F.countDistinct(group)).first()
+        if met[0] == met[1] and met[2] == met[3]:
+            return lang, group
+    raise ValueError("no seed parts the groups")
 
 
 def _share(count: Column) -> Column:
@@ -284,21 +306,21 @@ def _far(p: Column, q: Column) -> Column:
 
 
 def _both(postings: DataFrame) -> DataFrame:
-    """lang, i, j, value: what terms of both groups i and j change in their distance, summed by pair in the tasks. postings: lang, at (structs i, p, z)."""
+    """l, i, j, value: what terms of both groups i and j change in their distance, summed by pair in the tasks. postings: l, at (structs i, p, z)."""
 
     def far(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return (p - q) * (p - q) // q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, (codes, sums) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes >> 32), pa.array(codes & 0xFFFFFFFF), pa.array(sums)], ["lang", "i", "j", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), lang)), pa.array(codes >> 32), pa.array(codes & 0xFFFFFFFF), pa.array(sums)], ["l", "i", "j", "value"])
             held.clear()
 
         for batch in batches:
-            langs = batch.column("lang").dictionary_encode()
+            langs = batch.column("l").dictionary_encode()
             lists = batch.column("at")
             off = lists.offsets.to_numpy()
             i, p, z = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("i", "p", "z"))
@@ -328,52 +350,65 @@ def _both(postings: DataFrame) -> DataFrame:
                         yield from out()
         yield from out()
 
-    return postings.mapInArrow(run, "lang string, i long, j long, value long")
+    return postings.mapInArrow(run, "l long, i long, j long, value long")
 
 
 def source_divergence(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank."""
     docs = _rows(docs)
+    groups = stage_out(spark, docs.select("lang", "source").distinct(), "groups")
+    lang_id, group_id = _numbered(groups)
     with arrow_rows(spark, 500):
         frequencies = stage_out(spark, document_frequencies(docs), "frequencies")
-    found = occurrences(spark, docs, frequencies)
+    kept = frequencies.where(F.col("n") >= MIN_DOCS)
+    others = frequencies.where(F.col("n") < MIN_DOCS).agg(F.sum(F.octet_length("term").cast("long"))).first()[0] or 0
+    # terms are numbered in their order, so that all that follows orders numbers
+    numbers = stage_out(spark, kept.select("term").distinct().orderBy("term").withColumn("t", F.monotonically_increasing_id()), "numbers")
+    kept = stage_out(spark, kept.join(numbers, "term").select(lang_id.alias("l"), "t", "term", "n"), "kept")
+    drop_stage(spark, frequencies)
+    found = occurrences(spark, docs.select(group_id.alias("g"), "text"), kept, others)
 
-    vocabulary = frequencies.where(F.col("n") >= MIN_DOCS).groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    groups = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows"))
-    groups = groups.join(found.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(vocabulary, "lang", "left")
-    groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "v")], F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long").alias("i"))
-    # z: the share of a term that isn't there
-    groups = stage_out(spark, groups.withColumn("z", F.when(F.col("v") > 0, _share(F.lit(0)))), "groups")
     n_groups = groups.count()
-    langs = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.first("v").alias("v"))
+    numbered = groups.select("lang", "source", lang_id.alias("l"), group_id.alias("g"))
+    found = found.join(small_or_shuffled(numbered.select("g", "l"), n_groups), "g")
+    # a term that the automaton found in another language than those that keep it goes here
+    found = stage_out(spark, found.join(kept.select("l", "t"), ["l", "t"], "left_semi"), "found")
+
+    vocabulary = kept.groupBy("l").agg(F.count(F.lit(1)).alias("v"))
+    groups = numbered.join(found.groupBy("g").agg(F.sum("n").alias("total")), "g", "left").join(vocabulary, "l", "left")
+    place = F.row_number().over(Window.partitionBy("l").orderBy("source")).cast("long")
+    groups = groups.select("l", "g", "lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "v")], place.alias("i"))
+    # z: the share of a term that isn't there
+    groups = stage_out(spark, groups.withColumn("z", F.when(F.col("v") > 0, _share(F.lit(0)))), "shares")
+    langs = groups.groupBy("l").agg(F.sum("total").alias("total"), F.first("v").alias("v"))
 
-    entries = found.join(small_or_shuffled(groups, n_groups), ["lang", "source"]).select("lang", "term", "source", "n", "i", "z", _share(F.col("n")).alias("p"))
-    postings = entries.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("i", "p", "z", "source")).alias("at"))
+    entries = found.join(small_or_shuffled(groups.select("g", "i", "z", "total", "v"), n_groups), "g").select("l", "t", "n", "i", "z", _share(F.col("n")).alias("p"))
+    postings = entries.groupBy("l", "t").agg(F.sum("n").alias("n"), F.collect_list(F.struct("i", "p", "z")).alias("at"))
     postings = stage_out(spark, postings, "postings")
     drop_stage(spark, found)
-    drop_stage(spark, frequencies)
 
     # terms: what a group has a larger share of than its language
-    shares = postings.join(small_or_shuffled(langs, n_groups), "lang").select("lang", "term", _share(F.col("n")).alias("q"), "at")
-    above = shares.select("lang", "term", "q", F.explode(F.filter("at", lambda x: x["p"] > F.col("q"))).alias("x"))
-    above = above.select("lang", F.col("x.source").alias("source"), F.col("term").alias("item"), _far(F.col("x.p"), F.col("q")).alias("value"))
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    terms = above.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP).withColumn("part", F.lit("term"))
+    shares = postings.join(small_or_shuffled(langs, n_groups), "l").select("l", "t", _share(F.col("n")).alias("q"), "at")
+    above = shares.select("l", "t", "q", F.explode(F.filter("at", lambda x: x["p"] > F.col("q"))).alias("x"))
+    above = above.select("l", F.col("x.i").alias("i"), "t", _far(F.col("x.p"), F.col("q")).alias("value"))
+    first = Window.partitionBy("l", "i").orderBy(F.desc("value"), "t")
+    terms = above.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= TOP).join(numbers.withColumnRenamed("term", "item"), "t")
+    terms = terms.join(small_or_shuffled(groups.select("l", "i", "lang", "source"), n_groups), ["l", "i"]).withColumn("part", F.lit("term"))
 
     # pairs: all terms absent from both, corrected by those of either group, then by those of both
-    other = groups.select("lang", F.col("source").alias("item"), F.col("i").alias("j"), F.col("z").alias("y"))
-    pairs = groups.join(small_or_shuffled(other, n_groups), "lang").where("i <> j")
-    base = pairs.select("lang", "i", "j", "source", "item", F.coalesce(F.col("v") * _far(F.col("z"), F.col("y")), F.lit(0)).alias("value"))
-    shared = postings.select("lang", F.explode("at").alias("x")).groupBy("lang", "x.i", "x.p", "x.z").agg(F.count(F.lit(1)).alias("k"))
-    shared = stage_out(spark, shared, "shares")
-    met = shared.join(small_or_shuffled(other, n_groups), "lang").where("i <> j")
+    other = groups.select("l", F.col("source").alias("item"), F.col("i").alias("j"), F.col("z").alias("y"))
+    pairs = groups.join(small_or_shuffled(other, n_groups), "l").where("i <> j")
+    base = pairs.select("l", "i", "j", "lang", "source", "item", F.coalesce(F.col("v") * _far(F.col("z"), F.col("y")), F.lit(0)).alias("value"))
+    same = postings.select("l", F.explode("at").alias("x")).groupBy("l", "x.i", "x.p", "x.z").agg(F.count(F.lit(1)).alias("k"))
+    met = stage_out(spark, same, "same").join(small_or_shuffled(other, n_groups), "l").where("i <> j")
     absent = _far(F.col("z"), F.col("y"))
-    forth = met.groupBy("lang", "i", "j").agg(F.sum((F.col("k") * (_far(F.col("p"), F.col("y")) - absent)).cast("decimal(38,0)")).alias("value"))
+    forth = met.groupBy("l", "i", "j").agg(F.sum((F.col("k") * (_far(F.col("p"), F.col("y")) - absent)).cast("decimal(38,0)")).alias("value"))
     absent = _far(F.col("y"), F.col("z"))
-    back = met.groupBy("lang", F.col("j").alias("i"), F.col("i").alias("j")).agg(F.sum((F.col("k") * (_far(F.col("y"), F.col("p")) - absent)).cast("decimal(38,0)")).alias("value"))
-    changes = forth.unionByName(back).unionByName(_both(postings.select("lang", "at")).withColumn("value", F.col("value").cast("decimal(38,0)")))
-    changes = changes.groupBy("lang", "i", "j").agg(F.sum("value").alias("change"))
-    pairs = base.join(changes, ["lang", "i", "j"], "left").withColumn("value", (F.col("value").cast("decimal(38,0)") + F.coalesce("change", F.lit(0))).cast("long"))
+    back = met.groupBy("l", F.col("j").alias("i"), F.col("i").alias("j")).agg(F.sum((F.col("k") * (_far(F.col("y"), F.col("p")) - absent)).cast("decimal(38,0)")).alias("value"))
+    changes = forth.unionByName(back).unionByName(_both(postings.select("l", "at")).withColumn("value", F.col("value").cast("decimal(38,0)")))
+    changes = changes.groupBy("l", "i", "j").agg(F.sum("value").alias("change"))
+    pairs = base.join(changes, ["l", "i", "j"], "left").withColumn("value", (F.col("value").cast("decimal(38,0)") + F.coalesce("change", F.lit(0))).cast("long"))
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumns({"rank": F.row_number().over(order), "part": F.lit("pair")})
     columns = ("lang", "source", "part", "item", "value", "rank")
     return pairs.select(*columns).unionByName(terms.select(*columns))
