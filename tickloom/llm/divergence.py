@@ -39,11 +39,11 @@ from .common import arrow_rows, byte_view, drop_stage, small_or_shuffled, stage_
 
 MIN_DOCS, TOP, SCALE = 3, 200, 10**9
 #: Of the automaton that every task has, and of terms that go into it.
-HEAD_TERMS, HEAD_BYTES, LONGEST = 200_000, 2_000_000, 64
+HEAD_TERMS, HEAD_BYTES, LONGEST = 100_000, 1_000_000, 64
 #: Bytes of distinct terms of a block.
 BLOCK_BYTES = 4_000_000
 #: Bytes of words of a block that a task searches, and that a task holds before it hands them on.
-WORDS_BYTES, WAITING = 32 << 20, 32 << 20
+WORDS_BYTES, WAITING = 8 << 20, 32 << 20
 #: Bytes of text that are searched at once, terms and counts held before they are handed on, and pairs evaluated at once.
 PIECE, HELD, CODES, PAIRS = 1 << 20, 300_000, 1 << 20, 1 << 20
 #: Letters as they count, everything else a delimiter.
@@ -173,13 +173,15 @@ def _counted(columns: dict[str, pa.Array]) -> pa.RecordBatch:
 
 def _head_counts(spark: SparkSession, docs: DataFrame, ids: np.ndarray, head: list[bytes], blocks: int) -> DataFrame:
     """Rows of counts of the head's terms (t of ids), and rows of the words that it leaves, by block. docs: g, text."""
-    shared = spark.sparkContext.broadcast((ids, head))
+    shared = spark.sparkContext.broadcast({"ids": ids, "terms": head})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        ids, terms = shared.value
-        found, tally = automaton(terms), Tally(len(terms))
+        held = shared.value
+        # a worker keeps a broadcast's value from task to task, and so the automaton
+        found = held["found"] if "found" in held else held.setdefault("found", automaton(held["terms"]))
+        ids, tally = held["ids"], Tally(len(held["terms"]))
         rest: dict[tuple[int, int], list[bytes]] = {}
         size = 0
 
