@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import candles, parsers
+from tickloom.operators.feeds import with_watermark
 from tickloom.sources import feeds
 from tickloom.streaming import candles as streaming
-from tickloom.streaming import dedup
+from tickloom.streaming import dedup, rollover
 
 
 def message(i, price, ts, symbol="btcusdt"):
@@ -111,41 +112,49 @@ def test_callbacks_by_partition(spark, tmp_path):
     assert n.value == 2
 
 
-def test_counted_dedup_forgets_as_its_ring_says(spark, tmp_path):
+@pytest.mark.parametrize(("most", "ring"), [(7, 3), (5, 1), (3, 9), (1, 1)])
+def test_counted_dedup_forgets_as_its_ring_says(most, ring):
+    rng = random.Random(most)
+    ids = [rng.randrange(14) for _ in range(400)]
+    # all new ids in order: what is remembered are those since the last multiple of most, and the last ring before it
+    order, want = [], []
+    for i in ids:
+        since = len(order) - len(order) % most
+        want.append(i not in order[max(0, since - ring) :])
+        if want[-1]:
+            order.append(i)
+    n, numbers, got = 0, {}, []
+    for lo in range(0, 400, 37):
+        new, n, given = dedup.numbered(ids[lo : lo + 37], n, numbers.get, most, ring)
+        numbers |= given
+        got += new
+    assert got == want and n == len(order)
+
+
+def test_counted_dedup_of_a_stream(spark, tmp_path):
     rng = random.Random(3)
     ids = [rng.randrange(12) for _ in range(120)]
-    memory, ring, at, count, new = set(), [0] * 3, 0, 0, []
-    for i in ids:
-        if i in memory:
-            continue
-        new.append(i)
-        memory.add(i)
-        at = (at + 1) % 3
-        ring[at] = i
-        count += 1
-        if count == 7:
-            memory, count = set(ring), 0
-    seen = dedup.Recent(7, 3)
-    assert [i for i in ids if seen.new(i)] == new
-    copy = dedup.Recent.of(7, 3, seen.state())
-    more = [rng.randrange(12) for _ in range(50)]
-    assert [copy.new(i) for i in more] == [seen.new(i) for i in more]
-    for bad in ((0, 1), (1, 0)):
-        with pytest.raises(ValueError):
-            dedup.Recent(*bad)
+    new, _, _ = dedup.numbered(ids, 0, lambda _: None, 7, 3)
     (tmp_path / "in").mkdir()
     for part, lo in enumerate((0, 60)):
         (tmp_path / "in" / f"{part}.txt").write_text("\n".join(message(i, 1.0, 1000 + lo + k) for k, i in enumerate(ids[lo : lo + 60])))
         trades = parsers.accepted(parsers.parse(feeds.landing(spark, f"file://{tmp_path}/in", 1), "binance_raw"))
-        query = dedup.dedup_counted(trades, 7, 3).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        with rollover.rocksdb(spark):
+            query = dedup.dedup_counted(trades, 7, 3).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-    found = [r.trade_id for r in spark.read.parquet(f"file://{tmp_path}/out").orderBy("event_ts").collect()]
-    assert found == new
+    found = [r.event_ts - 1000 for r in spark.read.parquet(f"file://{tmp_path}/out").orderBy("event_ts").collect()]
+    assert found == [k for k, is_new in enumerate(new) if is_new]
+    # what is forgotten isn't kept
+    state = spark.read.format("statestore").option("stateVarName", "numbers").load(f"file://{tmp_path}/checkpoint")
+    assert state.count() <= 7 + 3
+    for bad in ((0, 1), (1, 0)):
+        with pytest.raises(ValueError):
+            dedup.dedup_counted(trades, *bad)
 
 
 def test_event_time(spark):
     df = spark.createDataFrame([(1770003054104,)], "event_ts bigint")
-    assert streaming.with_event_time(df).select(F.unix_millis("event_time")).first()[0] == 1770003054104
+    assert with_watermark(df).select(F.unix_millis("event_time")).first()[0] == 1770003054104
 
 
 def test_main_consolidates_feeds(spark, tmp_path):

@@ -1,7 +1,7 @@
 """python -m tickloom --input=DIR --output=DIR --checkpoint=DIR [settings]: candles of landed messages, one folder a feed.
 
 DIR/<exchange> holds the messages that were landed for each exchange of the settings (see config.Settings); an
-exchange without a folder is passed over.  --emit=all upserts open candles too; --delay= is the watermark's.  --live=yes
+exchange without a folder is passed over.  --emit=all upserts open candles too; --delay= is each feed's watermark's.  --live=yes
 also lands the messages, from the exchanges' public feeds, and goes on until it is ended.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .config import Settings
 from .operators import candles, parsers
-from .operators.feeds import union_feeds
+from .operators.feeds import union_streams
 from .session import session
 from .sources.feeds import FEEDS, Feed, landing
 from .sources.live import Lander, Session, connect, shared_writer
@@ -34,8 +34,8 @@ def consolidated(spark: SparkSession, settings: Settings, path: str, delay: str)
     names = [x for x in settings.exchanges if x in FEEDS and _exists(spark, f"{path}/{x}")]
     if not names:
         raise ValueError(f"no folder of a known exchange in {path}")
-    trades = union_feeds(*(parsers.accepted(FEEDS[x].parse(landing(spark, f"{path}/{x}"))) for x in names))
-    return streaming.candles_stream(candles.only(trades, settings.instruments), settings.interval_ms, delay, dedup=True)
+    trades = union_streams({x: parsers.accepted(FEEDS[x].parse(landing(spark, f"{path}/{x}"))) for x in names}, delay)
+    return streaming.candles_stream(candles.only(trades, settings.instruments), settings.interval_ms, dedup=True)
 
 
 def landers(spark: SparkSession, settings: Settings, path: str, open_session: Callable[[Feed], Session] = connect) -> list[Lander]:

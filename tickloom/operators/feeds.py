@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,29 @@ def union_feeds(*feeds: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.select(*TRADE_COLUMNS) for f in feeds])
 
 
+def with_watermark(trades: DataFrame, delay: str = "10 seconds") -> DataFrame:
+    """Streaming trades with event_time, watermarked; those that have it stay as they are."""
+    if "event_time" in trades.columns:
+        return trades
+    return trades.withColumn("event_time", F.timestamp_millis("event_ts")).withWatermark("event_time", delay)
+
+
+def union_streams(feeds: Mapping[str, DataFrame], delay: str = "10 seconds", delays: Mapping[str, str] | None = None) -> DataFrame:
+    """All trades of streaming feeds, each watermarked by its own times: delay, or its own of delays.
+
+    Spark takes the least of the watermarks (its default policy), so a feed that lags holds candles open until it has caught
+    up, and none of its trades come late because another feed is ahead.  A feed that says nothing holds them too, and so does each feed
+    after a restart until it says something: leave out feeds that are switched off.
+    """
+    own = dict(delays or {})
+    if strange := own.keys() - feeds.keys():
+        raise ValueError(f"delays of no feed: {sorted(strange)}")
+    marked = [with_watermark(f.select(*TRADE_COLUMNS), own.get(name, delay)) for name, f in feeds.items()]
+    if marked[0].sparkSession.conf.get("spark.sql.streaming.multipleWatermarkPolicy") != "min":
+        raise ValueError("spark.sql.streaming.multipleWatermarkPolicy must be min, or a lagging feed's trades are lost")
+    return reduce(DataFrame.unionByName, marked)
+
+
 def dedup_trades(trades: DataFrame) -> DataFrame:
     """One trade for each exchange, instrument and id: the earliest by event time, then by receipt. Batch only.
 
@@ -35,6 +59,6 @@ def dedup_trades(trades: DataFrame) -> DataFrame:
 def dedup_stream(trades: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """As a stream comes: the first arrival of each key stays, for as long as the watermark keeps keys.
 
-    trades: with event_time (see streaming.with_event_time). State is bounded by time instead of a count.
+    trades: watermarked (with_watermark, union_streams), or not yet. State is bounded by time instead of a count.
     """
-    return trades.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(list(KEYS))
+    return with_watermark(trades, delay).dropDuplicatesWithinWatermark(list(KEYS))

@@ -117,5 +117,28 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT 'bybit', 'not_trade', count(*), count(*) FROM trades WHERE code = 1
         UNION ALL SELECT 'okx', CASE WHEN trade_id % 50 = 0 THEN 'bad_number' ELSE 'accepted' END, 2 * count(*), 2 * count(*) FROM trades WHERE code = 2 GROUP BY ALL""",
     "feed_candles_stream": _windowed(HOUR, "WHERE trade_id % 50 <> 0"),
-    "dedup_counted_stream": f"{TRADES} SELECT {SHOWN}, recv_ts FROM trades",
+    "feed_candles_lagging": _windowed(HOUR, "WHERE trade_id % 50 <> 0"),
+    "live_segments": f"{TRADES} SELECT {SHOWN} FROM trades WHERE code <> 1",
+    "candles_rollover": f"""SELECT *, CASE WHEN window_end_ms <= last - {2 * HOUR} THEN 'closed' ELSE 'flushed' END AS kind
+        FROM ({_windowed(HOUR)}), (SELECT max(epoch_us(ts) // 1000) AS last FROM events)""".replace("SELECT *, CASE", "SELECT * EXCLUDE (last), CASE"),
+    "candles_revised": f"""{TRADES}, w AS (SELECT *, event_ts - event_ts % {HOUR} + {HOUR} AS w FROM trades),
+        n AS (
+            SELECT instrument, w, count(*) AS trades, count(*) FILTER (trade_id % 10 = 0 AND w <= (SELECT max(event_ts) FROM trades WHERE trade_id % 10 > 0) - {2 * HOUR}) AS late
+            FROM w GROUP BY ALL
+        )
+        SELECT c.*, trades, late FROM ({_windowed(HOUR)}) c JOIN n ON n.instrument = c.instrument AND n.w = c.window_end_ms""",
+    # number: of an instrument's ids, all new in the first run; each step tells whether the next one of the second run, in reverse, is forgotten
+    "dedup_counted_stream": f"""{TRADES.replace("WITH", "WITH RECURSIVE")},
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY code, instrument ORDER BY recv_ts, event_ts, trade_id) AS number,
+                   row_number() OVER (PARTITION BY code, instrument ORDER BY recv_ts DESC, event_ts, trade_id) AS place FROM trades
+        ),
+        steps(code, instrument, place, n, again) AS (
+            SELECT code, instrument, CAST(0 AS BIGINT), count(*), FALSE FROM trades GROUP BY ALL
+            UNION ALL
+            SELECT code, instrument, p.place, n + CAST(p.number <= n // 500 * 500 - 4 AS BIGINT), p.number <= n // 500 * 500 - 4
+            FROM steps JOIN placed p USING (code, instrument) WHERE p.place = steps.place + 1
+        )
+        SELECT {SHOWN}, recv_ts FROM trades
+        UNION ALL SELECT {SHOWN}, 4000000000000 - recv_ts FROM placed JOIN (SELECT code, instrument, place FROM steps WHERE again) USING (code, instrument, place)""",
 }

@@ -12,8 +12,9 @@ from ..operators import candles, feeds, parsers
 from ..session import shared_path
 from ..sources import events, replay
 from ..sources.feeds import FEEDS, landing
+from ..sources.segments import segments
 from ..streaming import candles as streaming
-from ..streaming import dedup
+from ..streaming import dedup, rollover
 
 HOUR, DAY = 3_600_000, 86_400_000
 SHOWN = ("exchange", "instrument", "trade_id", "price", "qty", "event_ts", "trade_ts")
@@ -244,6 +245,10 @@ def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("feed", "outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("recv_ts") > 0).alias("stamped"))
 
 
+def _landed_feeds(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: parsers.accepted(FEEDS[name].parse(landing(spark, f"{path}/{name}/*", None))) for name in FEEDS}
+
+
 def feed_candles_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a stream of landed messages, in two runs: the second brings all messages again and, later than the watermark allows, new trades."""
     path = shared_path(spark, "landing")
@@ -251,8 +256,7 @@ def feed_candles_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw.write.text(f"{path}/{name}/first")
 
     def run() -> None:
-        parsed = [parsers.accepted(FEEDS[name].parse(landing(spark, f"{path}/{name}/*", None))) for name in FEEDS]
-        found = streaming.candles_stream(feeds.union_feeds(*parsed), HOUR, "2 hours", dedup=True)
+        found = streaming.candles_stream(feeds.union_streams(_landed_feeds(spark, path), "2 hours"), HOUR, dedup=True)
         streaming.start(found, streaming.parquet_sink(f"{path}/out"), f"{path}/checkpoint", "all").awaitTermination()
 
     run()
@@ -266,13 +270,76 @@ def feed_candles_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.written(spark, f"{path}/out")
 
 
+def feed_candles_lagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles of three feeds of which one is days behind: its second half comes when the others are through, and is in time by its own watermark."""
+    path = shared_path(spark, "lagging")
+    messages = _messages(spark, sf_dir)
+    half = events.trades(spark, sf_dir).agg((F.min("event_ts") + (F.max("event_ts") - F.min("event_ts")) / 2).cast("bigint")).first()[0]
+    okx = _of(spark, sf_dir, "OKX").where("trade_id % 50 <> 0")
+    parts = [okx.where(F.col("event_ts") < half), okx.where(F.col("event_ts") >= half)]
+    for name in ("binance", "bybit"):
+        messages[name].write.text(f"{path}/{name}/first")
+    for part, rows in zip(("first", "second"), parts, strict=True):
+        rows.select(_okx_message(F.lit('"arg":{"channel":"trades"},')).alias("value")).write.text(f"{path}/okx/{part}")
+        found = streaming.candles_stream(feeds.union_streams(_landed_feeds(spark, path), "2 hours"), HOUR, dedup=True)
+        streaming.start(found, streaming.parquet_sink(f"{path}/out"), f"{path}/checkpoint", "all").awaitTermination()
+    return streaming.written(spark, f"{path}/out")
+
+
+def live_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of landed segments, through a source that frees them, in two runs of one query: every message once."""
+    path = shared_path(spark, "segments")
+    for run, even in enumerate((0, 1)):
+        for name, exchange in (("binance", "BINANCE"), ("okx", "OKX")):
+            rows = _of(spark, sf_dir, exchange).where(F.col("trade_id") % 2 == even)
+            message = _binance(symbol=F.lower("instrument")) if name == "binance" else _okx_message(F.lit(""))
+            rows.select(message.alias("value")).write.text(f"{path}/in/{name}/{run}")
+        raw = segments(spark, f"{path}/in")
+        parsed = [parsers.accepted(FEEDS[name].parse(raw.where(F.col("feed") == name).select("value"))) for name in ("binance", "okx")]
+        query = feeds.union_feeds(*parsed).select(*SHOWN).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+        query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def _rolled(spark: SparkSession, path: str, trades: DataFrame) -> DataFrame:
+    """What a run of the stream of trades, whose state is in the path, has emitted there so far."""
+    with rollover.rocksdb(spark):
+        found = rollover.rolled(feeds.with_watermark(trades, "2 hours"), HOUR).writeStream.format("parquet").option("path", f"{path}/out")
+        query = found.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def candles_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles as the stream completed them, and those that are flushed when it stops, from its state."""
+    path = shared_path(spark, "rollover")
+    closed = rollover.candles_of(_rolled(spark, path, events.trades_stream(spark, sf_dir)), HOUR, "kind")
+    return closed.unionByName(rollover.candles_of(rollover.open_candles(spark, f"{path}/checkpoint"), HOUR).withColumn("kind", F.lit("flushed")))
+
+
+def candles_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles of a stream whose every tenth trade comes when all others have: completed ones revised by late trades, and open ones."""
+    path = shared_path(spark, "revised")
+    for run, share in enumerate((F.col("event_id") % 10 > 0, F.col("event_id") % 10 == 0)):
+        events.read(spark, sf_dir).where(share).write.parquet(f"{path}/in/{run}")
+        stream = spark.readStream.schema(events.EVENTS).parquet(f"{path}/in/*")
+        emitted = _rolled(spark, path, events.trades_of(stream))
+    still = rollover.open_candles(spark, f"{path}/checkpoint").withColumn("late", F.lit(0).cast("bigint"))
+    return rollover.candles_of(rollover.revised(emitted).unionByName(still), HOUR, "trades", "late")
+
+
 def dedup_counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades that come twice, one after the other, past a memory of 500 ids."""
+    """Trades twice, one after the other, and all again in a second run, from the last to the first, past a memory of 500 ids: what is forgotten by then comes again."""
     path = shared_path(spark, "counted")
-    rows = events.trades_stream(spark, sf_dir)
-    twice = rows.withColumn("trade_id", F.explode(F.array("trade_id", "trade_id")))
-    query = dedup.dedup_counted(twice, 500, 4).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for run in range(2):
+        events.read(spark, sf_dir).write.parquet(f"{path}/in/{run}")
+        rows = events.trades_of(spark.readStream.schema(events.EVENTS).parquet(f"{path}/in/*"))
+        received = F.col("recv_ts") if run == 0 else 4 * 10**12 - F.col("recv_ts")
+        twice = rows.withColumns({"trade_id": F.explode(F.array("trade_id", "trade_id")), "recv_ts": received})
+        with rollover.rocksdb(spark):
+            found = dedup.dedup_counted(twice, 500, 4).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+            query = found.trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
@@ -281,6 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         parse_binance_combined, parse_binance_raw, parse_bybit_snapshot, parse_bybit_provider, parse_okx, reject_malformed, symbol_codecs, subscribe_messages, reconnect_schedule, split_list, union_feeds,
         replay_objects, candles_alltime, candles_windowed_exchange, candles_consolidated, candles_universe, candles_multi_interval, running_candle, dedup_trades, run_counters, candles_stream_all, candles_stream_closed,
-        candles_stream_exchange, candle_callbacks, feed_candles, feed_rejects, feed_candles_stream, dedup_counted_stream,
+        candles_stream_exchange, candle_callbacks, feed_candles, feed_rejects, feed_candles_stream, feed_candles_lagging, live_segments,
+        candles_rollover, candles_revised, dedup_counted_stream,
     )
 }

@@ -23,8 +23,12 @@ def trades_of(events: DataFrame, *extra: str) -> DataFrame:
     return out.select(*TRADE_COLUMNS, *extra)
 
 
+def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+
+
 def trades(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    return trades_of(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"), *extra)
+    return trades_of(read(spark, sf_dir), *extra)
 
 
 def trades_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

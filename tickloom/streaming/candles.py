@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.codecs import exchange_code, exchange_name, instrument_id
 from ..operators.candles import fold, order_key, usable, volumes
-from ..operators.feeds import dedup_stream
+from ..operators.feeds import dedup_stream, with_watermark
 from ..schemas import CANDLE, CANDLE_COLUMNS
 
 MODES = {"closed": "append", "all": "update"}
@@ -24,14 +24,13 @@ KEY = "candle_key"
 STORED = "per string, batch bigint, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CANDLE)
 
 
-def with_event_time(trades: DataFrame) -> DataFrame:
-    return trades.withColumn("event_time", F.timestamp_millis("event_ts"))
-
-
 def candles_stream(trades: DataFrame, interval_ms: int = 5000, delay: str = "10 seconds", per_exchange: bool = False, dedup: bool = False) -> DataFrame:
-    """Windowed candles of streaming trades; the same values as operators.candles.windowed gives in batch."""
-    rows = with_event_time(trades.where(usable()))
-    rows = dedup_stream(rows, delay) if dedup else rows.withWatermark("event_time", delay)
+    """Windowed candles of streaming trades; the same values as operators.candles.windowed gives in batch.
+
+    Trades of several feeds come from operators.feeds.union_streams, which watermarks each feed by itself.
+    """
+    rows = trades.where(usable())
+    rows = dedup_stream(rows, delay) if dedup else with_watermark(rows, delay)
     keys = [F.window("event_time", f"{interval_ms} milliseconds").alias("w"), F.col("instrument"), *([F.col("code")] if per_exchange else [])]
     rows = rows.withColumns({"ord": order_key(), "code": exchange_code(F.col("exchange")), **volumes()})
     folded = rows.groupBy(*keys).agg(*fold(), *([] if per_exchange else [F.min_by("code", "ord").alias("code")]))
