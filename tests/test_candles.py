@@ -88,7 +88,7 @@ def test_candles_match_the_fold(spark, rows, rng):
         assert x.low <= min(x.open, x.close) <= max(x.open, x.close) <= x.high
         own = model([r for r in rows if r[5] - r[5] % 5000 == x.window_start_ms])
         assert (x.open, x.high, x.low, x.close) == (own["open"], own["high"], own["low"], own["close"])
-    running = candles.running(df, 5000, 7000).collect()
+    running = candles.running(df, 5000, 7).collect()
     assert len(running) == len(rows)
     codes = {"BINANCE": 0, "BYBIT": 1, "OKX": 2}
     key = lambda x, i, t: (t, i, codes.get(x, -1))
@@ -141,7 +141,7 @@ def test_volumes_of_any_size(spark, qty, exact):
     quote = float(sum(Decimal(str(qty)) * Decimal("0.25") for _ in rows)) if exact else 7 * qty * 0.25
     (c,) = candles.all_time(df).collect()
     coarse = candles.multi_interval(df, [5000, 10_000]).where("interval_ms = 10000").collect()[0]
-    last = max(candles.running(df, 5000, 3000).collect(), key=lambda r: r.event_ts)
+    last = max(candles.running(df, 5000, 3).collect(), key=lambda r: r.event_ts)
     for found in (c, coarse, last):
         assert (found.base_volume, found.quote_volume) == ((total, quote) if exact else (pytest.approx(total), pytest.approx(quote)))
 
@@ -152,3 +152,26 @@ def test_times_that_are_none_are_passed_over(spark):
         assert [r.open for r in found.collect()] == [2.0]
     assert candles.counters(frame(spark, rows), 10).first() == (2, 1)
     assert candles.counters(frame(spark, []), 10).first() == (0, 0)
+
+
+def test_chunks_are_even_whatever_the_times(spark, tmp_path):
+    # nine of ten trades of one instrument in one second
+    rows = spark.range(20_000).selectExpr(
+        "'OKX' as exchange", "if(id % 50 = 0, 'ETHUSDT', 'BTCUSDT') as instrument", "id as trade_id", "cast(1 + id % 7 as double) as price", "1.0D as qty",
+        "if(id % 10 > 0, 5000000 + id % 1000, id * 1000) as event_ts", "0L as trade_ts", "0L as recv_ts",
+    )
+    cut = candles.chunked(rows, 1000, f"file://{tmp_path}/chunks")
+    sizes = [r["count"] for r in cut.groupBy("chunk").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2000
+    within = cut.groupBy("instrument", "chunk").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).orderBy("instrument", "chunk").collect()
+    assert all(a.hi < b.lo for a, b in zip(within, within[1:], strict=False) if a.instrument == b.instrument)
+    last = candles.running(rows, 5000, 1000).groupBy("instrument").agg(F.max("base_volume").alias("v")).collect()
+    assert {r.instrument: r.v for r in last} == {"BTCUSDT": 19_600.0, "ETHUSDT": 400.0}
+
+
+def test_tiny_quantities_count(spark):
+    rows = [("OKX", "BTCUSDT", i, 3e-11, 1e-13, 1000 * i) for i in range(4)]
+    (c,) = candles.all_time(frame(spark, rows)).collect()
+    assert c.base_volume == pytest.approx(4e-13) and c.quote_volume == pytest.approx(12e-24)
+    (mixed,) = candles.all_time(frame(spark, [*rows, ("OKX", "BTCUSDT", 9, 1.0, 1e-13, 9000)])).collect()
+    assert mixed.quote_volume == pytest.approx(1e-13 + 12e-24)

@@ -22,9 +22,9 @@ def stream(spark, path):
     return spark.readStream.schema(TRADE).parquet(path)
 
 
-def run(spark, tmp_path, per_exchange=False):
+def run(spark, tmp_path, per_exchange=False, intervals=(5000,)):
     with rollover.rocksdb(spark):
-        found = rollover.rolled(with_watermark(stream(spark, f"file://{tmp_path}/in"), "2 seconds"), 5000, per_exchange)
+        found = rollover.rolled(with_watermark(stream(spark, f"file://{tmp_path}/in"), "2 seconds"), intervals, per_exchange)
         query = found.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"file://{tmp_path}/out"), rollover.open_candles(spark, f"file://{tmp_path}/checkpoint")
@@ -48,7 +48,7 @@ def test_completes_revises_and_flushes(spark, tmp_path):
     revised = rollover.revised(emitted)
     assert {(r.instrument, r.window_start_ms): r.late for r in revised.collect()} == {("BTCUSDT", 0): 2, ("BTCUSDT", 5000): 0, ("ETHUSDT", 0): 1}
     batch = candles.windowed(spark.read.parquet(f"file://{tmp_path}/in"), 5000)
-    assert rows_of(rollover.candles_of(revised.drop("late").unionByName(still), 5000)) == rows_of(batch)
+    assert rows_of(rollover.candles_of(rollover.revised(emitted.unionByName(still)))) == rows_of(batch)
 
 
 @pytest.mark.parametrize("per_exchange", [False, True])
@@ -59,7 +59,7 @@ def test_equals_batch_whatever_the_order(spark, tmp_path, per_exchange):
     for lo in range(0, 303, 101):
         land(spark, f"file://{tmp_path}/in", trades[lo : lo + 101])
         emitted, still = run(spark, tmp_path, per_exchange)
-    found = rollover.candles_of(rollover.revised(emitted).drop("late").unionByName(still), 5000)
+    found = rollover.candles_of(rollover.revised(emitted.unionByName(still)))
     batch = candles.windowed(spark.read.parquet(f"file://{tmp_path}/in"), 5000, per_exchange)
     key = lambda r: (r[1], r[2] if per_exchange else "", r[4])
     got, want = sorted(map(tuple, found.collect()), key=key), sorted(map(tuple, batch.collect()), key=key)
@@ -68,6 +68,21 @@ def test_equals_batch_whatever_the_order(spark, tmp_path, per_exchange):
     assert emitted.groupBy("per", "instrument", "window_start_ms").agg(F.count_if(F.col("kind") == "closed").alias("n")).where("n > 1").count() == 0
 
 
+def test_several_intervals_of_one_stream(spark, tmp_path):
+    rng = random.Random(4)
+    # the last trades are late for their short windows and in time for the long one
+    trades = [trade(i, rng.randrange(95_000), float(rng.randrange(1, 99))) for i in range(120)] + [trade(200, 95_000)], [trade(300 + i, 91_000 + i, 50.0) for i in range(3)]
+    for part in trades:
+        land(spark, f"file://{tmp_path}/in", part)
+        emitted, still = run(spark, tmp_path, intervals=(20_000, 2000))
+    found = rollover.revised(emitted.unionByName(still))
+    batch = candles.multi_interval(spark.read.parquet(f"file://{tmp_path}/in"), [2000, 20_000])
+    assert rows_of(rollover.candles_of(found)) == rows_of(batch)
+    assert {r.interval_ms: r.n for r in found.groupBy("interval_ms").agg(F.sum("late").alias("n")).collect()} == {2000: 3, 20_000: 0}
+    with pytest.raises(ValueError):
+        rollover.rolled(with_watermark(stream(spark, f"file://{tmp_path}/in"), "2 seconds"), (2000, 5000))
+
+
 def test_merging_is_exact_and_in_any_order():
     fold = lambda ts, price, qty: (price, str(ts), price, price, price, str(ts), ts % 3, qty, price * qty, f"{qty:.12f}", f"{price * qty:.12f}", 1)
     parts = [fold(10 + i, 1.0 + i % 7, 0.1) for i in range(20)]

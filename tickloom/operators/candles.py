@@ -6,8 +6,8 @@ that min_by and max_by keep fixed-width state and Spark aggregates by hash, befo
 instrument with most of the trades costs each task one row.
 
 Volumes are summed as decimals, which makes them the same in any partitioning.  Prices keep 10 decimals in them and
-quantities 12; where one is too large for its decimal, or a sum for its own, that candle's volume is the sum of
-doubles.  exact=False sums doubles only.
+quantities 12; where one is too large for its decimal or has more digits than that, or a sum is too large for its own, that
+candle's volume is the sum of doubles.  exact=False sums doubles only.
 
 Event times of more than 15 digits (in ms: after the year 30000) aren't times; such trades are passed over, as
 those without price, quantity or time are.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.codecs import exchange_code, exchange_name, instrument_id
 from ..functions.numbers import notional, window_start
 from ..schemas import CANDLE_COLUMNS
+from ..session import shared_path
 
 #: Of prices and quantities in exact sums; their product is a decimal(38,12).
 PRICE, QTY = "decimal(20,10)", "decimal(27,12)"
@@ -44,11 +45,11 @@ def usable() -> Column:
 
 
 def volumes(exact: bool = True) -> dict[str, Column]:
-    """base and quote of a trade as doubles and, if exact, as decimals, null where they don't fit."""
+    """base and quote of a trade as doubles and, if exact, as decimals, null where they don't fit or would be rounded."""
     found = {"base": F.col("qty"), "quote": notional(F.col("price"), F.col("qty"))}
     if exact:
-        base = F.col("qty").try_cast(QTY)
-        found |= {"exact_base": base, "exact_quote": F.try_multiply(F.col("price").try_cast(PRICE), base)}
+        price, qty = (F.when(F.col(c).try_cast(kind).cast("double") == F.col(c), F.col(c).try_cast(kind)) for c, kind in (("price", PRICE), ("qty", QTY)))
+        found |= {"exact_base": qty, "exact_quote": F.try_multiply(price, qty)}
     return found
 
 
@@ -126,15 +127,31 @@ def multi_interval(trades: DataFrame, intervals_ms: Sequence[int], exact: bool =
     return _shaped(folded.withColumn("window_end_ms", F.col("window_start_ms") + F.col("interval")), F.col("interval"))
 
 
-def running(trades: DataFrame, interval_ms: int = 5000, chunk_ms: int = 3_600_000, exact: bool = True) -> DataFrame:
+#: Trades of a chunk of running().
+CHUNK_ROWS = 200_000
+
+
+def chunked(trades: DataFrame, chunk_rows: int, path: str) -> DataFrame:
+    """Trades with their order key and `chunk`: ranges of (instrument, order key) of about so many rows, whatever their times, in order.
+
+    They are written to path, so that a chunk's number stays the same whenever it is read.
+    """
+    rows = trades.where(usable()).withColumn("ord", order_key())
+    n = max(1, -(-rows.count() // chunk_rows))
+    rows.repartitionByRange(n, "instrument", "ord").withColumn("chunk", F.spark_partition_id()).write.parquet(path)
+    return trades.sparkSession.read.parquet(path)
+
+
+def running(trades: DataFrame, interval_ms: int = 5000, chunk_rows: int = CHUNK_ROWS, exact: bool = True, path: str | None = None) -> DataFrame:
     """The all-time candle as it stands after each trade: trade_id, exchange and event_ts of the trade, then the candle's values.
 
-    One window over an instrument's whole history would be one task.  Histories are cut into chunks of event
-    time: values run within a chunk, and each chunk starts from a fold of the chunks before it.
+    One window over an instrument's whole history would be one task.  Histories are cut into chunks of counted rows,
+    so that an instrument with most of its trades in one second costs no task more than another: values run within a chunk, and each
+    chunk starts from a prefix of the folds of those before it.  path: where the chunks are written; a folder of their own by default.
     """
-    chunk = (F.col("event_ts") - F.col("event_ts") % F.lit(chunk_ms)).alias("chunk")
     amounts = volumes(exact)
-    rows = trades.where(usable()).select("instrument", "trade_id", "exchange", "event_ts", "price", order_key().alias("ord"), window_start(F.col("event_ts"), interval_ms).alias("bucket"), exchange_code(F.col("exchange")).alias("code"), *[c.alias(k) for k, c in amounts.items()], chunk)
+    cut = chunked(trades, chunk_rows, path or shared_path(trades.sparkSession, "running"))
+    rows = cut.select("instrument", "chunk", "trade_id", "exchange", "event_ts", "price", "ord", window_start(F.col("event_ts"), interval_ms).alias("bucket"), exchange_code(F.col("exchange")).alias("code"), *[c.alias(k) for k, c in amounts.items()])
     first = F.struct("price", "code", "bucket")
     folded = rows.groupBy("instrument", "chunk").agg(
         F.min_by("price", "ord").alias("open"), F.min_by("code", "ord").alias("code"), F.min_by("bucket", "ord").alias("bucket"), F.max("price").alias("high"), F.min("price").alias("low"),

@@ -119,8 +119,21 @@ ORACLE_SQL: dict[str, str] = {
     "feed_candles_stream": _windowed(HOUR, "WHERE trade_id % 50 <> 0"),
     "feed_candles_lagging": _windowed(HOUR, "WHERE trade_id % 50 <> 0"),
     "live_segments": f"{TRADES} SELECT {SHOWN} FROM trades WHERE code <> 1",
-    "candles_rollover": f"""SELECT *, CASE WHEN window_end_ms <= last - {2 * HOUR} THEN 'closed' ELSE 'flushed' END AS kind
+    "candles_rollover": f"""SELECT *, CASE WHEN window_end_ms <= last - {2 * HOUR} THEN 'closed' ELSE 'open' END AS kind
         FROM ({_windowed(HOUR)}), (SELECT max(epoch_us(ts) // 1000) AS last FROM events)""".replace("SELECT *, CASE", "SELECT * EXCLUDE (last), CASE"),
+    "candles_multi_stream": " UNION ALL ".join(f"SELECT * FROM ({_windowed(i)})" for i in (HOUR, 4 * HOUR, DAY)),
+    "stream_snapshot": _windowed(DAY, having=f"HAVING event_ts - event_ts % {DAY} + {DAY} > (SELECT max(event_ts) FROM trades) - {2 * HOUR}"),
+    "stream_counters": f"""{TRADES},
+        n AS (
+            SELECT count(*) FILTER (code = 0 AND trade_id % 50 = 0) AS malformed, count(*) FILTER (code = 2 AND trade_id % 50 = 0) AS bad_number,
+                   count(*) FILTER (code = 1) AS not_trade, count(*) FILTER (trade_id % 50 <> 0) AS trades FROM trades
+        )
+        SELECT outcome, CAST(n AS BIGINT) AS n FROM (
+            SELECT 'malformed' AS outcome, 2 * malformed AS n FROM n UNION ALL SELECT 'bad_number', 2 * bad_number FROM n
+            UNION ALL SELECT 'not_trade', not_trade FROM n UNION ALL SELECT 'trades', 2 * trades FROM n
+            UNION ALL SELECT 'rows', 2 * (malformed + bad_number + trades) + not_trade FROM n
+            UNION ALL SELECT 'missing_field', 0 UNION ALL SELECT 'bad_time', 0
+        )""",
     "candles_revised": f"""{TRADES}, w AS (SELECT *, event_ts - event_ts % {HOUR} + {HOUR} AS w FROM trades),
         n AS (
             SELECT instrument, w, count(*) AS trades, count(*) FILTER (trade_id % 10 = 0 AND w <= (SELECT max(event_ts) FROM trades WHERE trade_id % 10 > 0) - {2 * HOUR}) AS late

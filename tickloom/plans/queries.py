@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from ..sources import events, replay
 from ..sources.feeds import FEEDS, landing
 from ..sources.segments import segments
 from ..streaming import candles as streaming
-from ..streaming import dedup, rollover
+from ..streaming import dedup, rollover, sinks
 
 HOUR, DAY = 3_600_000, 86_400_000
 SHOWN = ("exchange", "instrument", "trade_id", "price", "qty", "event_ts", "trade_ts")
@@ -170,7 +170,7 @@ def candles_multi_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_candle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candles.running(events.trades(spark, sf_dir), HOUR, DAY)
+    return candles.running(events.trades(spark, sf_dir), HOUR)
 
 
 def dedup_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,19 +206,14 @@ def candles_stream_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candle_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed candles pushed to a callback on the executors, which counts them."""
+    """Completed candles pushed to an inbox, each delivered once, and counted there."""
     path = shared_path(spark, "callbacks")
-    sc = spark.sparkContext
-    n, starts = sc.accumulator(0), sc.accumulator(0)
-
-    def count(rows: Iterator[dict]) -> None:
-        for c in rows:
-            n.add(1)
-            starts.add(c["window_start_ms"] // HOUR)
-
+    spark.dataSource.register(sinks.Push)
     found = streaming.candles_stream(events.trades_stream(spark, sf_dir), HOUR, "2 hours")
-    streaming.start(found, streaming.partition_sink(count), f"{path}/checkpoint").awaitTermination()
-    return spark.createDataFrame([(n.value, starts.value)], "candles bigint, hours bigint")
+    query = found.writeStream.format("push").option("path", f"{path}/inbox").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    query.start().awaitTermination()
+    got = sinks.delivered(spark, f"{path}/inbox", "instrument string, window_start_ms bigint")
+    return got.agg(F.count(F.lit(1)).alias("candles"), F.coalesce(F.sum(F.expr(f"window_start_ms div {HOUR}")), F.lit(0)).alias("hours"))
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -270,6 +265,23 @@ def feed_candles_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.written(spark, f"{path}/out")
 
 
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many messages of a stream were parsed and rejected, by reason, as a listener is told."""
+    path = shared_path(spark, "counters")
+    for name, raw in _messages(spark, sf_dir).items():
+        raw.write.text(f"{path}/{name}/first")
+    parsed = [FEEDS[name].parse(landing(spark, f"{path}/{name}/*", None)).select("exchange", "reject") for name in FEEDS]
+    counters = sinks.Counters()
+    spark.streams.addListener(counters)
+    try:
+        every = sinks.observed(parsed[0].unionByName(parsed[1]).unionByName(parsed[2]))
+        every.writeStream.format("noop").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        counters.wait()
+    finally:
+        spark.streams.removeListener(counters)
+    return spark.createDataFrame(sorted(counters.totals.items()), "outcome string, n bigint")
+
+
 def feed_candles_lagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candles of three feeds of which one is days behind: its second half comes when the others are through, and is in time by its own watermark."""
     path = shared_path(spark, "lagging")
@@ -301,10 +313,10 @@ def live_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out")
 
 
-def _rolled(spark: SparkSession, path: str, trades: DataFrame) -> DataFrame:
+def _rolled(spark: SparkSession, path: str, trades: DataFrame, *intervals: int) -> DataFrame:
     """What a run of the stream of trades, whose state is in the path, has emitted there so far."""
     with rollover.rocksdb(spark):
-        found = rollover.rolled(feeds.with_watermark(trades, "2 hours"), HOUR).writeStream.format("parquet").option("path", f"{path}/out")
+        found = rollover.rolled(feeds.with_watermark(trades, "2 hours"), intervals).writeStream.format("parquet").option("path", f"{path}/out")
         query = found.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{path}/out")
@@ -313,8 +325,22 @@ def _rolled(spark: SparkSession, path: str, trades: DataFrame) -> DataFrame:
 def candles_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candles as the stream completed them, and those that are flushed when it stops, from its state."""
     path = shared_path(spark, "rollover")
-    closed = rollover.candles_of(_rolled(spark, path, events.trades_stream(spark, sf_dir)), HOUR, "kind")
-    return closed.unionByName(rollover.candles_of(rollover.open_candles(spark, f"{path}/checkpoint"), HOUR).withColumn("kind", F.lit("flushed")))
+    closed = _rolled(spark, path, events.trades_stream(spark, sf_dir), HOUR)
+    return rollover.candles_of(closed.unionByName(rollover.open_candles(spark, f"{path}/checkpoint")), "kind")
+
+
+def candles_multi_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for several intervals, of one shuffle of folds."""
+    path = shared_path(spark, "intervals")
+    closed = _rolled(spark, path, events.trades_stream(spark, sf_dir), HOUR, 4 * HOUR, DAY)
+    return rollover.candles_of(closed.unionByName(rollover.open_candles(spark, f"{path}/checkpoint")))
+
+
+def stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open candles of a stream, out of its checkpoint: what it would emit next."""
+    path = shared_path(spark, "snapshot")
+    _rolled(spark, path, events.trades_stream(spark, sf_dir), DAY)
+    return rollover.candles_of(rollover.open_candles(spark, f"{path}/checkpoint"))
 
 
 def candles_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,9 +349,9 @@ def candles_revised(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run, share in enumerate((F.col("event_id") % 10 > 0, F.col("event_id") % 10 == 0)):
         events.read(spark, sf_dir).where(share).write.parquet(f"{path}/in/{run}")
         stream = spark.readStream.schema(events.EVENTS).parquet(f"{path}/in/*")
-        emitted = _rolled(spark, path, events.trades_of(stream))
-    still = rollover.open_candles(spark, f"{path}/checkpoint").withColumn("late", F.lit(0).cast("bigint"))
-    return rollover.candles_of(rollover.revised(emitted).unionByName(still), HOUR, "trades", "late")
+        emitted = _rolled(spark, path, events.trades_of(stream), HOUR)
+    still = rollover.open_candles(spark, f"{path}/checkpoint")
+    return rollover.candles_of(rollover.revised(emitted.unionByName(still)), "trades", "late")
 
 
 def dedup_counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +375,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         parse_binance_combined, parse_binance_raw, parse_bybit_snapshot, parse_bybit_provider, parse_okx, reject_malformed, symbol_codecs, subscribe_messages, reconnect_schedule, split_list, union_feeds,
         replay_objects, candles_alltime, candles_windowed_exchange, candles_consolidated, candles_universe, candles_multi_interval, running_candle, dedup_trades, run_counters, candles_stream_all, candles_stream_closed,
         candles_stream_exchange, candle_callbacks, feed_candles, feed_rejects, feed_candles_stream, feed_candles_lagging, live_segments,
-        candles_rollover, candles_revised, dedup_counted_stream,
+        stream_counters, candles_rollover, candles_multi_stream, stream_snapshot, candles_revised, dedup_counted_stream,
     )
 }

@@ -66,7 +66,7 @@ def callback_sink(callback: Callable[[dict], None]) -> Callable[[DataFrame, int]
 
 
 def partition_sink(callback: Callable[[Iterator[dict]], None]) -> Callable[[DataFrame, int], None]:
-    """Calls back once a partition of candles, on the executors; a task that is run again calls back again."""
+    """Calls back once a partition of candles, on the executors; a task that is run again calls back again: see sinks.Push for once only."""
 
     def push(frame: DataFrame, _: int) -> None:
         frame.foreachPartition(lambda rows: callback(r.asDict() for r in rows))
@@ -104,6 +104,11 @@ def compact(spark: SparkSession, path: str) -> None:
     if len(old) < 2:
         return
     rows = spark.read.schema(STORED).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*[p.toString() for p in old])
-    _last(rows).write.parquet(f"{path}/part=to{batches[-1]}")
+    # aside, where no reader looks, and then by its name: what was left by a compaction that stopped is written again
+    aside, final = fs_path(f"{path}/_compacting"), fs_path(f"{path}/part=to{batches[-1]}")
+    _last(rows).write.mode("overwrite").parquet(aside.toString())
+    old = [p for p in old if p.getName() != final.getName()]
+    fs.delete(final, True)
+    fs.rename(aside, final)
     for p in old:
         fs.delete(p, True)

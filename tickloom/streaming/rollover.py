@@ -8,6 +8,8 @@ instrument by window, in RocksDB, and writes those that change.
   drops its state.
 * Trades of a window that is completed already aren't dropped: their fold is emitted (kind `late`). revised() merges such
   folds into the completed candles; merging is exact, since folds hold the order keys of open and close and decimal sums.
+* Candles of several intervals come of one shuffle: folds are of the shortest one, and the processor merges each into a window of every
+  interval, with timers of their own.
 * open_candles() reads the open ones out of the checkpoint, of a stream that runs or one that has stopped: what it would emit
   next, or what is flushed when it ends.
 
@@ -18,7 +20,7 @@ before the point, else sums of doubles.  Trades without price, quantity or time
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from decimal import Decimal, localcontext
 from typing import TYPE_CHECKING
@@ -45,7 +47,8 @@ VALUES = "open double, first string, high double, low double, close double, last
 NAMES = tuple(x.split()[0] for x in VALUES.split(", "))
 #: per: the exchange if candles are made per exchange, else ''. Order keys and decimal sums are text; a sum that isn't exact is null.
 FOLD = f"per string, instrument string, window_start_ms bigint, {VALUES}"
-EMITTED = f"kind string, {FOLD}"
+EMITTED = f"kind string, interval_ms bigint, {FOLD}"
+CANDLE_KEY = ("interval_ms", *KEY, "window_start_ms")
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -115,84 +118,89 @@ def merge(a: tuple, b: tuple) -> tuple:
 
 
 class OpenCandles(StatefulProcessor):
-    """The open candles of an instrument, by window."""
+    """The open candles of an instrument, by interval and window."""
 
-    def __init__(self, interval_ms: int) -> None:
-        self.interval_ms = interval_ms
+    def __init__(self, intervals_ms: Sequence[int]) -> None:
+        self.intervals = tuple(intervals_ms)
 
     @staticmethod
-    def row(kind: str, key: tuple, start: int, value: tuple) -> Row:
-        return Row(kind=kind, per=key[0], instrument=key[1], window_start_ms=start, **dict(zip(NAMES, value, strict=True)))
+    def row(kind: str, key: tuple, place: tuple[int, int], value: tuple) -> Row:
+        return Row(kind=kind, interval_ms=place[0], per=key[0], instrument=key[1], window_start_ms=place[1], **dict(zip(NAMES, value, strict=True)))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "window_start_ms bigint", VALUES)
+        self.open = handle.getMapState("open", "interval_ms bigint, window_start_ms bigint", VALUES)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
-        found: dict[int, tuple] = {}
+        found: dict[tuple[int, int], tuple] = {}
         for row in rows:
             value = tuple(row[n] for n in NAMES)
-            start = row["window_start_ms"]
-            found[start] = merge(found[start], value) if start in found else value
-        for start, value in found.items():
-            if start + self.interval_ms <= timerValues.getCurrentWatermarkInMs():
-                yield self.row("late", key, start, value)
+            for interval in self.intervals:
+                place = interval, row["window_start_ms"] - row["window_start_ms"] % interval
+                found[place] = merge(found[place], value) if place in found else value
+        for place, value in found.items():
+            end = sum(place)
+            if end <= timerValues.getCurrentWatermarkInMs():
+                yield self.row("late", key, place, value)
                 continue
-            before = self.open.getValue((start,))
+            before = self.open.getValue(place)
             if before is None:
                 # a timer is due when the watermark is beyond it
-                self.handle.registerTimer(start + self.interval_ms - 1)
-            self.open.updateValue((start,), value if before is None else merge(tuple(before), value))
+                self.handle.registerTimer(end - 1)
+            self.open.updateValue(place, value if before is None else merge(tuple(before), value))
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        start = expiredTimerInfo.getExpiryTimeInMs() + 1 - self.interval_ms
-        yield self.row("closed", key, start, self.open.getValue((start,)))
-        self.open.removeKey((start,))
+        end = expiredTimerInfo.getExpiryTimeInMs() + 1
+        for interval in self.intervals:
+            place = interval, end - interval
+            if end % interval == 0 and (value := self.open.getValue(place)) is not None:
+                yield self.row("closed", key, place, tuple(value))
+                self.open.removeKey(place)
 
     def close(self) -> None:
         pass
 
 
-def rolled(trades: DataFrame, interval_ms: int = 5000, per_exchange: bool = False) -> DataFrame:
-    """EMITTED rows of streaming trades that have a watermark (operators.feeds.with_watermark, union_streams). Start it within rocksdb()."""
-    grouped = folds(trades, interval_ms, per_exchange).groupBy(*KEY)
-    return grouped.transformWithState(OpenCandles(interval_ms), EMITTED, "append", "eventtime")
+def rolled(trades: DataFrame, intervals_ms: Sequence[int] = (5000,), per_exchange: bool = False) -> DataFrame:
+    """EMITTED rows of streaming trades that have a watermark (operators.feeds.with_watermark, union_streams). Start it within rocksdb().
+
+    Every interval must be a multiple of the shortest.
+    """
+    finest = min(intervals_ms)
+    if any(i % finest for i in intervals_ms):
+        raise ValueError("every interval must be a multiple of the smallest")
+    grouped = folds(trades, finest, per_exchange).groupBy(*KEY)
+    return grouped.transformWithState(OpenCandles(sorted(set(intervals_ms))), EMITTED, "append", "eventtime")
 
 
 def open_candles(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
-    """Folds of the open candles of the stream with that checkpoint, after its last micro-batch that is committed."""
+    """Rows of EMITTED, of kind `open`, for the open candles of the stream with that checkpoint, after its last micro-batch that is committed."""
     state = spark.read.format("statestore").option("stateVarName", "open").option("operatorId", operator).load(checkpoint)
-    return state.select("key.*", "user_map_key.*", "user_map_value.*").select(*[x.split()[0] for x in FOLD.split(", ")])
+    return state.select(F.lit("open").alias("kind"), "key.*", "user_map_key.*", "user_map_value.*").select(*[x.split()[0] for x in EMITTED.split(", ")])
 
 
 def _volume(name: str) -> Column:
     return F.coalesce(F.col(f"exact_{name}").try_cast("decimal(38,12)").cast("double"), F.col(name)).alias(f"{name}_volume")
 
 
-def candles_of(folded: DataFrame, interval_ms: int, *extra: str) -> DataFrame:
-    """Candles of folds, one of each."""
-    return folded.select(
-        instrument_id(F.col("instrument")).alias("instrument_id"), "instrument", exchange_name(F.col("code")).alias("exchange"), F.lit(interval_ms).cast("bigint").alias("interval_ms"),
-        "window_start_ms", (F.col("window_start_ms") + F.lit(interval_ms)).alias("window_end_ms"), "open", "high", "low", "close", _volume("base"), _volume("quote"), *extra,
+def candles_of(emitted: DataFrame, *extra: str) -> DataFrame:
+    """Candles of folds, one of each, with other columns that are named."""
+    return emitted.select(
+        instrument_id(F.col("instrument")).alias("instrument_id"), "instrument", exchange_name(F.col("code")).alias("exchange"), "interval_ms",
+        "window_start_ms", (F.col("window_start_ms") + F.col("interval_ms")).alias("window_end_ms"), "open", "high", "low", "close", _volume("base"), _volume("quote"), *extra,
     ).select(*CANDLE_COLUMNS, *extra)
 
 
-def merged(folded: DataFrame) -> DataFrame:
-    """One fold of each candle, of any number."""
+def revised(emitted: DataFrame) -> DataFrame:
+    """One fold of each candle of rows of EMITTED, late trades in it, and `late`, how many trades came late.
+
+    A window whose first trade came late has a candle too.
+    """
     order = lambda c: F.col(c).cast("decimal(38,0)")
     exact = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.try_sum(F.col(c).cast("decimal(30,12)"))).cast("string").alias(c)
-    return folded.groupBy(*KEY, "window_start_ms").agg(
+    return emitted.groupBy(*CANDLE_KEY).agg(
         F.min_by("open", order("first")).alias("open"), F.min(order("first")).cast("string").alias("first"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", order("last")).alias("close"), F.max(order("last")).cast("string").alias("last"), F.min_by("code", order("first")).alias("code"),
         F.sum("base").alias("base"), F.sum("quote").alias("quote"), exact("exact_base"), exact("exact_quote"), F.sum("trades").alias("trades"),
+        F.sum(F.when(F.col("kind") == "late", F.col("trades")).otherwise(0)).alias("late"),
     )
-
-
-def revised(emitted: DataFrame) -> DataFrame:
-    """Folds of completed candles with their late trades in them, and `late`, how many trades came late. emitted: rows of EMITTED.
-
-    A window whose first trade came late has a candle too.
-    """
-    late = F.sum(F.when(F.col("kind") == "late", F.col("trades")).otherwise(0)).alias("late")
-    return merged(emitted).join(emitted.groupBy(*KEY, "window_start_ms").agg(late), [*KEY, "window_start_ms"])
-
