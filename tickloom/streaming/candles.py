@@ -7,6 +7,7 @@ micro-batch, so that a sink that upserts by key has the open ones too.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,11 +105,9 @@ def compact(spark: SparkSession, path: str) -> None:
     if len(old) < 2:
         return
     rows = spark.read.schema(STORED).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*[p.toString() for p in old])
-    # aside, where no reader looks, and then by its name: what was left by a compaction that stopped is written again
-    aside, final = fs_path(f"{path}/_compacting"), fs_path(f"{path}/part=to{batches[-1]}")
+    # aside, where no reader looks, and then by a name that no compaction has had: one that stops anywhere loses nothing
+    aside = fs_path(f"{path}/_compacting")
     _last(rows).write.mode("overwrite").parquet(aside.toString())
-    old = [p for p in old if p.getName() != final.getName()]
-    fs.delete(final, True)
-    fs.rename(aside, final)
+    fs.rename(aside, fs_path(f"{path}/part=to{batches[-1]}-{uuid.uuid4().hex}"))
     for p in old:
         fs.delete(p, True)
