@@ -75,7 +75,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'binance' AS feed, '{{"method":"SUBSCRIBE","params":[' || string_agg('"' || lower(s) || '@trade"', ',' ORDER BY s) || '],"id":1}}' AS message FROM s
         UNION ALL SELECT 'bybit', '{{"op":"subscribe","args":[' || string_agg('"publicTrade.' || s || '"', ',' ORDER BY s) || ']}}' FROM s
         UNION ALL SELECT 'okx', '{{"op":"subscribe","args":[' || string_agg('{{"channel":"trades","instId":"' || replace(s, 'USDT', '-USDT') || '"}}', ',' ORDER BY s) || ']}}' FROM s""",
-    "reconnect_schedule": "SELECT n AS attempt, CAST(least(1000 * pow(2, n - 1), 60000) AS BIGINT) AS delay_ms FROM range(1, 11) t(n)",
+    "reconnect_schedule": f"""{TRADES},
+        d AS (SELECT n AS attempt, CAST(least(1000 * pow(2, n - 1), 60000) AS BIGINT) AS delay_ms FROM range(1, 11) t(n)),
+        a AS (SELECT *, sum(delay_ms) OVER (ORDER BY attempt) AS until FROM d),
+        q AS (SELECT min(event_ts) % {HOUR} AS quiet FROM trades GROUP BY exchange, instrument, event_ts // {HOUR})
+        SELECT attempt, delay_ms, count(*) AS made FROM a JOIN q ON until <= quiet GROUP BY ALL""",
     "split_list": f"""{TRADES}, t AS (
             SELECT trade_id, string_split(event_type || ',' || CASE WHEN trade_id % 3 = 0 THEN '' ELSE instrument END || CASE WHEN trade_id % 2 = 0 THEN ',' ELSE '' END, ',') AS x FROM trades
         ), u AS (SELECT trade_id, CASE WHEN x[-1] = '' THEN x[1:len(x) - 1] ELSE x END AS x FROM t)

@@ -127,7 +127,12 @@ def subscribe_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconnect_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 11).select(F.col("id").alias("attempt"), numbers.reconnect_delay_ms(F.col("id")).alias("delay_ms"))
+    """Of the schedule's attempts, how often each would be made if a feed were down from every hour's start to its first trade, by instrument."""
+    hour = numbers.window_start(F.col("event_ts"), HOUR).alias("hour")
+    quiet = events.trades(spark, sf_dir).groupBy("exchange", "instrument", hour).agg(F.min("event_ts").alias("first")).select((F.col("first") - F.col("hour")).alias("quiet"))
+    each = quiet.select("quiet", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long"))).alias("attempt"))
+    until = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("attempt")), F.lit(0).cast("long"), lambda total, k: total + numbers.reconnect_delay_ms(k).cast("long"))
+    return each.where(until <= F.col("quiet")).groupBy("attempt", numbers.reconnect_delay_ms(F.col("attempt")).alias("delay_ms")).agg(F.count(F.lit(1)).alias("made"))
 
 
 def split_list(spark: SparkSession, sf_dir: str) -> DataFrame:
