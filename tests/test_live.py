@@ -171,3 +171,51 @@ def test_main_lands_and_folds(spark, tmp_path):
     finally:
         query.stop()
     assert [(c.instrument, c.open, c.close, c.base_volume) for c in found] == [("BTCUSDT", 1.0, 5.0, 5.0)]
+
+
+def test_a_quiet_feed_is_landed_in_time_and_a_silent_one_is_given_up(tmp_path):
+    over = threading.Event()
+
+    def quiet():
+        yield frame(1, (TRADE % (1, 10)).encode())
+        over.wait(20)
+
+    server = Server(quiet(), quiet())
+    opened = []
+
+    def short(feed):
+        opened.append(time.monotonic())
+        return live.WebSocket(feed.host, feed.port, feed.path, tls=False, timeout=5, quiet=1.2)
+
+    lander = live.Lander(server.feed, ["BTCUSDT"], live.local_writer(str(tmp_path)), short, lines=100, seconds=0.1, delays_ms=(1,))
+    lander.start()
+    until = time.monotonic() + 5
+    while not list(tmp_path.iterdir()) and time.monotonic() < until:
+        time.sleep(0.02)
+    # the message is there while the connection still stands
+    assert len(list(tmp_path.iterdir())) == 1 and len(opened) == 1 and not lander.failures
+    while not lander.failures and time.monotonic() < until:
+        time.sleep(0.02)
+    assert "silent" in str(lander.failures[0])
+    over.set()
+    lander.stop()
+
+
+def test_a_ping_asks_before_a_connection_is_given_up():
+    class Quiet:
+        def __init__(self):
+            self.sent, self.asked = [], 0
+
+        def recv(self, n):
+            self.asked += 1
+            if self.sent:
+                return frame(1, b"back") + frame(8, b"")
+            time.sleep(0.02)
+            raise TimeoutError
+
+        def sendall(self, body):
+            self.sent.append(body)
+
+    ws = live.WebSocket.__new__(live.WebSocket)
+    ws.socket, ws.held, ws.quiet, ws.heard, ws.asked = Quiet(), b"", 0.4, time.monotonic(), False
+    assert list(ws.messages()) == ["back"] and len(ws.socket.sent) == 1 and ws.socket.sent[0][0] == 128 | live.PING
