@@ -254,6 +254,35 @@ def test_shards(spark, monkeypatch, most):
     assert sharding.shard_by_bytes(spark, frame(spark, rows).limit(0)).count() == 0
 
 
+def plain_differencing(sizes, shards):
+    """Karmarkar-Karp with the groups of each shard written out: sums by shard, and the groups in each."""
+    parts = [[(n, [g]), *((0, []) for _ in range(shards - 1))] for g, n in sizes.items()]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: max(p)[0] - min(p)[0])
+        a, b = parts.pop(), parts.pop()
+        fullest, emptiest = sorted(a, key=lambda x: -x[0]), sorted(b, key=lambda x: x[0])
+        parts.append([(x + y, g + h) for (x, g), (y, h) in zip(fullest, emptiest, strict=True)])
+    return parts[0]
+
+
+@pytest.mark.parametrize(("shards", "n"), [(2, 14), (5, 40), (16, 90)])
+def test_shards_are_those_of_plain_differencing(spark, shards, n):
+    rng = random.Random(shards)
+    # too few groups for spreads to tie by chance; one of several rows
+    rows = [(i, "a" * rng.randrange(10**5) + str(i)) for i in range(n)]
+    rows += [(1000 + i, rows[0][1]) for i in range(3)]
+    sizes = Counter()
+    for _, t in rows:
+        sizes[t] += len(t) + 1
+    want = {frozenset(g): n for n, g in plain_differencing(sizes, shards)}
+    text = dict(rows)
+    groups, sums = defaultdict(set), Counter()
+    for r in sharding.shard_by_bytes(spark, frame(spark, rows), shards).collect():
+        groups[r.shard].add(text[r.doc_id])
+        sums[r.shard] += r["size"]
+    assert {frozenset(g): sums[s] for s, g in groups.items()} == want
+
+
 def test_shards_of_repeated_rows_and_long_texts(spark):
     rows = [(1, "same")] * 500 + [(2, "z" * 1_000_000), (3, "z" * 1_000_000), (4, None), (5, "")]
     found = sharding.shard_by_bytes(spark, frame(spark, rows)).collect()

@@ -23,8 +23,8 @@ go, whatever their size: a broadcast would have to grow with the corpus.
 
 A word is a run of characters other than Unicode white space; in scripts without blanks (Chinese, Japanese,
 Thai, Lao, Khmer, Burmese) each character counts as one, so that runs of MIN_WORDS characters are found.
-Null texts are returned as null without words, texts of fewer words than MIN_WORDS as they are.  Words are compared byte
-for byte.  Different rows that repeat an id are in the order of their texts' hashes, identical ones are at one place;
+Null texts are returned as null without words, texts of fewer words than MIN_WORDS as they are.  Words are compared by 64-bit
+hashes, windows and stretches by two hashes of those: what goes is deleted on these 128 bits alone.  Different rows that repeat an id are in the order of their texts' hashes, identical ones are at one place;
 rows with a null id come last.
 """
 

@@ -5,6 +5,8 @@ truncated, the minimum of exponentially distributed hashes of the set: K = floor
 Registers of a union are the maxima of the registers, so sketches merge; equal registers are
 likelier the more alike two sets are.
 
+Shingles are compared by 64-bit hashes and whole sets by 128-bit digests of those, never by their words.
+
 1. Every document is scanned once: set size, 128-bit digest of the set, registers.
 2. Equal sets are one class, represented by its smallest doc_id.
 3. Classes that agree in a band of BAND registers share a bucket.
@@ -29,8 +31,8 @@ what it has besides the core or lacks of it.  With sizes n and threshold percent
 
 So a family costs rows in proportion to its members' differences and pairs that share rare ones, not all its
 pairs, and no pair that shares a bucket is passed over.  Finer buckets of the same members are one.  The
-core decides only how much work is left, never what is linked.  After LEVELS levels, or if a finer bucket
-is no smaller, all its pairs are candidates: it is exact, and no input is known to get there.
+core decides only how much work is left, never what is linked.  After LEVELS levels all pairs of a bucket that is still large
+are candidates: that is exact, without a bound on their number, and no input is known to get there.
 
 At the threshold of 0.8 a pair shares no band with probability (1 - 0.8^4)^24 = 3e-6; the estimate's
 cut is MARGIN = 0.125 below the threshold, five standard deviations.
