@@ -35,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, stage_out, unpack
+from .common import drop_stage, pack, stage_out, unpack
 
 MIN_WORDS = 50
 #: Words of a fingerprint; one in so many pairs of words is of the first, second and third kind that windows select (powers of two).
@@ -112,13 +112,16 @@ def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, tie, runs: structs (a, b), in order, of the first and last word (0-based) of each run to delete.
+    """doc, tie, runs: structs (a, b), in order, of the first and last word (0-based) of each run to delete; a written table.
+
+    The tables staged on the way are deleted once nothing reads them any more.
 
     docs: doc (the order), tie (tells rows at one place apart), text.
     """
     found = stage_out(spark, _stretches(docs, min_words), "stretches")
     often = found.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("f").alias("_f"))
     going = stage_out(spark, found.join(often, F.col("f") == F.col("_f"), "left_semi"), "going")
+    drop_stage(spark, found)
     place = F.struct("doc", "tie", "a")
     first = stage_out(spark, going.groupBy("f", "k").agg(F.min(place).alias("earliest"), F.max(place).alias("latest"), F.first(F.expr("b - a")).alias("more")), "first")
     again = first.where("earliest < latest").select(F.col("f").alias("_f"), F.col("k").alias("_k"), "earliest")
@@ -139,7 +142,10 @@ def repeated_words(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     # windows that overlap or touch are one run
     heads = F.filter("p", lambda x, i: (i == 0) | (x["a"] - F.get("p", F.greatest(i - 1, F.lit(0)))["b"] > min_words))
     tails = F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1)["a"] - x["b"] > min_words, F.lit(True)))
-    return starts.select("doc", "tie", F.zip_with(heads, tails, lambda x, y: F.struct(x["a"].alias("a"), (y["b"] + (min_words - 1)).alias("b"))).alias("runs"))
+    gone = stage_out(spark, starts.select("doc", "tie", F.zip_with(heads, tails, lambda x, y: F.struct(x["a"].alias("a"), (y["b"] + (min_words - 1)).alias("b"))).alias("runs")), "gone")
+    for df in (going, first, opened, windows):
+        drop_stage(spark, df)
+    return gone
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -148,7 +154,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS)
     last = (1 << 63) - 1
     doc, tie = F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), F.xxhash64("text")
     keyed = pack(docs.withColumn("text", F.col("text").cast("string")), "doc_id", "text").withColumns({"doc": doc, "tie": tie})
-    gone = stage_out(spark, repeated_words(spark, keyed.select("doc", "tie", "text"), min_words), "gone")
+    gone = repeated_words(spark, keyed.select("doc", "tie", "text"), min_words)
     out = keyed.join(gone.hint("shuffle_hash"), ["doc", "tie"], "left")
     out = out.select("doc_id", "rest", "text", "runs", F.when(F.col("runs").isNotNull(), _pieces()).alias("pieces"))
     # words between runs, then those after the last one and white space at the end
