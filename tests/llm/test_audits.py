@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tickloom.llm import divergence, filteraudit, simhash
+from tickloom.llm import common, divergence, filteraudit, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n long, rest string, total string, part string, term string"
 
@@ -207,6 +207,41 @@ def test_links_within_four_bits(spark, small):
         assert min(seen) == label[i]
 
 
+def test_links_of_a_family_are_not_its_pairs(spark):
+    # all within 4 bits of each other
+    points = random.Random(5).sample(simhash.ball(64, 2), 200)
+    every = simhash.links(spark, spark.createDataFrame([(simhash._signed(p),) for p in points], "fp long")).cache()
+    made = simhash.contracted(simhash.contracted(every)).collect()
+    assert len(made) < 3 * len(points) and every.count() < len(points) ** 2 / 4
+    reached = {made[0].a}
+    for _ in range(len(points)):
+        reached |= {x for r in made if r.a in reached or r.b in reached for x in r}
+    assert len(reached) == len(points)
+
+
+def test_links_within_a_key():
+    rng = random.Random(6)
+    points = np.array(list({0, 1, 3, *(sum(1 << b for b in rng.sample(range(62), 6)) for _ in range(40)), *(7 << 40 | 1 << b for b in range(20))}), np.int64)
+    for paired in (0, 100):
+        a, b = simhash.linked(points, paired)
+        assert all((x ^ y).bit_count() <= 4 for x, y in zip(a.tolist(), b.tolist(), strict=True)) or not paired
+        label = {p: p for p in points.tolist()}
+        for _ in points:
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                label[x] = label[y] = min(label[x], label[y])
+        want = brute_components(points.tolist())
+        assert Counter(Counter(label.values()).values()) == Counter(Counter(want).values())
+        assert paired or len(a) < len(points)
+
+
+def test_large_labels_are_not_broadcast(spark, monkeypatch):
+    side = spark.range(5000)
+    plan = lambda: spark.range(9).join(common.not_broadcast(side, 5000), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 40_000)
+    assert "Broadcast" not in plan()
+
+
 def test_similar_documents(spark):
     rng = random.Random(8)
     body = [f"w{rng.randint(0, 400)}" for _ in range(900)]

@@ -67,6 +67,14 @@ def small_or_shuffled(side: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+def not_broadcast(side: DataFrame, rows: int) -> DataFrame:
+    """The side, merged if its rows exceed a tenth of BROADCAST_ROWS.
+
+    Spark goes by sizes of files, in which ids take a few bytes, and the driver holds every broadcast until it is cleaned up: in loops they add up.
+    """
+    return side.hint("merge") if rows > BROADCAST_ROWS // 10 else side
+
+
 def pack(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns, and all others within one column `rest`, so that no name can clash with an operator's own."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in names]

@@ -57,7 +57,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exactdedup
-from .common import LOWER, WordHasher, arrow_rows, byte_view, chunks, drop_stage, mix, small_or_shuffled, stage_out, window_hashes, word_spans
+from .common import LOWER, WordHasher, arrow_rows, byte_view, chunks, drop_stage, mix, not_broadcast, small_or_shuffled, stage_out, window_hashes, word_spans
 
 #: Registers of a sketch; the first BANDS * BAND of them are banded, all serve the estimate.
 REGISTERS, BANDS, BAND = 256, 24, 4

@@ -9,12 +9,15 @@ shingles' XXH64 hashes (seed 42).  Fingerprints link at RADIUS = 4 or fewer diff
 2. Multi-index hashing: fingerprints are two segments of 32 bits.  Of a pair within 4 bits, the first segments differ in at
    most 2, or else the second ones in at most 1.  Each fingerprint is entered in a table under every key of the small ball
    of radius 1 around each of its segments, 33 keys a segment.  Two first segments within 2 bits share a key, halfway; a second segment
-   within 1 bit of another is a key of its.  Matches of a key are verified by their complete distance in the join itself.
-   A pair is taken at one of its shared keys only (the lesser one between them), so that nothing comes twice.
-3. A key with more than SMALL fingerprints isn't joined, since its pairs would be all pairs of a family.  Its members go by
+   within 1 bit of another is a key of its.  Keys are counted; one of two fingerprints is a pair, those of more are gathered as lists, and
+   members are verified by their complete distance.  A pair that shares several keys is taken once.
+3. A key with more than PAIRED fingerprints doesn't give its pairs, since those would be all pairs of a family: its members are
+   compared in a task and each is linked to the least one that it reaches there, a row a member.
+4. A key with more than SMALL fingerprints isn't compared at all.  Its members go by
    whole balls: two fingerprints are within 4 bits exactly if their balls of radius 2 (2,081 points) share a point.  So every
    point links its members to the least of them: rows in proportion to members, no pairs, and nothing passed over.
-4. Links join components, which are named by their smallest doc_id.
+5. Links of a fingerprint to lesser ones become links of those and it to the least of them, twice over, which leaves a few a member.
+   They join components, which are named by their smallest doc_id.
 
 Random keys: of D fingerprints a key holds 33 D / 2^32 by chance, so SMALL is far above chance up to some 10^10 of them.
 
@@ -32,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, byte_view, drop_stage, stage_out
+from .common import BROADCAST_ROWS, arrow_rows, byte_view, drop_stage, not_broadcast, stage_out
 from .setsketch import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Fingerprints of a key up to which its pairs are compared.
-SMALL = 256
+#: Fingerprints of a key up to which they are compared, and up to which all pairs found are links.
+SMALL, PAIRED = 256, 16
 #: Shingles whose bits are counted at once, 64 bytes each.
 PIECE = 1 << 15
 _LOW = (1 << 32) - 1
@@ -108,26 +111,68 @@ def _entries(unique: DataFrame) -> DataFrame:
     return unique.select("fp", F.explode(F.concat(around(_high("fp")), around(_low("fp")))).alias("z"))
 
 
+def star(near: np.ndarray) -> np.ndarray:
+    """The least place that each place reaches, of a symmetric matrix of which places are near each other (each is to itself)."""
+    label = np.arange(len(near))
+    while True:
+        least = np.where(near, label, len(near)).min(axis=1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def linked(fps: np.ndarray, paired: int = PAIRED) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a < b: links of a key's fingerprints; their pairs within RADIUS bits, or of more than `paired` fingerprints a link a member to the least that it reaches."""
+    fps = np.sort(fps)
+    near = np.bitwise_count((fps[:, None] ^ fps).view(np.uint64)) <= RADIUS
+    if len(fps) <= paired:
+        a, b = np.nonzero(np.triu(near, 1))
+    else:
+        a, b = star(near), np.arange(len(fps))
+        a, b = a[a < b], b[a < b]
+    return fps[a], fps[b]
+
+
+def _compared(lists: DataFrame) -> DataFrame:
+    """a, b of the links of each list (column fps)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("fps")
+            values, off = column.values.to_numpy(), column.offsets.to_numpy()
+            found = [linked(values[lo:hi]) for lo, hi in zip(off[:-1], off[1:], strict=True)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+
+    return lists.select("fps").mapInArrow(run, "a long, b long")
+
+
 def links(spark: SparkSession, unique: DataFrame, small: int = SMALL) -> DataFrame:
-    """a, b: pairs of fingerprints (column fp, each once) whose components are those of all pairs within RADIUS bits."""
+    """a, b, a < b: pairs of fingerprints (column fp, each once) within RADIUS bits, or reached by such, whose components are those of all pairs within them."""
     entries = _entries(unique)
-    large = stage_out(spark, entries.groupBy("z").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("z"), "large")
-    # a pair is found under a key that both have: the one halfway between first segments, or the second one's own
-    left = entries.join(large, "z", "left_anti")
-    right = left.select(F.col("z").alias("z_r"), F.col("fp").alias("fp_r"))
-    differing = F.col("fp").bitwiseXOR(F.col("fp_r"))
-    other = _high("fp").bitwiseXOR(_high("fp_r")).bitwiseXOR(F.col("z"))
-    first = (F.col("z") <= _LOW) & ((F.col("z") < other) | (_high("fp") == _high("fp_r")) & (F.col("z") == _high("fp")))
-    second = (F.col("z") == _low("fp_r")) & (F.bit_count(_high("fp").bitwiseXOR(_high("fp_r"))) > 2)
-    met = (F.col("z") == F.col("z_r")) & (F.col("fp") < F.col("fp_r")) & (F.bit_count(differing) <= RADIUS) & (first | second)
-    found = left.join(right, met).select(F.col("fp").alias("a"), F.col("fp_r").alias("b"))
-    dense = stage_out(spark, entries.join(large, "z", "left_semi").select("fp").distinct(), "dense")
-    if dense.isEmpty():
-        return found
-    points = dense.select("fp", F.explode(F.transform(_literals(ball(64, RADIUS // 2)), lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
-    least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a < most").select(F.col("point").alias("_point"), "a")
-    hubs = points.join(least, F.col("point") == F.col("_point")).where("a < fp").select("a", F.col("fp").alias("b")).distinct()
-    return found.unionByName(hubs)
+    keys = entries.groupBy("z").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    keys = stage_out(spark, keys.withColumnRenamed("z", "_z"), "keys")
+    two = keys.where((F.col("n") == 2) & (F.lit(small) >= 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b")
+    more = keys.where(F.col("n") > min(small, 2)).select("_z", "n")
+    rows = more.count()
+    side = F.broadcast(more) if rows <= BROADCAST_ROWS else more.hint("merge")
+    members = entries.join(side, F.col("z") == F.col("_z"))
+    members = stage_out(spark, members.select("z", "n", "fp"), "members")
+    lists = members.where(F.col("n") <= small).groupBy("z").agg(F.collect_list("fp").alias("fps"))
+    found = two.unionByName(_compared(lists))
+    dense = stage_out(spark, members.where(F.col("n") > small).select("fp").distinct(), "dense")
+    if not dense.isEmpty():
+        points = dense.select("fp", F.explode(F.transform(_literals(ball(64, RADIUS // 2)), lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
+        least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a < most").select(F.col("point").alias("_point"), "a")
+        found = found.unionByName(points.join(least, F.col("point") == F.col("_point")).where("a < fp").select("a", F.col("fp").alias("b")))
+    return found.distinct()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a < b) with the same components, of which a family has a few a member: what b is linked to is linked to the least of it instead."""
+    near = edges.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("x"))
+    return near.select(F.col("m").alias("a"), F.explode(F.concat("x", F.array("b"))).alias("b")).where("a < b").distinct()
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, small: int = SMALL) -> DataFrame:
@@ -135,7 +180,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, small: int = SMALL)
     with arrow_rows(spark, 1000):
         every = stage_out(spark, fingerprints(docs), "fingerprints")
     unique = stage_out(spark, every.groupBy("fp").agg(F.min("doc_id").alias("first")), "unique")
-    joined = components(spark, stage_out(spark, links(spark, unique.select("fp"), small), "links"))
+    joined = components(spark, stage_out(spark, contracted(contracted(links(spark, unique.select("fp"), small))), "links"))
     placed = unique.join(joined.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     placed = stage_out(spark, placed, "placed")
     names = placed.groupBy("label").agg(F.min("first").alias("component_id"))
