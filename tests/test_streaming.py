@@ -131,6 +131,25 @@ def test_counted_dedup_forgets_as_its_ring_says(most, ring):
     assert got == want and n == len(order)
 
 
+def test_counted_dedup_holds_neither_a_batch_nor_its_ids():
+    rows = [(random.Random(i).randrange(50), i) for i in range(1000)]
+    key = lambda r: r[:1]
+    taken = iter(rows)
+    for run in (7, 500, 1000, 2000):
+        assert list(dedup.in_order(iter(rows), key, run)) == sorted(rows, key=key)
+    # nothing is taken before it is asked for, and merged rows come one by one
+    first = next(dedup.in_order(taken, key, 10))
+    assert first == min(rows) and not list(dedup.in_order([], key))
+    asked = []
+    numbering = dedup.Numbering(20, lambda i: asked.append(i), 10, 2)
+    held = 0
+    for i in range(5000):
+        assert numbering.is_new(i)
+        held = max(held, len(numbering.numbers))
+    # what was there before is forgotten as soon as its numbers are below the bound
+    assert held <= 12 and len(asked) <= 20 and numbering.n == 5020
+
+
 def test_counted_dedup_of_a_stream(spark, tmp_path):
     rng = random.Random(3)
     ids = [rng.randrange(12) for _ in range(120)]
