@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import candles, parsers
 from tickloom.operators.feeds import with_watermark
+from tickloom.plans import queries
 from tickloom.sources import feeds
 from tickloom.streaming import candles as streaming
 from tickloom.streaming import dedup, rollover
@@ -171,6 +172,12 @@ def test_counted_dedup_of_a_stream(spark, tmp_path):
             dedup.dedup_counted(trades, *bad)
 
 
+def test_messages_are_rendered_before_they_are_repeated(spark):
+    for name in ("binance", "okx"):
+        plan = queries._messages(spark, "/root/testdata/sf0.001")[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate") < plan.index("CASE WHEN")
+
+
 def test_event_time(spark):
     df = spark.createDataFrame([(1770003054104,)], "event_ts bigint")
     assert with_watermark(df).select(F.unix_millis("event_time")).first()[0] == 1770003054104
