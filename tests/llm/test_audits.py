@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tickloom.llm import common, divergence, filteraudit, simhash
+from tickloom.llm import common, divergence, filteraudit, setsketch, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n long, rest string, total string, part string, term string"
 
@@ -242,6 +242,26 @@ def test_large_labels_are_not_broadcast(spark, monkeypatch):
     assert "Broadcast" not in plan()
 
 
+def test_no_join_of_links_or_components_is_broadcast(spark, monkeypatch):
+    plans = {}
+
+    def staged(spark, df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return common.stage_out(spark, df, tag)
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(setsketch, "stage_out", staged)
+    monkeypatch.setattr(simhash, "stage_out", staged)
+    body = " ".join(f"w{k}" for k in range(900))
+    rows = [(i, f"{body} end{i}", "en", "s") for i in range(30)]
+    plans["result"] = simhash.similar_documents(spark, frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    joined = {tag: plan for tag, plan in plans.items() if "Join" in plan and tag != "members"}
+    assert {"moved", "labels", "placed", "result"} <= joined.keys() and not any("Broadcast" in plan for plan in joined.values())
+    # of large keys every member has 2,081 points, which aren't either
+    dense = simhash.links(spark, spark.createDataFrame([(x,) for x in range(8)], "fp long"), 1)
+    assert "Broadcast" not in dense._jdf.queryExecution().executedPlan().toString()
+
+
 def test_similar_documents(spark):
     rng = random.Random(8)
     body = [f"w{rng.randint(0, 400)}" for _ in range(900)]

@@ -239,18 +239,20 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that each end of an edge reaches, by neighbours' minima and jumps.
 
-    Each round takes the least label among neighbours, then the label's own label; labels only fall.
+    Each round takes the least label among neighbours, then the label's own label; labels only fall.  No side of a join
+    is broadcast where there are many ids.
     """
     both = stage_out(spark, edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stage_out(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    rows = labels.count()
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        hooked = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "m").alias("hook"), F.col("label").alias("old"))
+        near = both.join(not_broadcast(labels.select(F.col("id").alias("b"), "label"), rows), "b").groupBy("a").agg(F.min("label").alias("m"))
+        hooked = labels.join(not_broadcast(near.withColumnRenamed("a", "id"), rows), "id").select("id", F.least("label", "m").alias("hook"), F.col("label").alias("old"))
         # a label's members take the least hook of any member: trees hook onto each other as wholes
         best = hooked.groupBy(F.col("old").alias("_old")).agg(F.min("hook").alias("best"))
-        moved = stage_out(spark, hooked.join(best, F.col("old") == F.col("_old")).select("id", F.least("hook", "best").alias("label"), "old"), "moved")
+        moved = stage_out(spark, hooked.join(not_broadcast(best, rows), F.col("old") == F.col("_old")).select("id", F.least("hook", "best").alias("label"), "old"), "moved")
         jump = moved.select(F.col("id").alias("_id"), F.col("label").alias("_next"))
-        new = stage_out(spark, moved.join(jump, moved["label"] == F.col("_id"), "left").select("id", F.least("label", F.coalesce("_next", "label")).alias("label"), "old"), "labels")
+        new = stage_out(spark, moved.join(not_broadcast(jump, rows), moved["label"] == F.col("_id"), "left").select("id", F.least("label", F.coalesce("_next", "label")).alias("label"), "old"), "labels")
         if new.where("label <> old").isEmpty():
             return new.select("id", "label")
         labels = new.select("id", "label")

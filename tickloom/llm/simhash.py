@@ -165,7 +165,8 @@ def links(spark: SparkSession, unique: DataFrame, small: int = SMALL) -> DataFra
     if not dense.isEmpty():
         points = dense.select("fp", F.explode(F.transform(_literals(ball(64, RADIUS // 2)), lambda m: F.col("fp").bitwiseXOR(m))).alias("point"))
         least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a < most").select(F.col("point").alias("_point"), "a")
-        found = found.unionByName(points.join(least, F.col("point") == F.col("_point")).where("a < fp").select("a", F.col("fp").alias("b")))
+        # Spark takes points for no larger than what they are made from and would broadcast them
+        found = found.unionByName(points.join(least.hint("merge"), F.col("point") == F.col("_point")).where("a < fp").select("a", F.col("fp").alias("b")))
     return found.distinct()
 
 
@@ -181,9 +182,10 @@ def similar_documents(spark: SparkSession, docs: DataFrame, small: int = SMALL)
         every = stage_out(spark, fingerprints(docs), "fingerprints")
     unique = stage_out(spark, every.groupBy("fp").agg(F.min("doc_id").alias("first")), "unique")
     joined = components(spark, stage_out(spark, contracted(contracted(links(spark, unique.select("fp"), small))), "links"))
-    placed = unique.join(joined.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    rows = unique.count()
+    placed = unique.join(not_broadcast(joined.withColumnRenamed("id", "fp"), rows), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     placed = stage_out(spark, placed, "placed")
     names = placed.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = placed.join(names, "label").select("fp", "component_id")
+    named = not_broadcast(placed.join(not_broadcast(names, rows), "label").select("fp", "component_id"), rows)
     drop_stage(spark, unique)
     return every.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
